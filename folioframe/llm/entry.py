@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_token_counts
+from .packing import op5_token_output
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+QUERIES = {"op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
 SQL: dict[str, str] = {}
