@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op8_token_counts
+from .mixing import OP4_SQL, op4_mixing
 from .packing import op5_token_output
+from .simhash import op9_simhash
 
-QUERIES = {"op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
-SQL: dict[str, str] = {}
+QUERIES = {"op9_simhash": op9_simhash, "op4_mixing": op4_mixing, "op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL}
