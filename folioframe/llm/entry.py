@@ -7,6 +7,7 @@ from .decontamination import OP6_SQL, op6_decontamination
 from .mixing import OP4_SQL, op4_mixing
 from .packing import op5_token_output
 from .simhash import op9_simhash
+from .substrings import OP3_SQL, op3_substrings
 
-QUERIES = {"op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash, "op4_mixing": op4_mixing, "op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_decontamination": OP6_SQL}
+QUERIES = {"op3_substrings": op3_substrings, "op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash, "op4_mixing": op4_mixing, "op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
+SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_decontamination": OP6_SQL, "op3_substrings": OP3_SQL}
