@@ -1,13 +1,61 @@
-"""From raw documents to a packed training corpus, as stages that are each written and read again."""
+"""From raw documents to a packed training corpus, as stages that are each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents; the last returns one row a document of the packed corpus.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioframe.llm.common import saved
+from folioframe.llm.decontamination import contamination
+from folioframe.llm.language import accepted_documents
+from folioframe.llm.mixing import mixed
+from folioframe.llm.packing import packed_digest
+from folioframe.llm.simhash import near_duplicates
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go."""
+    return accepted_documents(docs)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays; of its rows with that id, one."""
+    named = near_duplicates(docs).select("doc_id", "component_id").distinct()
+    stay = named.where("doc_id = component_id or doc_id is null").select("doc_id")
+    known = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
+    return known.select("doc_id", "_d.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with words inside occurrences of benchmark windows go."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("text", *others))
+    return found.where(F.size("begins") == 0).withColumnRenamed("_id", "doc_id").select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; n_chars of a shortened one is counted anew."""
+    return mixed(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed corpus, read back: doc_id, start, n_tokens, ids_crc32 of every document in it."""
+    return packed_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicate), ("decontamination", decontaminated), ("mixing", mixture), ("token_output", packed)]
+
+#: Hash families, a learned language model and a tokenizer file are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
