@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "texts")
+MODULES = ("catalogue", "texts", "records", "retrieval", "sources")
 
 
 def all_queries() -> tuple[dict, dict]:
