@@ -146,8 +146,9 @@ class Restorer(dict):
         out = list(map(self.__getitem__, low.split()))
         for m in SPACED.finditer(low):
             joined = m[0].replace(m[1], "")
-            if re.search("[a-z]", joined):
-                out.append(self.channel.restore(joined))
+            if re.search("[a-z]", joined):  # an a or i at an end may be a word of its own
+                inner = joined[joined[0] in "ai" : len(joined) - (joined[-1] in "ai")]
+                out += [self.channel.restore(x) for x in {joined, joined[joined[0] in "ai" :], inner} if len(x) > 2]
         return out
 
 
