@@ -111,7 +111,7 @@ def report_history(spark, sf):
     return D.current_reports(old, new, "id", ["grade"], "at")
 
 
-@query("n4_validation", "SELECT doc_id, doc_id % 31 <> 0 AS valid, (CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 19 = 0 THEN 1 ELSE 0 END)::INT AS issues FROM documents")
+@query("n4_validation", r"SELECT doc_id, NOT bad AS valid, (bad::INT + (doc_id % 19 = 0)::INT)::INT AS issues FROM (SELECT doc_id, doc_id % 31 = 0 OR trim(regexp_replace(substr(coalesce(text, ''), 1, 80), '[\s/:]+', ' ', 'g')) = '' AS bad FROM documents)")
 def validation(spark, sf):
     r = full_records(spark, sf)
     v = D.validated(r, {"title": F.coalesce(F.lower("title") == "n/a", F.lit(True))}, {"authors": F.size("authors") == 0})
