@@ -168,12 +168,12 @@ def composite(spark, sf):
     return a.join(b, ["doi", "publication_year", "author_id"]).where("first_id < second_id").select("first_id", "second_id")
 
 
-@query("j15_manifest_join", r"SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS base, d.doc_id FROM pages LEFT JOIN documents d ON d.doc_id::VARCHAR = regexp_extract(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '^[0-9]+')")
+@query("j15_manifest_join", r"SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS base, d.doc_id::VARCHAR AS doc_id FROM pages LEFT JOIN documents d ON d.doc_id::VARCHAR = regexp_extract(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '^[0-9]+')")
 def manifest_join(spark, sf):
     base = F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1)
     p = table(spark, sf, "pages").select("page_id", base.alias("base"), F.regexp_extract(base, "^[0-9]+", 0).alias("key"))
     d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"))
-    return p.join(d, "key", "left").select("page_id", "base", "doc_id")
+    return p.join(d, "key", "left").select("page_id", "base", F.col("doc_id").cast("string").alias("doc_id"))
 
 
 @query("a1_counts", PUBLICATIONS + "SELECT count(*) AS total, count(*) FILTER (WHERE is_deleted) AS deleted FROM publications")
@@ -271,10 +271,10 @@ def first_by_identity(spark, sf):
     return W.best(publications(spark, sf).withColumn("k", key), ["k"], F.col("publication_id"), ["publication_id", "doi"]).drop("k")
 
 
-@query("w3_year_pool", PUBLICATIONS + "SELECT publication_year, publication_id FROM (SELECT *, row_number() OVER (PARTITION BY publication_year ORDER BY updated_at DESC, publication_id) AS r FROM publications WHERE NOT is_deleted) WHERE r <= 100")
+@query("w3_year_pool", PUBLICATIONS + "SELECT publication_year::VARCHAR AS publication_year, publication_id FROM (SELECT *, row_number() OVER (PARTITION BY publication_year ORDER BY updated_at DESC, publication_id) AS r FROM publications WHERE NOT is_deleted) WHERE r <= 100")
 def year_pool(spark, sf):
     p = publications(spark, sf).where(~F.col("is_deleted"))
-    return W.top(p, ["publication_year"], [F.desc("updated_at"), F.col("publication_id")], 100).select("publication_year", "publication_id")
+    return W.top(p, ["publication_year"], [F.desc("updated_at"), F.col("publication_id")], 100).select(F.col("publication_year").cast("string").alias("publication_year"), "publication_id")
 
 
 @query("w5_author_order", "SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) AS author_order FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2)")

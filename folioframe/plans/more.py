@@ -294,10 +294,10 @@ def citation_records(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(S.clean(F.col("html")), F.lit(1200)).alias("excerpt"), P.public_url(F.col("url")).alias("url"))
 
 
-@query("j9_connector_publications", PUBLICATIONS + ", c AS (SELECT 'src' || s_suppkey AS code FROM supplier WHERE s_suppkey <= 30) SELECT code, publication_year, count(*) AS n FROM c JOIN publications ON source = code GROUP BY 1, 2")
+@query("j9_connector_publications", PUBLICATIONS + ", c AS (SELECT 'src' || s_suppkey AS code FROM supplier WHERE s_suppkey <= 30) SELECT code, publication_year::VARCHAR AS publication_year, count(*) AS n FROM c JOIN publications ON source = code GROUP BY 1, 2")
 def connector_publications(spark, sf):
     g = publications(spark, sf).groupBy(F.col("source").alias("code"), "publication_year").agg(F.count("*").alias("n"))
-    return g.join(connectors(spark, sf).select("code"), "code", "left_semi").select("code", "publication_year", "n")
+    return g.join(connectors(spark, sf).select("code"), "code", "left_semi").select("code", F.col("publication_year").cast("string").alias("publication_year"), "n")
 
 
 @query("d2_engine_key", PUBLICATIONS + "SELECT key, count(*) AS n FROM (SELECT coalesce('doi:' || doi, 'title:' || regexp_replace(lower(title), '[^a-z0-9_ ]', '', 'g') || coalesce(':' || publication_year, '')) AS key FROM publications) GROUP BY key")

@@ -83,11 +83,11 @@ def tombstones(spark, sf):
     return D.tombstoned(publications(spark, sf).select("publication_id", "is_deleted"), gone, "publication_id").select("publication_id", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"))
 
 
-@query("d17_checksum_duplicates", "SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id THEN min(doc_id) OVER (PARTITION BY sha256(text)) END AS duplicate_of FROM documents")
+@query("d17_checksum_duplicates", "SELECT doc_id, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(text)) < doc_id THEN (min(doc_id) OVER (PARTITION BY sha256(text)))::VARCHAR END AS duplicate_of FROM documents")
 def checksum_duplicates(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     first = d.groupBy("h").agg(F.min("doc_id").alias("f"))
-    return d.join(first, "h").select("doc_id", F.when(F.col("f") < F.col("doc_id"), F.col("f")).alias("duplicate_of"))
+    return d.join(first, "h").select("doc_id", F.when(F.col("f") < F.col("doc_id"), F.col("f").cast("string")).alias("duplicate_of"))
 
 
 @query("k1_upsert", PUBLICATIONS + """SELECT coalesce(o.publication_id, n.publication_id) AS publication_id, CASE WHEN o.publication_id IS NULL THEN 'created' WHEN n.publication_id IS NULL THEN 'kept' WHEN o.language IS DISTINCT FROM n.language OR o.doi IS DISTINCT FROM coalesce(n.doi, o.doi) THEN 'updated' ELSE 'unchanged' END AS action,
