@@ -223,3 +223,15 @@ def near_vectors(vectors: DataFrame, *, least: float = COSINE, id_col: str = "ve
 
 def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE embedding IS NOT NULL
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), r AS (
+  SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT node, b FROM r JOIN l ON reach = a
+)
+SELECT node AS vec_id, (SELECT count(*) FROM l WHERE a = node)::BIGINT AS n_links, min(reach) AS component_id, min(reach) = node AS kept FROM r GROUP BY node
+"""

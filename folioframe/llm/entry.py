@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_token_counts
-from .covertree import op1_cover_tree
+from .covertree import OP1_SQL, op1_cover_tree
 from .decontamination import OP6_SQL, op6_decontamination
 from .language import op7_language
 from .lines import OP2_SQL, op2_line_dedup
@@ -13,5 +13,22 @@ from .simhash import op9_simhash
 from .substrings import OP3_SQL, op3_substrings
 from .toxicity import op10_toxicity
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op1_cover_tree": op1_cover_tree, "op7_language": op7_language, "op10_toxicity": op10_toxicity, "op3_substrings": op3_substrings, "op6_decontamination": op6_decontamination, "op9_simhash": op9_simhash, "op4_mixing": op4_mixing, "op5_token_output": op5_token_output, "op8_token_counts": op8_token_counts}
-SQL: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_decontamination": OP6_SQL, "op3_substrings": OP3_SQL, "op2_line_dedup": OP2_SQL}
+QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_substrings": op3_substrings,
+    "op4_mixing": op4_mixing,
+    "op5_token_output": op5_token_output,
+    "op6_decontamination": op6_decontamination,
+    "op7_language": op7_language,
+    "op8_token_counts": op8_token_counts,
+    "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
+}
+SQL: dict[str, str] = {
+    "op1_cover_tree": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op3_substrings": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
+}
