@@ -89,7 +89,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
-        e = saved(small.where("u > v").distinct(), "stars")
+        old, e = e, saved(small.where("u > v").distinct(), "stars")
+        dropped(old)
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if before == now:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
