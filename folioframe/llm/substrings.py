@@ -17,8 +17,12 @@ from .common import dropped, saved, texts
 WINDOW = 13
 #: Words of the pieces whose least hash routes a window: equal windows have the same least hash.
 PIECE = 5
+#: The same for shards that are dealt anew.
+LONG_PIECE = 10
 #: Word hashes that a worker keeps.
-KEPT = 1_000_000
+KEPT = 500_000
+#: Distinct spans beyond which a shard is dealt anew by longer pieces.
+CROWDED = 5000
 
 
 class _Hashes(dict):
@@ -34,13 +38,13 @@ def hashes() -> _Hashes:
     return _Hashes()
 
 
-def routes(words: list[bytes], window: int) -> np.ndarray:
+def routes(words: list[bytes], window: int, piece: int = PIECE) -> np.ndarray:
     """The route of each window: the least hash among its pieces."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(hashes().__getitem__, words), np.uint64, len(words))
-    size = min(PIECE, window)
+    size = min(piece, window)
     mixed = np.zeros(len(words) - size + 1, np.uint64)
     for k in range(size):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
@@ -115,22 +119,9 @@ class SuffixAutomaton:
         return out
 
 
-def earlier_windows(spans: list[tuple[int, list[bytes]]], window: int) -> list[list[int]]:
-    """For spans of a shard in ascending order of first document: their windows that an earlier document has.
-
-    The automaton holds what came before; spans of one document are matched before any of them goes in.
-    """
-    automaton, out, i = SuffixAutomaton(), [], 0
-    while i < len(spans):
-        j = i
-        while j < len(spans) and spans[j][0] == spans[i][0]:
-            found = automaton.matching(spans[j][1]) if i else []
-            out.append([k - window + 1 for k, n in enumerate(found) if n >= window])
-            j += 1
-        for _, words in spans[i:j]:
-            automaton.add(words)
-        i = j
-    return out
+def earlier_windows(automaton: SuffixAutomaton, words: list[bytes], window: int) -> list[int]:
+    """Begins of the windows of words that the automaton holds."""
+    return [k - window + 1 for k, n in enumerate(automaton.matching(words)) if n >= window]
 
 
 def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -144,7 +135,8 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
        its windows from there.
     3. A route's distinct spans form a reference shard. Its suffix automaton takes them in ascending
        first document; matching statistics of 13 and more show a span's windows that came before.
-    A span that a third of all documents share is one row after step 2. No shard is broadcast: spans go
+    A span that a third of all documents share is one row after step 2; a route with many different
+    spans is divided by longer pieces, and an automaton takes only what it doesn't hold yet. No shard is broadcast: spans go
     to the shard that can hold their windows, and to no other.
     """
     spark = docs.sparkSession
@@ -191,41 +183,52 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
     dropped(wanted)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads shards from sorted rows: route, span, first document, words."""
-        names = ["route", "span", "first", "earlier"]
-        held: list[tuple[int, int, int, bytes]] = []
-
-        def closed(out: list[list]) -> None:
-            if len(held) > 1:
-                earlier = earlier_windows([(d, w.split()) for _, _, d, w in held], window)
-                for (r, s, d, _), e in zip(held, earlier):
-                    if e:
-                        for column, value in zip(out, (r, s, d, e)):
-                            column.append(value)
-            held.clear()
-
-        def batch(out: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int32()))], names)
-
-        out: list[list] = [[], [], [], []]
+        """Reads shards from sorted rows (shard, first document, span, route, at, words), one after the other."""
+        names, kinds = ["route", "span", "earlier"], (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        automaton, shard, first = SuffixAutomaton(), None, None
+        waiting: list[list[bytes]] = []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[-1][0] != row[0]:
-                    closed(out)
-                held.append(row)
+            out: list[list] = [[], [], []]
+            for key, doc, span, route, at, words in zip(*(c.to_pylist() for c in b.columns)):
+                words = words.split()
+                if key != shard:
+                    automaton, shard, waiting = SuffixAutomaton(), key, []
+                elif doc != first:  # what one document has goes in once all of it is matched
+                    for sequence in waiting:
+                        automaton.add(sequence)
+                    waiting = []
+                first = doc
+                known = earlier_windows(automaton, words, window)
+                if len(known) < len(words) - window + 1:
+                    waiting.append(words)
+                if known:
+                    for column, value in zip(out, (route, span, [at + k for k in known])):
+                        column.append(value)
             if out[0]:
-                yield batch(out)
-                out = [[], [], [], []]
-        closed(out)
-        if out[0]:
-            yield batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Crowded shards are dealt anew: their spans are cut by the routes of longer pieces."""
+        names, kinds = ["shard", "first", "span", "route", "at", "words"], (*[pa.int64()] * 4, pa.int32(), pa.binary())
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for first, span, route, words in zip(*(c.to_pylist() for c in b.columns)):
+                words = words.split()
+                r = routes(words, window, LONG_PIECE).view(np.int64)
+                for x, y in zip(*(k.tolist() for k in runs(r))):
+                    for column, value in zip(out, (int(r[x]) ^ route, first, span, route, x, b" ".join(words[x : y + window - 1]))):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     distinct = found.groupBy("route", "span").agg(F.min("_doc").alias("first"), F.any_value("words").alias("words"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     several = saved(distinct, "distinct")
-    crowded = several.groupBy("route").count().where("count > 1").select("route")
-    shards = several.join(crowded, "route").repartition(parts, "route").sortWithinPartitions("route", "first", "span").select("route", "span", "first", "words")
-    earlier = shards.mapInArrow(match, "route bigint, span bigint, first bigint, earlier array<int>").select("route", "span", "earlier")
+    sizes = several.groupBy("route").count().where("count > 1")
+    shards = several.join(sizes, "route")
+    small = shards.where(F.col("count") <= CROWDED).select(F.col("route").alias("shard"), "first", "span", "route", F.lit(0).alias("at"), "words")
+    large = shards.where(F.col("count") > CROWDED).select("first", "span", "route", "words").mapInArrow(finer, "shard bigint, first bigint, span bigint, route bigint, at int, words binary")
+    dealt = small.unionByName(large).repartition(parts, "shard").sortWithinPartitions("shard", "first", "span")
+    earlier = dealt.mapInArrow(match, "route bigint, span bigint, earlier array<int>").groupBy("route", "span").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
     firsts = several.select("route", "span", "first").join(earlier, ["route", "span"], "left")
     placed = found.select("_doc", "_row", "route", "span", "begin", "end").join(firsts, ["route", "span"])
     whole = F.array(F.struct(F.col("begin"), F.col("end")))
