@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, texts
+from .common import saved
 
 WINDOW = 10
 #: Two rarest terms of an item within so many words count as a proximity match.
@@ -54,6 +54,11 @@ class TestTerms:
         for k, r in enumerate(rows):
             self.terms[k, : len(r)] = r
 
+    def numbers(self, text: bytes) -> np.ndarray:
+        """The terms of a text's words, -1 for words that no item has."""
+        w = words(text)
+        return np.fromiter((self.term.get(x, -1) for x in w), np.int32, len(w))
+
     def plan(self, frequency: np.ndarray) -> None:
         """Orders each window's places from the rarest term on, and lists the windows by their rarest term."""
         often = np.where(self.terms >= 0, frequency[np.maximum(self.terms, 0)], np.iinfo(np.int64).max)
@@ -72,9 +77,8 @@ class TestTerms:
 class Segment:
     """Positional postings of some documents: for each test term its places in ascending order."""
 
-    def __init__(self, docs: list[list[bytes]], test: TestTerms):
-        get = test.term.get
-        self.ids = np.fromiter((get(w, -1) for d in docs for w in d), np.int32, sum(map(len, docs)))
+    def __init__(self, docs: list[np.ndarray], test: TestTerms):
+        self.ids = np.concatenate(docs)
         self.ends = np.cumsum([len(d) for d in docs]).astype(np.int64)
         known = np.nonzero(self.ids >= 0)[0]
         order = known[np.argsort(self.ids[known], kind="stable")]
@@ -173,17 +177,17 @@ def search(docs: DataFrame, test: TestTerms, id_col: str, text_col: str, keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = sent.value
         for b in batches:
-            all_docs = [words(x) for x in texts(b.column(1))]
-            i = 0
-            while i < len(all_docs):
-                j, n = i, 0
-                while j < len(all_docs) and (j == i or n + len(all_docs[j]) <= SEGMENT_WORDS):
-                    n += len(all_docs[j])
-                    j += 1
-                yield one(b.slice(i, j - i), all_docs[i:j], test)
-                i = j
-
-    def one(b: pa.RecordBatch, docs: list[list[bytes]], test: TestTerms) -> pa.RecordBatch:
+            numbers, begun, n = [], 0, 0
+            for k, text in enumerate(b.column(1).cast(pa.large_binary())):
+                numbers.append(test.numbers(text.as_py() or b""))
+                n += len(numbers[-1])
+                if n >= SEGMENT_WORDS:
+                    yield one(b.slice(begun, k + 1 - begun), numbers, test)
+                    numbers, begun, n = [], k + 1, 0
+            if numbers:
+                yield one(b.slice(begun), numbers, test)
+
+    def one(b: pa.RecordBatch, docs: list[np.ndarray], test: TestTerms) -> pa.RecordBatch:
         seg = Segment(docs, test)
         depth = np.zeros(len(seg.ids) + 1, np.int64)
         items: list[set[str]] = [set() for _ in docs]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @lru_cache(maxsize=1)
-def golay_keys() -> tuple[np.ndarray, np.ndarray]:
-    """For each 23-bit word its six codeword numbers, and how many of them differ.
+def cosets() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(syndromes by the low 12 bits, by the high 11 bits, error patterns by syndrome: six, -1 where there are fewer)."""
+    one = []
+    for k in range(23):
+        r = 1 << k
+        for i in range(22, 10, -1):
+            if r >> i & 1:
+                r ^= GENERATOR << (i - 11)
+        one.append(r)
+
+    def table(bits: list[int]) -> np.ndarray:
+        out = np.zeros(1 << len(bits), np.int64)
+        for k, s in enumerate(bits):
+            out ^= np.where(np.arange(len(out)) >> k & 1, s, 0)
+        return out
+
+    patterns = np.full((1 << 11, 6), -1, np.int64)
+    filled = np.zeros(1 << 11, np.int64)
+    for weight in range(5):
+        for places in combinations(range(23), weight):
+            syndrome = 0
+            for k in places:
+                syndrome ^= one[k]
+            patterns[syndrome, filled[syndrome]] = sum(1 << k for k in places)
+            filled[syndrome] += 1
+    return table(one[:12]), table(one[12:]), patterns
+
+
+def golay_keys(words: np.ndarray) -> np.ndarray:
+    """Six keys of each 23-bit word, -1 where there are fewer: the low 12 bits, which tell codewords apart, of codewords nearby.
 
     A word within two bits of a codeword has that one. Any other is three bits from one codeword and
     four bits from five more; these six are its keys. Two words that differ in two bits or fewer share
@@ -63,26 +92,9 @@ def golay_keys() -> tuple[np.ndarray, np.ndarray]:
     bits from theirs, the seven-bit codewords that hold a word's three-bit error split the other places
     into five fours, so that one of the six lies within four bits of both.
     """
-    message = np.arange(1 << 12, dtype=np.uint32)
-    code = np.zeros(1 << 12, np.uint32)
-    for k in range(12):
-        code ^= np.where(message >> k & 1, np.uint32(GENERATOR << k), np.uint32(0))
-    bits = [np.uint32(1 << k) for k in range(23)]
-    keys = np.full((1 << 23, 6), -1, np.int16)
-    filled = np.zeros(1 << 23, np.int8)
-    from itertools import combinations
-
-    for weight in range(4):
-        for error in combinations(bits, weight):
-            word = code ^ np.bitwise_or.reduce(np.array(error or [0], np.uint32))
-            keys[word, 0] = message
-            filled[word] = 1 if weight < 3 else -1  # -1: further keys follow
-    for error in combinations(bits, 4):
-        word = code ^ np.bitwise_or.reduce(np.array(error, np.uint32))
-        place = np.abs(filled[word])
-        keys[word, place] = message
-        filled[word] = -(place + 1)
-    return keys, np.abs(filled)
+    low, high, patterns = cosets()
+    found = patterns[low[words & 0xFFF] ^ high[words >> 12]]
+    return np.where(found >= 0, (words[:, None] ^ found) & 0xFFF, -1)
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +107,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     - some in each: a and b have two at most, and c two at most, so one of its three parts of six bits
       has none: Golay keys of a and of b, with that part.
     """
-    keys, count = golay_keys()
     a, b, c = (fps & 0x7FFFFF).astype(np.int64), (fps >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64), (fps >> np.uint64(46)).astype(np.int64)
-    ka, kb, kc = keys[a].astype(np.int64), keys[b].astype(np.int64), keys[c].astype(np.int64)
+    ka, kb, kc = golay_keys(a), golay_keys(b), golay_keys(c)
     row = np.arange(len(fps))
     rows, out = [], []
 
