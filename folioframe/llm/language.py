@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 #: Buckets of byte trigrams.
 GRAMS = 1 << 16
@@ -190,6 +190,8 @@ def accepted_documents(docs: DataFrame, *, least: float = 0.5, text_col: str = "
     judged = saved(text_evidence(rows, model, markup=False), "judged")
     fused = fuse(judged, model[0])
     bad = fused.where((F.col("_lang") == UNKNOWN) | (F.col("_probability") < least) | (F.col("_grams") == 0)).select(F.col("_id").alias("_key")).distinct()
+    bad = saved(bad, "rejected")  # written, so that its size is known: a small one is broadcast and no text is shuffled
+    dropped(judged)
     return docs.withColumn("_key", key).join(bad, "_key", "left_anti").drop("_key")
 
 
