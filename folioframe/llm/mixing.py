@@ -22,7 +22,7 @@ def word_count(text: Column) -> Column:
 def text_quality(text: Column) -> Column:
     """Share of a text's characters that are letters a-z, in [0.05, 1]: a default quality weight that needs no labels."""
     plain = F.length(F.regexp_replace(F.lower(text), "[^a-z]", ""))
-    return F.coalesce(F.greatest(F.lit(0.05), plain / F.length(text)), F.lit(0.05))
+    return F.coalesce(F.greatest(F.lit(0.05), plain / F.nullif(F.length(text), F.lit(0))), F.lit(0.05))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -75,9 +75,9 @@ def mix(
     keyed = docs.withColumns({"_size": word_count(text), "_key": -F.log(u) / q, "_src": source})
     # 1 - exp(-key) puts the keys into (0, 1); the ranges need not hold equally much.
     keyed = keyed.withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    # Measured once: the two later readings see a written table, without the texts if nobody wants them.
     keyed = keyed.withColumn("_tie", F.xxhash64(text))
-    keyed = saved(keyed if keep_text else keyed.drop(text_col), "mix")
+    if not keep_text:  # then the later readings see a small written table; texts are measured anew instead of written
+        keyed = saved(keyed.drop(text_col), "mix")
     sums = keyed.groupBy(F.col("_src").alias("source"), "_range").agg(F.sum("_size").alias("n"))
     shares = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
     shares = shares.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -88,6 +88,8 @@ def mix(
     ends = ends.groupBy("source").agg(F.min("_range").alias("_last"), F.min(F.struct("_range", (F.col("_rest") - F.col("upto") + F.col("n")).alias("left")))["left"].alias("_left"))
     plan = shares.join(ends.select(F.col("source").alias("s"), "_last", "_left"), F.col("source").eqNullSafe(F.col("s")), "left")
     plan = plan.select(F.col("source").alias("_plan_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_epochs", "_last", "_left")
+    # One row a source, written, so that its size is known: small ones are broadcast, a large one is joined by shuffle.
+    plan = saved(plan, "plan")
     planned = keyed.join(plan, F.col("_src").eqNullSafe(F.col("_plan_src")))
     inside = F.col("_last").isNotNull() & (F.col("_range") == F.col("_last"))
     order = Window.partitionBy("_plan_src").orderBy("_key", id_col, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
