@@ -25,10 +25,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays; of its rows with that id, one."""
-    named = near_duplicates(docs).select("doc_id", "component_id").distinct()
-    stay = named.where("doc_id = component_id or doc_id is null").select("doc_id")
-    known = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
-    return known.select("doc_id", "_d.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null")
+    # What goes is written first: its size is then known, and a small list costs no shuffle of texts.
+    stays = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = saved(stays.where("not stays").select("doc_id"), "gone")
+    twice = saved(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    left = docs.join(gone, "doc_id", "left_anti")
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("doc_id", "_d.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
