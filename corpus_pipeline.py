@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.common import saved
 from folioframe.llm.decontamination import contamination
+from folioframe.llm.jaccard import near_copies
 from folioframe.llm.language import accepted_documents
 from folioframe.llm.mixing import mixed
 from folioframe.llm.packing import packed_digest
-from folioframe.llm.simhash import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; of its rows with that id, one."""
-    named = near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null")
+    """Of each group of texts alike in 0.8 of their five-word runs the document with the smallest id stays; of its rows with that id, one."""
+    named = saved(near_copies(docs), "named")
+    least = named.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "_group").select("doc_id", "component_id").where("doc_id is not null")
     # What goes is written first: its size is then known, and a small list costs no shuffle of texts.
     stays = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     gone = saved(stays.where("not stays").select("doc_id"), "gone")

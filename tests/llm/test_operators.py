@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioframe.llm import bpe, common, covertree, decontamination, language, lines, mixing, packing, simhash, substrings, toxicity
+from folioframe.llm import bpe, common, covertree, decontamination, jaccard, language, lines, mixing, packing, simhash, substrings, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, label int, key string"
 WORDS = "the of and to in soil water crop farm study data yield tree seed rain field".split()
@@ -204,6 +204,38 @@ def test_near_duplicates(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_copies(spark, rows, nothing):
+    rng = random.Random(12)
+    base = prose(rng, 200).split()
+    made = [list(r[:2]) for r in rows]
+    for k in range(40):  # a crowd of near copies, and the same text with more and more words changed
+        made.append([1000 + k, " ".join(base[:k] + ["other"] + base[k + 1 :])])
+        made.append([2000 + k, " ".join(w if i * k % 211 > k // 4 else f"x{i}" for i, w in enumerate(base))])
+        made.append([3000 + k, prose(rng, 2) + " all rights reserved by the owners of the soil study and of its data"])
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words_of("".join(c.lower() if c.isascii() else c for c in t or "")) for _, t in made)]
+    root = roots(len(made), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = jaccard.near_copies(spark.createDataFrame(made, "doc_id bigint, text string").repartition(5)).collect()
+    of = {(r.doc_id, r._tid): r._group for r in got}
+    assert len(got) == len(made) and len({root[i] for i in range(len(made))}) == len(set(of.values()))
+    group = defaultdict(set)
+    for r in got:
+        group[r._group].add(r.doc_id)
+    want = defaultdict(set)
+    for (i, _), k in zip(made, root):
+        want[k].add(i)
+    assert sorted(map(repr, (sorted(v, key=repr) for v in group.values()))) == sorted(map(repr, (sorted(v, key=repr) for v in want.values())))
+    assert jaccard.near_copies(nothing).count() == 0
+
+
+def test_pipeline_near_copies_go(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = prose(random.Random(13), 100).split()
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(base[:40] + ["changed"] + base[41:70] + ["too"] + base[71:]), "en", "s", 1), (3, prose(random.Random(14), 100), "en", "s", 1)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert (simhash.fingerprint(rows[0][1].encode()) ^ simhash.fingerprint(rows[1][1].encode())).bit_count() > 4
+    assert sorted(r.doc_id for r in pipeline.near_duplicate(spark, d, "").collect()) == [1, 3]
+
+
 def test_fuzzy_keys_miss_no_pair():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * 2 + rng.integers(0, 2, 3000).astype(np.uint64)
