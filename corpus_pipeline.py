@@ -24,17 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike in 0.8 of their five-word runs the document with the smallest id stays; of its rows with that id, one."""
+    """Of each group of texts alike in 0.8 of their five-word runs one row stays: of the smallest id (null ids last) the text of least hash."""
     named = saved(near_copies(docs), "named")
-    least = named.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "_group").select("doc_id", "component_id").where("doc_id is not null")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tid")
+    least = named.groupBy("_group").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
+    of = named.join(least, "_group").select("doc_id", "_tid", (place == F.col("least")).alias("stays"))
     # What goes is written first: its size is then known, and a small list costs no shuffle of texts.
-    stays = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = saved(stays.where("not stays").select("doc_id"), "gone")
-    twice = saved(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "twice")
-    left = docs.join(gone, "doc_id", "left_anti")
-    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select("doc_id", "_d.*"))
+    gone = saved(of.where("not stays").select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_gone")).distinct(), "gone")
+    twice = of.where("stays").groupBy("doc_id", "_tid").count().where("count > 1")
+    twice = saved(twice.select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_twice")), "twice")
+    marked = docs.withColumn("_tid", F.xxhash64("text"))
+    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_gone")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_twice"))
+    one = left.join(twice, same, "left_semi").groupBy("doc_id", "_tid").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
+    return left.join(twice, same, "left_anti").select(docs.columns).unionByName(one.select("doc_id", "_d.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

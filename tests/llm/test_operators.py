@@ -236,6 +236,16 @@ def test_pipeline_near_copies_go(spark):
     assert sorted(r.doc_id for r in pipeline.near_duplicate(spark, d, "").collect()) == [1, 3]
 
 
+def test_pipeline_keeps_one_row_a_group(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (prose(random.Random(k), 60) for k in (15, 16, 17))
+    rows = [(7, a), (7, b), (9, b), (None, a), (None, c), (None, c), (3, c), (8, None), (8, a + " x"), (5, "one"), (5, "one"), (6, "two"), (None, "three"), (None, "three")]
+    d = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = pipeline.near_duplicate(spark, d.repartition(3), "").collect()
+    want = [(7, a), (7, b), (3, c), (8, None), (5, "one"), (6, "two"), (None, "three")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_fuzzy_keys_miss_no_pair():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * 2 + rng.integers(0, 2, 3000).astype(np.uint64)
