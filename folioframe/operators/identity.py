@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -52,12 +52,15 @@ def long_enough(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(x, y) >= least * (x + y)
 
 
-def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92, pool: int = 100) -> DataFrame:
+def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92) -> DataFrame:
     """(record_id, publication_id, matched_by, score): the best stored row of each record, if any.
 
-    By DOI, then source and external id, then title, year and first author, then title likeness within
-    the year's `pool` latest stored rows that aren't deleted. Both sides have the columns doi, source,
-    external_id, key_title, publication_year, first_author; stored also is_deleted and updated_at.
+    By DOI, then source and external id, then title, year and first author, then title likeness to
+    any of the year's stored rows that aren't deleted. Both sides have the columns doi, source,
+    external_id, key_title, publication_year, first_author; stored also is_deleted.
+
+    Titles meet by year and every length that the ratio allows, a year's rows dealt over several tasks;
+    the ratio is taken where the edit distance, which is never over the unmatched characters, allows it.
     """
     r, s = records, stored
     found = None
@@ -70,10 +73,17 @@ def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92, pool: i
         hit = a.select("record_id", *keys).join(b.groupBy(*keys).agg(F.min("publication_id").alias("publication_id")), keys)
         hit = hit.select("record_id", "publication_id", F.lit(name).alias("matched_by"), F.lit(rank).alias("rank"), F.lit(1.0).alias("score"))
         found = hit if found is None else found.unionByName(hit)
-    latest = s.where(~F.col("is_deleted") & F.col("publication_year").isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy("publication_year").orderBy(F.desc("updated_at"), "publication_id")))
-    latest = latest.where(F.col("_r") <= pool).select("publication_year", "publication_id", F.col("key_title").alias("other"))
-    left = r.join(found.select("record_id").distinct(), "record_id", "left_anti").where("publication_year is not null")
-    pairs = left.select("record_id", "publication_year", "key_title").join(latest, "publication_year").where(long_enough(F.col("key_title"), F.col("other"), least))
+    # Rows of one year and length are many: they are dealt over tasks, and each record goes to all of these.
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = F.length("key_title")
+    live = s.where(~F.col("is_deleted") & F.col("publication_year").isNotNull()).select("publication_year", "publication_id", F.col("key_title").alias("other"))
+    live = live.withColumns({"_n": F.length("other"), "_salt": F.pmod(F.xxhash64("publication_id"), F.lit(parts)).cast("int")})
+    left = r.join(found.select("record_id").distinct(), "record_id", "left_anti").where("publication_year is not null and key_title is not null")
+    lengths = F.sequence(F.floor(n * least / (2 - least)).cast("int"), F.ceil(n * (2 - least) / least).cast("int"))
+    left = left.select("record_id", "publication_year", "key_title", F.explode(lengths).alias("_n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    unlike = F.floor((1 - least) * (F.length("key_title") + F.length("other")) + 1e-6).cast("int")
+    pairs = left.join(live, ["publication_year", "_n", "_salt"]).where(long_enough(F.col("key_title"), F.col("other"), least))
+    pairs = pairs.where(F.call_function("levenshtein", F.col("key_title"), F.col("other"), unlike) >= 0)
     likely = pairs.withColumn("score", ratio("key_title", "other", least)).where(F.col("score") >= least)
     found = found.unionByName(likely.select("record_id", "publication_id", F.lit("title_ratio").alias("matched_by"), F.lit(len(rules)).alias("rank"), "score"))
     best = found.groupBy("record_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("n"), "publication_id", "matched_by", "score")).alias("b"))
