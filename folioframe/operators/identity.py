@@ -90,41 +90,46 @@ def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92) -> Data
     return best.select("record_id", "b.publication_id", "b.matched_by", "b.score")
 
 
-def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, common: int = 50, long_lead: int = 8) -> DataFrame:
+def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, common: int = 50) -> DataFrame:
     """Scored candidate pairs (first_id < second_id); never merges.
 
     Candidates share a DOI, or a title holds the other's first `lead` words, found by the shared run of
     words. Equal DOIs score 1; else 0.4 title + 0.3 abstract likeness + 0.2 author overlap + 0.1 year.
-    A run that more than `common` titles hold is a set opening and tells nothing: there the first
-    `long_lead` words are asked for.
+    Titles with a run that more than `common` titles hold are dealt over several tasks, and each that opens
+    with it goes to all of these. Pairs that can't reach the score by lengths, authors and years go at once.
     """
     words = F.filter(F.split(F.col("key_title"), " "), lambda w: w != "")
-    p = pubs.withColumn("_w", words)
-
-    def held(n: int) -> tuple[DataFrame, DataFrame]:
-        q = p.where(F.size("_w") >= n)
-        starts = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
-        runs = q.select("publication_id", F.explode(F.array_distinct(starts)).alias("run"))
-        return q.select(F.col("publication_id").alias("head_id"), F.array_join(F.slice("_w", 1, n), " ").alias("run")), runs
-
-    heads, runs = held(lead)
-    openings = runs.groupBy("run").count().where(F.col("count") > common).select("run")
-    long_heads, long_runs = held(long_lead)
-    long_heads = long_heads.join(heads.join(openings, "run", "left_semi").select("head_id"), "head_id", "left_semi")
-    by_title = heads.join(openings, "run", "left_anti").join(runs, "run").unionByName(long_heads.join(long_runs, "run"))
-    by_title = by_title.where("head_id <> publication_id").select(F.least("head_id", "publication_id").alias("first_id"), F.greatest("head_id", "publication_id").alias("second_id"))
+    p = pubs.withColumn("_w", words).where(F.size("_w") >= lead)
+    parts = int(pubs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = lambda m, n: 2 * F.least(m, n) / F.greatest(F.lit(1), m + n)
+    length = lambda n, c: F.length(f"{n}_{c}")
+
+    def cheap(a: str, b: str) -> Column:
+        gap = F.abs(F.col(f"{a}_publication_year") - F.col(f"{b}_publication_year"))
+        return 0.2 * F.coalesce(S.overlap(F.col(f"{a}_authors"), F.col(f"{b}_authors")), F.lit(0.0)) + 0.1 * F.when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
+
+    def known(n: str) -> list[Column]:
+        return [F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("authors", "publication_year")], F.length("key_title").alias(f"{n}_t"), F.length("abstract").alias(f"{n}_a")]
+
+    starts = F.transform(F.sequence(F.lit(1), F.size("_w") - lead + 1), lambda i: F.array_join(F.slice("_w", i, lead), " "))
+    heads = p.select(*known("head"), F.array_join(F.slice("_w", 1, lead), " ").alias("run"))
+    runs = p.select(*known("held"), F.explode(F.array_distinct(starts)).alias("run"))
+    openings = runs.groupBy("run").count().where(F.col("count") > common).select("run", F.lit(True).alias("_hot"))
+    heads = heads.join(openings, "run", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    runs = runs.join(openings, "run", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("held_id"), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
+    by_title = heads.join(runs, ["run", "_salt"]).where("head_id <> held_id")
+    near = F.when(F.col("head_a").isNull() | F.col("held_a").isNull(), 0.0).otherwise(bound(F.col("head_a"), F.col("held_a")))
+    by_title = by_title.where(cheap("head", "held") + 0.3 * near + 0.4 * bound(F.col("head_t"), F.col("held_t")) >= least - 1e-9)
+    by_title = by_title.select(F.least("head_id", "held_id").alias("first_id"), F.greatest("head_id", "held_id").alias("second_id"))
     d = pubs.where("doi is not null").select("publication_id", "doi")
     by_doi = d.withColumnRenamed("publication_id", "first_id").join(d.withColumnRenamed("publication_id", "second_id"), "doi").where("first_id < second_id").select("first_id", "second_id")
     pairs = by_title.unionByName(by_doi).distinct()
     side = lambda n: pubs.select(F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("doi", "key_title", "abstract", "authors", "publication_year")])
     both = pairs.join(side("first"), "first_id").join(side("second"), "second_id")
-    gap = F.abs(F.col("first_publication_year") - F.col("second_publication_year"))
-    cheap = 0.2 * F.coalesce(S.overlap(F.col("first_authors"), F.col("second_authors")), F.lit(0.0)) + 0.1 * F.when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
-    both = both.withColumns({"same": F.coalesce(F.col("first_doi") == F.col("second_doi"), F.lit(False)), "cheap": cheap})
+    both = both.withColumns({"same": F.coalesce(F.col("first_doi") == F.col("second_doi"), F.lit(False)), "cheap": cheap("first", "second")})
     # What can't reach the score whatever the texts say goes before they are compared, titles first.
-    bound = lambda a, b: 2 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
-    abstracts = F.when(F.col("first_abstract").isNull() | F.col("second_abstract").isNull(), 0.0).otherwise(bound("first_abstract", "second_abstract"))
-    both = both.where(F.col("same") | (F.col("cheap") + 0.3 * abstracts + 0.4 * bound("first_key_title", "second_key_title") >= least))
+    abstracts = F.when(F.col("first_abstract").isNull() | F.col("second_abstract").isNull(), 0.0).otherwise(bound(length("first", "abstract"), length("second", "abstract")))
+    both = both.where(F.col("same") | (F.col("cheap") + 0.3 * abstracts + 0.4 * bound(length("first", "key_title"), length("second", "key_title")) >= least))
     both = both.withColumn("by_title", 0.4 * ratio("first_key_title", "second_key_title", (least - 1e-9 - F.col("cheap") - 0.3 * abstracts) / 0.4)).where(F.col("same") | (F.col("cheap") + 0.3 * abstracts + F.col("by_title") >= least))
     by_abstract = F.when(F.col("first_abstract").isNull() | F.col("second_abstract").isNull(), 0.0).otherwise(ratio("first_abstract", "second_abstract", (least - 1e-9 - F.col("cheap") - F.col("by_title")) / 0.3))
     scored = both.withColumn("score", F.when(F.col("same"), 1.0).otherwise(F.col("by_title") + 0.3 * by_abstract + F.col("cheap")))

@@ -32,3 +32,20 @@ def test_match_reaches_all_rows_of_the_year(spark):
             want[r[0]] = min(found)[1]
     got = {r.record_id: r.publication_id for r in identity.match(spark.createDataFrame(records, RECORD), spark.createDataFrame(stored, STORED)).collect()}
     assert got == want and len(want) > 150
+
+
+def test_duplicate_pairs_of_a_crowded_opening(spark):
+    """Titles of six words with one opening of four, each twice with another last word."""
+    rng = random.Random(4)
+    rows = [(i, None, f"notes on the soil {'abcdefghijklmnop'[i % 16]}{i // 2:03d} {'abcdefghij'[i // 2 % 10] * 9}{'xy'[i % 2]}", f"text {i // 2} " * 5, [f"author {i // 2}"], 2000 + i // 2 % 9) for i in range(160)]
+    rng.shuffle(rows)
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                gap = abs(a[5] - b[5])
+                score = 0.4 * SequenceMatcher(None, a[2], b[2], autojunk=False).ratio() + 0.3 * SequenceMatcher(None, a[3], b[3], autojunk=False).ratio() + 0.2 * (a[4] == b[4]) + 0.1 * (1 if gap == 0 else 0.5 if gap == 1 else 0)
+                if score >= 0.65:
+                    want.add((a[0], b[0]))
+    got = identity.duplicate_pairs(spark.createDataFrame(rows, "publication_id long, doi string, key_title string, abstract string, authors array<string>, publication_year int"))
+    assert {(r.first_id, r.second_id) for r in got.collect()} == want and len(want) >= 80
