@@ -185,6 +185,11 @@ def test_mixing(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_ranges_stay_small_without_latin_letters(spark):
+    d = spark.createDataFrame([(i, "почва и вода " * 3, "ru") for i in range(3000)], "doc_id bigint, text string, source string")
+    assert max(r["count"] for r in mixing.mix(d).groupBy("_range").count().collect()) < 30
+
+
 def test_near_duplicates(docs, rows, nothing):
     def mark(t):
         w = words_of("".join(c.lower() if c.isascii() else c for c in t or ""))
