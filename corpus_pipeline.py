@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import saved
+from folioframe.llm.common import dropped, saved, scratch
 from folioframe.llm.decontamination import contamination
 from folioframe.llm.jaccard import near_copies
 from folioframe.llm.language import accepted_documents
@@ -42,9 +42,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with words inside occurrences of benchmark windows go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("text", *others))
-    return found.where(F.size("begins") == 0).withColumnRenamed("_id", "doc_id").select(docs.columns)
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where(F.size("begins") > 0).select("_id", F.col("_tid").alias("_hit")).distinct()
+    hit = saved(hit, "hit")  # written, so that its size is known: a small one is broadcast and no text is shuffled
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_hit"))
+    return docs.withColumn("_tid", F.xxhash64("text")).join(hit, same, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote for itself, and what it read, goes when its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch():
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}", kept=True)
+        if before is not None:
+            dropped(before)
+        before = docs
+    with scratch():
+        out = saved(STAGES[-1][1](spark, docs, sf_dir), "stage-token_output", kept=True)
+    dropped(docs)
+    return out

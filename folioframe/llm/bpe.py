@@ -11,6 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import mapped
+
 #: The pieces of the byte-level scheme, with Unicode's White_Space spelled out.
 WHITE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
@@ -160,7 +162,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return frame.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return mapped(frame, run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Spark's setting to delete a query's shuffle files when it ends; what saved() wrote needs them no more.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a session that the operators give it where it has none of its own: a query's shuffle files go when
+#: it ends (what saved() wrote needs them no more), and Python gets texts in batches of bounded size.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216b"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,42 +35,77 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
+def settled(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
+#: What saved() has written inside the innermost scratch().
+_written: ContextVar[list[DataFrame] | None] = ContextVar("_written", default=None)
+
+
+def saved(df: DataFrame, name: str, *, kept: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of executors.
+
+    kept: a scratch() around it leaves the table where it is.
+    """
+    spark = settled(df.sparkSession)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not kept and (own := _written.get()) is not None:
+        own.append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that saved() writes inside are deleted at the end, but for kept ones: nothing may read them later."""
+    own: list[DataFrame] = []
+    before = _written.set(own)
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _written.reset(before)
+        for df in own:
+            dropped(df)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes what saved() wrote, once nothing reads it any more."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # none for a table that is gone already
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of bounded size; a worker gives back what a task took before it takes the next."""
+    settled(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def strips(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of numbers without nulls, about `rows` rows at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, saved, texts
+from .common import components, dropped, mapped, saved, strips, texts
 
 SHINGLE, LEAST = 5, 0.8
 #: One text in so many is read for what is common, shingles in so many of them are, and so many of these are sent out at most.
@@ -91,8 +91,8 @@ def _candidates(postings: DataFrame, least: float, large: bool) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
 
-        for batch in batches:
-            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+        for strip in strips(batches):
+            cols = [np.concatenate([h, c]) for h, c in zip(held, strip)]
             cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
             if cut:
                 yield from groups([c[:cut] for c in cols])
@@ -102,7 +102,7 @@ def _candidates(postings: DataFrame, least: float, large: bool) -> DataFrame:
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.select(names).repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return mapped(dealt, compare, "a bigint, b bigint").distinct()
 
 
 def _alike(pairs: DataFrame, named: DataFrame, own: DataFrame, least: float, words: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _alike(pairs: DataFrame, named: DataFrame, own: DataFrame, least: float, wor
             yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
 
     both = pairs.join(found.select(F.col("sid").alias("a"), F.col("_text").alias("x")), "a").join(found.select(F.col("sid").alias("b"), F.col("_text").alias("y")), "b")
-    out = saved(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "alike")
+    out = saved(mapped(both.select("a", "b", "x", "y"), check, "a bigint, b bigint"), "alike")
     dropped(found)
     dropped(wanted)
     return out
@@ -152,7 +152,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, words))], ["key"])
 
     read = own.where(F.pmod("_tid", F.lit(SAMPLE)) == 0).select("_tid", "_text").dropDuplicates(["_tid"]).select("_text")
-    often = read.mapInArrow(sample, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON)
+    often = mapped(read, sample, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON)
     rows = sorted(tuple(r) for r in often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect())
     common = spark.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 2).T.copy())
 
@@ -175,7 +175,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], [id_col, "_tid", "sid", "n", "keys"])
 
-    marked = saved(own.mapInArrow(mark, f"`{id_col}` {kind}, _tid bigint, sid bigint, n int, keys array<bigint>"), "marked")
+    marked = saved(mapped(own, mark, f"`{id_col}` {kind}, _tid bigint, sid bigint, n int, keys array<bigint>"), "marked")
     named = marked.select("sid", "_tid")
     sets = marked.select("sid", "n", "keys").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("keys").alias("at", "key"))
     first = saved(_candidates(sets, least, False), "pairs")

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import dropped, mapped, saved
 
 #: Buckets of byte trigrams.
 GRAMS = 1 << 16
 #: Trigrams of text that count in full; the likelihood of a longer text weighs as much as this many, so that other evidence is heard.
 HEARD = 40
+#: Characters of a text whose trigrams are taken at once.
+STRIP = 1 << 16
 #: Pseudo-counts with which a host leans on its domain, a domain on all pages, and all pages on an even share.
 LEAN = 5.0
 #: The class of texts in no known language, and its prior share.
@@ -31,14 +33,19 @@ def visible(html: str) -> str:
     return unescape(TAG.sub(" ", DROP.sub(" ", html)))
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the byte trigrams of the lower-case letters and spaces of a text; digits and signs become spaces."""
-    low = "".join(c if c.isalpha() else " " for c in text.lower()) if not text.isascii() else text.lower()
-    b = np.frombuffer((" " + low + " ").encode("utf-8", "replace"), np.uint8)
-    letter = (b >= 97) & (b <= 122) | (b >= 128)
-    b = np.where(letter, b, 32).astype(np.uint32)
-    keep = letter[:-2] | letter[1:-1] | letter[2:] if len(b) > 2 else np.zeros(0, bool)
-    return ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) & (GRAMS - 1))[keep]
+def gram_strips(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the byte trigrams of the lower-case letters and spaces of a text, a bounded number at a time; digits and signs become spaces."""
+    before = np.full(1, 32, np.uint8)
+    for i in range(0, max(1, len(text)), STRIP):
+        part = text[i : i + STRIP].lower()
+        low = part if part.isascii() else "".join(c if c.isalpha() else " " for c in part)
+        last = " " if i + STRIP >= len(text) else ""
+        b = np.concatenate([before, np.frombuffer((low + last).encode("utf-8", "replace"), np.uint8)])
+        before = b[-2:]
+        letter = (b >= 97) & (b <= 122) | (b >= 128)
+        b = np.where(letter, b, 32).astype(np.uint32)
+        keep = letter[:-2] | letter[1:-1] | letter[2:] if len(b) > 2 else np.zeros(0, bool)
+        yield ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) & (GRAMS - 1))[keep]
 
 
 def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -53,12 +60,13 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text and lang:
                     n.setdefault(lang, np.zeros(GRAMS, np.int64))
-                    n[lang] += np.bincount(grams(text), minlength=GRAMS)
+                    for g in gram_strips(text):
+                        n[lang] += np.bincount(g, minlength=GRAMS)
         for lang, table in n.items():
             k = np.nonzero(table)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int32)), pa.array(table[k])], ["lang", "gram", "n"])
 
-    found = docs.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = mapped(docs.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")), count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     table = np.zeros((len(langs), GRAMS))
     for k, lang in enumerate(langs):
@@ -88,14 +96,17 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], *, marku
                 if markup:
                     m = DECLARED.search(text)
                     lang, text = m[1] if m else None, visible(text)
-                g = grams(text)
-                sizes.append(len(g))
+                size, likely = 0, np.zeros(len(table))
+                for g in gram_strips(text):
+                    size += len(g)
+                    likely += table[:, g].sum(1)
+                sizes.append(size)
                 declared.append(lang.lower() if lang else None)
-                logs.append((table[:, g].sum(1) * (min(HEARD, len(g)) / max(1, len(g)))).tolist())
+                logs.append((likely * (min(HEARD, size) / max(1, size))).tolist())
             columns = [pa.array(declared, pa.string()) if k == said else c for k, c in enumerate(b.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(logs, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], out)
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def fuse(judged: DataFrame, langs: list[str]) -> DataFrame:

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, saved
+from .common import SPACE, dropped, saved
 
-#: Leading tokens that lead from a token count to a leaf; documents that make a template recurring; tokens of a line that is judged.
-DEPTH, LEAST_DOCS, LEAST_TOKENS = 3, 4, 4
-#: Share of a template's places that must be fixed; else the line stands for itself.
-FIXED = 0.6
+#: Leading tokens that lead from a token count to a leaf; documents that make a template recurring.
+DEPTH, LEAST_DOCS = 3, 4
+#: Share of a template's places that must be fixed, in tenths; else the line stands for itself, word by word.
+FIXED = 6
 VARIABLE = "<*>"
-#: A token with a digit is a variable field.
-FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: A token with a digit is a variable field. Possessive, and from a token's first sign only: a long token is read once.
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Keys with more than one in so many of a table's rows are hot: there can be so many of them at most.
+HOT = 1000
+
+
+def words(line: Column) -> Column:
+    return F.filter(F.split(line, SPACE), lambda t: t != "")
 
 
 def tokens(line: Column) -> Column:
     """Tokens of a line, those with digits as variable fields."""
-    masked = F.regexp_replace(line, FIELD, VARIABLE)
-    return F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    return words(F.regexp_replace(line, FIELD, VARIABLE))
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -27,59 +32,80 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("_doc", "_row", F.posexplode(F.split("_text", "\n")).alias("no", "line"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """big.join(small, on) for unique keys that stand in `weight` rows of big each, `total` in all.
+
+    Keys of more than a HOT-th of the rows, HOT of them at most, are broadcast, so that none fills a task.
+    """
+    hot = F.broadcast(small.where(F.col(weight) > total / HOT).drop(weight))
+    rest = big.join(hot.select(*on), on, "left_anti").join(small.where(F.col(weight) <= total / HOT).drop(weight), on)
+    return big.join(hot, on).unionByName(rest)
+
+
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, keep_first: bool = True) -> DataFrame:
     """docs with _n_lines, _n_dropped, _kept: the lines left, joined by newlines.
 
     A line goes down the tree by its token count and its first `depth` tokens, variable fields (tokens
-    with digits) alike. In a leaf, a token is fixed where it stands at its place in lines of
-    `least_docs` documents, each different line counted with its documents; other places are variable.
-    That makes the line's template, if FIXED of its places are fixed; else the line as it is, with its
-    variable fields, is its own template. Lines whose template stands in `least_docs` documents are
-    dropped, but for the document with the smallest id that has it (keep_first=False: there too).
-
-    Lines of fewer than LEAST_TOKENS tokens stay. Null texts have no lines and stay null; documents with
-    a null id keep all lines and make nothing recur; rows with equal ids count as one document; an empty
-    table gives no rows; other columns pass through, names that begin with an underscore are ours.
+    with digits) alike; a shorter line by what tokens it has. In a leaf, a token is fixed where it stands
+    at its place in lines of `least_docs` documents, each different line counted with its documents;
+    other places are variable. That makes the line's template, if FIXED tenths of its places are fixed;
+    else the line, with its variable fields, is its own template. A line with fewer tokens without digits
+    than that has no template but its words as they are. Lines whose template stands in `least_docs`
+    documents are dropped, but for the document with the smallest id that has it (keep_first=False:
+    there too).
+
+    Blank lines stay. Null texts have no lines and stay null; documents with a null id keep all lines and
+    make nothing recur; rows with equal ids count as one document; an empty table gives no rows; lines
+    and words of any length are read once; other columns pass through, names that begin with an
+    underscore are ours.
 
     Only hashes of lines are shuffled; texts meet the leaves that need them and the dropped places once.
+    Counts are taken before each join, which tells what is hot.
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("_doc"), row.alias("_row"), F.col(text_col).cast("string").alias("_text")).where("_doc is not null and _text is not null")
-    parted = numbered_lines(own).withColumn("t", tokens(F.col("line"))).where(F.size("t") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("t"), F.slice("t", 1, depth))
+    t, w = F.col("t"), F.col("w")
+    told = F.size(F.filter(t, lambda x: x != VARIABLE)) * 10 >= F.size(t) * FIXED
+    parted = numbered_lines(own).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_row", "no", tokens(F.col("line")).alias("t"), words(F.col("line")).alias("w"))
+    parted = parted.select("_doc", "_row", "no", F.when(told, t).otherwise(w).alias("t"), F.when(told, F.slice(t, 1, depth)).otherwise(F.concat(F.array(F.lit("=")), w)).alias("lead"))
+    leaf = F.xxhash64(F.size(t), "lead")
     places = saved(parted.select("_doc", "_row", "no", leaf.alias("leaf"), F.xxhash64(leaf, "t").alias("key")), "lines")
-    grown = places.select("leaf", "_doc").distinct().groupBy("leaf").count().where(F.col("count") >= least_docs).select("leaf")
-    lines = places.join(grown, "leaf")
-    each = lines.select("leaf", "key", "_doc").distinct().groupBy("leaf", "key").agg(F.count("*").alias("docs"))
-    sample = lines.groupBy("leaf", "key").agg(F.min(F.struct("_doc", "_row", "no")).alias("at"))
-    distinct = saved(each.join(sample, ["leaf", "key"]), "distinct")
-    crowded = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
-    wanted = distinct.join(crowded, "leaf").select("leaf", "key", "docs", "at.*")
+    total = places.count()
+    by_doc = places.groupBy("leaf", "key", "_doc").agg(F.min(F.struct("_row", "no")).alias("m"), F.count("*").alias("n"))
+    distinct = saved(by_doc.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.sum("n").alias("lines"), F.min(F.struct("_doc", "m")).alias("at")), "distinct")
+    # A leaf's documents are at most the sum over its lines; where that is too low nothing can recur.
+    crowded = distinct.groupBy("leaf").agg(F.sum("docs").alias("d"), F.count("*").alias("keys")).where(F.col("d") >= least_docs).where("keys > 1").drop("d")
+    wanted = spread_join(distinct.select("leaf", "key", "docs", "at._doc", "at.m.*"), crowded, ["leaf"], "keys", distinct.count())
     texts = own.join(wanted.groupBy("_doc", "_row").agg(F.collect_list(F.struct("no", "leaf", "key", "docs")).alias("w")), ["_doc", "_row"])
     texts = texts.dropDuplicates(["_doc", "_row"]).withColumn("ls", F.split("_text", "\n")).select("ls", F.explode("w").alias("w"))
     worded = saved(texts.select("w.leaf", "w.key", "w.docs", tokens(F.get("ls", F.col("w.no"))).alias("t")), "worded")
     at = worded.select("leaf", "key", "docs", F.posexplode("t").alias("k", "token"))
-    fixed = at.groupBy("leaf", "k", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).where(F.col("token") != VARIABLE)
-    marks = at.join(fixed, ["leaf", "k", "token"]).groupBy("leaf", "key").agg(F.collect_set("k").alias("ks"))
+    fixed = at.where(F.col("token") != VARIABLE).groupBy("leaf", "k", "token").agg(F.sum("docs").alias("n"), F.count("*").alias("rows")).where(F.col("n") >= least_docs).drop("n")
+    standing = worded.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
+    marks = spread_join(at.select("leaf", "key", "k", "token"), fixed, ["leaf", "k", "token"], "rows", standing).groupBy("leaf", "key").agg(F.collect_set("k").alias("ks"))
     shape = F.transform("t", lambda t, k: F.when(F.array_contains("ks", k), t).otherwise(F.lit(VARIABLE)))
-    general = worded.join(marks, ["leaf", "key"]).where(F.size("ks") >= FIXED * F.size("t")).select("key", F.xxhash64("leaf", shape).alias("template"))
-    template = distinct.select("key", "docs").join(general, "key", "left").withColumn("template", F.coalesce("template", "key"))
-    named = lines.select("_doc", "_row", "no", "key").join(template.select("key", "template"), "key")
-    often = named.select("template", "_doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("_doc").alias("first")).where(F.col("n") >= least_docs)
-    gone = named.join(often, "template").where(F.lit(not keep_first) | (F.col("_doc") > F.col("first")))
+    general = worded.join(marks, ["leaf", "key"]).where(F.size("ks") * 10 >= F.size("t") * FIXED).select("key", F.xxhash64("leaf", shape).alias("template"))
+    general = saved(general.join(distinct.select("key", "lines"), "key"), "general")
+    named = spread_join(places.select("_doc", "key"), general, ["key"], "lines", total)
+    often = named.select("template", "_doc").distinct().groupBy("template").agg(F.count("*").alias("n"), F.min("_doc").alias("first")).where(F.col("n") >= least_docs).drop("n")
+    often = often.join(general.groupBy("template").agg(F.count("*").alias("keys")), "template")
+    by_shape = spread_join(general, often, ["template"], "keys", general.count()).select("key", "lines", "first")
+    by_line = distinct.where(F.col("docs") >= least_docs).join(general.select("key"), "key", "left_anti").select("key", "lines", F.col("at._doc").alias("first"))
+    recurring = saved(by_shape.unionByName(by_line), "recurring")
+    gone = spread_join(places.select("_doc", "_row", "no", "key"), recurring, ["key"], "lines", total).where(F.lit(not keep_first) | (F.col("_doc") > F.col("first")))
     gone = saved(gone.groupBy("_doc", "_row").agg(F.collect_set("no").alias("_gone")), "gone")
-    for table in (places, distinct, worded):
+    for table in (places, distinct, worded, general, recurring):
         dropped(table)
     out = docs.withColumns({"_doc": F.col(id_col), "_row": row}).join(gone, ["_doc", "_row"], "left").drop("_doc", "_row")
-    all_lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(all_lines, lambda x, k: ~F.array_contains("_gone", k))
+    out = out.withColumn("_lines", F.split(F.col(text_col), "\n"))
+    out = out.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
     return out.withColumns(
         {
-            "_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
+            "_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long"),
             "_n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-            "_kept": F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+            "_kept": F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_left", lambda k: F.get("_lines", k)), "\n")),
         }
-    ).drop("_gone")
+    ).drop("_gone", "_lines", "_left")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +117,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, no, ls[no + 1] AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS no FROM d)),
-t AS (SELECT doc_id, no, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS t FROM l),
-p AS (SELECT doc_id, no, t, len(t) AS n, t[1:3] AS lead FROM t WHERE len(t) >= 4),
-leaf AS (SELECT n, lead FROM p GROUP BY n, lead HAVING count(DISTINCT doc_id) >= 4),
-q AS (SELECT p.* FROM p JOIN leaf USING (n, lead)),
+w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS t FROM l),
+told AS (SELECT *, len(list_filter(t, lambda x: x <> '<*>')) * 10 >= len(t) * 6 AS told FROM w WHERE len(w) > 0),
+q AS (SELECT doc_id, no, len(t) AS n, CASE WHEN told THEN t ELSE w END AS t, CASE WHEN told THEN t[1:3] ELSE list_concat(['='], w) END AS lead FROM told),
 u AS (SELECT n, lead, t, count(DISTINCT doc_id) AS docs FROM q GROUP BY n, lead, t),
 c AS (SELECT n, lead, t, docs, unnest(t) AS token, unnest(range(n)) AS k FROM u),
 f AS (SELECT n, lead, k, token FROM c WHERE token <> '<*>' GROUP BY n, lead, k, token HAVING sum(docs) >= 4),
@@ -102,8 +127,8 @@ m AS (SELECT c.n, lead, t, list(CASE WHEN f.k IS NULL THEN '<*>' ELSE c.token EN
 several AS (SELECT n, lead FROM u GROUP BY n, lead HAVING count(*) > 1),
 named AS (
   SELECT doc_id, no, n, lead,
-         CASE WHEN several.n IS NOT NULL AND fixed >= 0.6 * m.n THEN 'T' ELSE 'L' END AS kind,
-         CASE WHEN several.n IS NOT NULL AND fixed >= 0.6 * m.n THEN shape ELSE t END AS template
+         CASE WHEN several.n IS NOT NULL AND fixed * 10 >= 6 * m.n THEN 'T' ELSE 'L' END AS kind,
+         CASE WHEN several.n IS NOT NULL AND fixed * 10 >= 6 * m.n THEN shape ELSE t END AS template
   FROM q JOIN m USING (n, lead, t) LEFT JOIN several USING (n, lead)
 ),
 often AS (SELECT n, lead, kind, template, min(doc_id) AS first FROM named GROUP BY n, lead, kind, template HAVING count(DISTINCT doc_id) >= 4),

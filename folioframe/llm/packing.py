@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import mapped, shared_dir
 
 #: Fixed values of this format.
 FORMAT, MAGIC, VERSION = struct.Struct("<4sHHIIQ"), b"FFID", 1
@@ -194,8 +194,7 @@ def write_packed(
         if who:
             yield row()
 
-    out = dealt.mapInArrow(
-        run, f"shard int, segment int, ids_before bigint, n_ids bigint, doc_ids array<{kind}>, doc_ends array<bigint>, payload binary"
+    out = mapped(dealt, run, f"shard int, segment int, ids_before bigint, n_ids bigint, doc_ids array<{kind}>, doc_ends array<bigint>, payload binary"
     )
     out.write.parquet(path)
 
@@ -226,7 +225,7 @@ def read_packed(spark: SparkSession, path: str, per_document: Callable[[np.ndarr
                     [id_col, "start", "n_tokens", value],
                 )
 
-    return frame.mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, `{value}` bigint")
+    return mapped(frame, run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, `{value}` bigint")
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, texts
+from .common import components, mapped, saved, strips, texts
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Shingles hashed at once: bounds the memory that a very long text takes.
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(x) for x in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [id_col, "fp"])
 
-    return frame.mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return mapped(frame, run, f"`{id_col}` {kind}, fp bigint")
 
 
 @lru_cache(maxsize=1)
@@ -218,18 +218,17 @@ def near_links(fps: DataFrame) -> DataFrame:
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
 
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy()])
-            f = np.concatenate([held_f, batch.column(1).to_numpy()])
+        for keys, fps in strips(batches):
+            k, f = np.concatenate([held_k, keys]), np.concatenate([held_f, fps])
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
             yield from groups(k[:cut], f[:cut])
             held_k, held_f = k[cut:], f[cut:]
         yield from groups(held_k, held_f)
 
-    keyed = fps.select("fp").mapInArrow(expand, "key bigint, fp bigint")
+    keyed = mapped(fps.select("fp"), expand, "key bigint, fp bigint")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return mapped(dealt, compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, saved, texts
+from .common import dropped, mapped, saved, texts
 
 WINDOW = 13
 #: Words of the pieces whose least hash routes a window: equal windows have the same least hash.
@@ -149,7 +149,7 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
             found = [np.unique(routes(x.split(), window)).view(np.int64) for x in texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, route_kind)], ["_doc", "_row", "_routes"])
 
-    routed = saved(frame.mapInArrow(route, "_doc bigint, _row bigint, _routes array<bigint>"), "routes")
+    routed = saved(mapped(frame, route, "_doc bigint, _row bigint, _routes array<bigint>"), "routes")
     each = routed.select("_doc", "_row", F.explode("_routes").alias("route"))
     shared = each.groupBy("route").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high")).where("low < high").select("route")
     wanted = saved(each.join(shared, "route").groupBy("_doc", "_row").agg(F.collect_set("route").alias("_wanted")), "wanted")
@@ -179,7 +179,7 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     joined = frame.join(wanted, ["_doc", "_row"]).select("_doc", "_row", "_text", "_wanted")
-    found = saved(joined.mapInArrow(spans, "_doc bigint, _row bigint, route bigint, span bigint, begin bigint, end bigint, words binary"), "spans")
+    found = saved(mapped(joined, spans, "_doc bigint, _row bigint, route bigint, span bigint, begin bigint, end bigint, words binary"), "spans")
     dropped(wanted)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +226,9 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
     sizes = several.groupBy("route").count().where("count > 1")
     shards = several.join(sizes, "route")
     small = shards.where(F.col("count") <= CROWDED).select(F.col("route").alias("shard"), "first", "span", "route", F.lit(0).alias("at"), "words")
-    large = shards.where(F.col("count") > CROWDED).select("first", "span", "route", "words").mapInArrow(finer, "shard bigint, first bigint, span bigint, route bigint, at int, words binary")
+    large = mapped(shards.where(F.col("count") > CROWDED).select("first", "span", "route", "words"), finer, "shard bigint, first bigint, span bigint, route bigint, at int, words binary")
     dealt = small.unionByName(large).repartition(parts, "shard").sortWithinPartitions("shard", "first", "span")
-    earlier = dealt.mapInArrow(match, "route bigint, span bigint, earlier array<int>").groupBy("route", "span").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
+    earlier = mapped(dealt, match, "route bigint, span bigint, earlier array<int>").groupBy("route", "span").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
     firsts = several.select("route", "span", "first").join(earlier, ["route", "span"], "left")
     placed = found.select("_doc", "_row", "route", "span", "begin", "end").join(firsts, ["route", "span"])
     whole = F.array(F.struct(F.col("begin"), F.col("end")))
@@ -271,7 +271,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
             columns = [c for k, c in enumerate(b.columns) if k != runs_at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return mapped(joined, cut, schema)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved
+from .common import mapped, saved
 
 #: Letters that a sign can stand for (fixed values of the channel).
 SIGNS = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "gb", "2": "z", "(": "c"}
@@ -64,7 +64,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         k = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n[k])], ["gram", "n"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    found = mapped(docs.select(F.col(text_col).cast("string")), count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SYMBOLS**3, np.int64)
     out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -189,7 +189,7 @@ def lexicon(labelled: DataFrame, logs: np.ndarray, *, text_col: str = "text", la
             rows = [restorer.words(x or "") for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(map(family, rows)), pa.int64()), pa.array([" ".join(w) for w in rows], pa.string())], ["label", "family", "words"])
 
-    rows = labelled.select(text_col, F.col(label_col).cast("int")).mapInArrow(restored, "label int, family bigint, words string")
+    rows = mapped(labelled.select(text_col, F.col(label_col).cast("int")), restored, "label int, family bigint, words string")
     rows = saved(rows.groupBy("label", "family").agg(F.min("words").alias("words")), "labelled")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
@@ -209,9 +209,9 @@ def lexicon(labelled: DataFrame, logs: np.ndarray, *, text_col: str = "text", la
 
     toxic = rows.where("label = 1").select("words")
     least = max(LEAST_TEXTS, LEAST_CREDIT * n_bad)
-    bad = {r[0]: r[1] for r in toxic.mapInArrow(counted(), "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
+    bad = {r[0]: r[1] for r in mapped(toxic, counted(), "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
     wanted = labelled.sparkSession.sparkContext.broadcast(bad)
-    good = {r[0]: r[1] for r in rows.where("label = 0").select("words").mapInArrow(counted(wanted), "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n")).toLocalIterator()}
+    good = {r[0]: r[1] for r in mapped(rows.where("label = 0").select("words"), counted(wanted), "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n")).toLocalIterator()}
     share = {x: (n + 0.5) / (n + good.get(x, 0) + 1) for x, n in bad.items()}
     strength = labelled.sparkSession.sparkContext.broadcast({x: (bad[x] * p, x) for x, p in share.items() if p >= LEAST_SHARE})
 
@@ -221,7 +221,7 @@ def lexicon(labelled: DataFrame, logs: np.ndarray, *, text_col: str = "text", la
             best = [max((known[x] for x in features((t or "").split()) & known.keys()), default=(0, None))[1] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.string())], ["sign"])
 
-    credit = {r["sign"]: r["count"] for r in toxic.mapInArrow(strongest, "sign string").groupBy("sign").count().toLocalIterator()}
+    credit = {r["sign"]: r["count"] for r in mapped(toxic, strongest, "sign string").groupBy("sign").count().toLocalIterator()}
     kept = {x: p for x, p in share.items() if p >= LEAST_SHARE and (credit.get(x, 0) >= least or p >= 0.9 and bad[x] >= CLEAR * n_bad)}
     return kept, credit.get(None, 0) / (credit.get(None, 0) + n_good)
 
@@ -258,7 +258,7 @@ def score_texts(docs: DataFrame, logs: np.ndarray, signs: dict[str, float], rest
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scorer.score(x or "") for x in b.column(at).to_pylist()], pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(doc_id) -> F.Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -352,6 +353,20 @@ def test_decontamination(spark, docs, rows, nothing):
     assert decontamination.contamination(docs, bench.limit(0)).where(F.size("begins") > 0).count() == 0
 
 
+def test_proximity(spark):
+    texts_ = [(1, "alpha " + "soil " * 20 + "alpha beta"), (2, "beta soil soil alpha soil"), (3, "alpha " + "soil " * 12 + "beta"), (4, "beta"), (5, None), (6, "gamma delta"), (6, "delta x gamma")]
+    items = [("p", "soil alpha"), ("q", "beta soil"), ("p", "beta soil"), ("r", "gamma soil delta"), ("s", "delta gamma"), ("t", "beta"), (None, "alpha beta")]
+    d, b = spark.createDataFrame(texts_, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    for size in (decontamination.BLOCK_WORDS, 1):
+        got = many((r._id, sorted((m.item, m.place, m.distance) for m in r.near)) for r in decontamination.contamination(d, b, block_words=size).collect())
+        # p has soil, alpha and beta: alpha and beta are rarest; soil and beta of q stand 1 apart in 2 and 3
+        assert got[1] == [[("p", 21, 1), ("q", 20, 2)]]
+        assert got[2] == [[("p", 0, 3), ("q", 0, 1)]]
+        assert got[3] == [[("q", 12, 1)]]
+        assert got[4] == got[5] == [[]]
+        assert got[6] == sorted([[("r", 0, 1), ("s", 0, 1)], [("r", 0, 2), ("s", 0, 2)]])
+
+
 def test_cover_tree(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 16))
@@ -385,17 +400,66 @@ def test_cover_tree_traversal_finds_all_pairs():
     assert got == set(zip(i.tolist(), j.tolist()))
 
 
+def lines_left(rows, depth=3, least=4, keep_first=True):
+    """line_dedup by loops: {row number: (lines, dropped, kept)}."""
+    place, leaf_docs = {}, defaultdict(lambda: defaultdict(set))
+    for r, (doc, text) in enumerate(rows):
+        for no, line in enumerate((text or "").split("\n") if text is not None and doc is not None else []):
+            w = words_of(line)
+            t = ["<*>" if re.search("[0-9]", x) else x for x in w]
+            if w:
+                told = sum(x != "<*>" for x in t) * 10 >= 6 * len(t)
+                t = tuple(t if told else w)
+                leaf = (len(t), t[:depth] if told else ("=", *t))
+                place[r, no] = leaf, t
+                leaf_docs[leaf][t].add(doc)
+    template, docs = {}, defaultdict(set)
+    for leaf, lines_ in leaf_docs.items():
+        for t in lines_:
+            shape = tuple(x if x != "<*>" and sum(len(d) for u, d in lines_.items() if u[k] == x) >= least else "<*>" for k, x in enumerate(t))
+            fixed = sum(x != "<*>" for x in shape) * 10 >= 6 * len(t)
+            template[leaf, t] = (leaf, "T", shape) if fixed and len(lines_) > 1 else (leaf, "L", t)
+    for leaf, lines_ in leaf_docs.items():
+        for t, d in lines_.items():
+            docs[template[leaf, t]] |= d
+    out = {}
+    for r, (doc, text) in enumerate(rows):
+        ls = text.split("\n") if text is not None else []
+        gone = {no for no in range(len(ls)) if (r, no) in place and len(x := docs[template[place[r, no]]]) >= least and (doc > min(x) or not keep_first)}
+        out[r] = len(ls), len(gone), None if text is None else "\n".join(x for no, x in enumerate(ls) if no not in gone)
+    return out
+
+
 def test_lines(spark, nothing):
-    rows = [(i, f"user {i} logged in from host{i} today\nan own line number {'abcdefghij'[i]} stands here alone {'xyzuvwrstq'[i]}\nshort one\n") for i in range(10)]
-    rows += [(20, None), (21, ""), (None, rows[0][1]), (3, rows[3][1])]
-    out = lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    got = many((r.doc_id, (r._n_lines, r._n_dropped, r._kept)) for r in out)
-    assert got[0] == [(4, 0, rows[0][1])] and got[20] == [(0, 0, None)] and got[21] == [(1, 0, "")] and got[None] == [(4, 0, rows[0][1])]
-    assert all(v[1] >= 1 and "logged" not in v[2] and "short one" in v[2] for i in range(1, 10) for v in got[i])
-    assert len(got[3]) == 2
+    rng = random.Random(21)
+    rows = [(i, f"user {i} logged in from host{i} today\nan own line number {'abcdefghij'[i]} stands here alone {'xyzuvwrstq'[i]}\nshort one\n1 2 {i}\n17 4\n") for i in range(10)]
+    rows += [(20, None), (21, ""), (None, rows[0][1]), (3, rows[3][1]), (4, "another text\nunder a used id\nshort one"), (22, "\n\n \t\n"), (23, "<*> here\n= 1 2")]
+    vocabulary = ["all", "rights", "reserved", "by", "2024", "x1", "the", "=", "漢字", "a" * 5000]
+    for i in range(30, 70):
+        rows.append((i, "\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 12)))))
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, keys int, lines int").repartition(3)
+    for first in (True, False):
+        want = many((r[0], v) for r, v in zip(rows, lines_left(rows, keep_first=first).values()))
+        assert many((r.doc_id, (r._n_lines, r._n_dropped, r._kept)) for r in lines.line_dedup(frame, keep_first=first).collect()) == want
     assert lines.line_dedup(nothing).count() == 0
 
 
+def test_lines_with_very_long_words(spark):
+    rows = [(i, f"{'x' * 1_000_000}\n{'字' * 300_000}{i}\n" + "one line\n" * 20_000) for i in range(5)]
+    begun = time.time()
+    got = {r.doc_id: r for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - begun < 60
+    assert got[0]._n_dropped == 0 and all(got[i]._n_dropped == 20_001 and got[i]._kept == f"{'字' * 300_000}{i}\n" for i in range(1, 5))
+
+
+def test_lines_split_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 5)  # a key with more than a fifth of all rows is hot
+    rng = random.Random(22)
+    rows = [(i, "\n".join(["the same line of all"] + [" ".join(["every line begins", *(rng.choice("ab") for _ in range(4))]) for _ in range(3)])) for i in range(40)]
+    want = many((r[0], v) for r, v in zip(rows, lines_left(rows).values()))
+    assert many((r.doc_id, (r._n_lines, r._n_dropped, r._kept)) for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
+
+
 def test_language(spark, docs, nothing):
     french, english = "le chat est sur la table avec les enfants", "the cat is on the table with all the children"
     train = spark.createDataFrame([(f"{t} {t}", c) for t, c in ((french, "fr"), (english, "en")) for _ in range(5)] + [(None, "fr"), ("x", None)], "text string, lang string")
