@@ -387,17 +387,74 @@ def test_cover_tree(spark):
     assert covertree.near_vectors(frame.limit(0)).count() == 0
 
 
-def test_cover_tree_traversal_finds_all_pairs():
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.01, 0.05, 0.1, 0.3, 3.0])
+def test_cover_tree_traversal_finds_all_pairs(spread):
     rng = np.random.default_rng(4)
-    centers = rng.normal(size=(40, 8))
-    x = np.repeat(centers, 40, 0) + 0.1 * rng.normal(size=(1600, 8))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = {(int(i), int(j)) for p, q in covertree.linked_pairs(x, None, 0.95) for i, j in zip(p, q)}
-    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    assert got == set(zip(i.tolist(), j.tolist()))
-    got = {(int(i), int(j)) for p, q in covertree.linked_pairs(x[:900], x[900:], 0.95) for i, j in zip(p, q)}
-    i, j = np.nonzero(x[:900] @ x[900:].T >= 0.95)
-    assert got == set(zip(i.tolist(), j.tolist()))
+    x = unit(np.repeat(rng.normal(size=(40, 8)), 40, 0) + spread * rng.normal(size=(1600, 8)))
+    weight = rng.integers(1, 4, len(x))
+    near = np.clip(x @ x.T, -1, 1) >= 0.95
+    np.fill_diagonal(near, False)
+    whole = covertree.Links(x, weight, 0.95)
+    whole.nodes(*[covertree.Node(x, np.arange(len(x)))] * 2)
+    assert (whole.n == near @ weight).all() and (whole.settle() == roots(len(x), lambda i, j: near[i, j])).all()
+    two = covertree.Links(x, weight, 0.95)
+    two.nodes(covertree.Node(x, np.arange(900)), covertree.Node(x, np.arange(900, len(x))))
+    near[:900, :900] = near[900:, 900:] = False
+    assert (two.n == near @ weight).all()
+
+
+def test_cover_tree_levels():
+    rng = np.random.default_rng(5)
+    x = unit(np.repeat(rng.normal(size=(30, 8)), 60, 0) + 0.1 * rng.normal(size=(1800, 8)))
+    todo, depth = [covertree.Node(x, np.arange(len(x)))], 0
+    while todo:
+        below = []
+        for a in todo:
+            few, wide = a.children()
+            held = np.concatenate([few, *(c.points for c in wide)])
+            assert sorted(held) == sorted(a.points) and covertree.angles(x[a.points], x[a.center]).max() <= a.radius + 1e-9
+            if len(a.points) > covertree.FEW:
+                centers = np.array([*few, *(c.center for c in wide)])
+                assert a.center in centers and all(c.radius <= a.radius / 2 + 1e-7 for c in wide)  # nested, halving
+                away = np.arccos(np.clip(x[centers] @ x[centers].T, -1, 1)) + 9 * np.eye(len(centers))
+                assert away.min() > a.radius / 2 - 1e-7
+            below += wide
+        todo, depth = below, depth + 1
+    assert depth > 3
+
+
+def test_cover_tree_prunes_what_is_clustered():
+    rng = np.random.default_rng(6)
+    for dimension, spread, least, most in ((64, 0.02, 0, 0.02), (64, 1e9, 0.9, 1.0)):  # clusters apart; without clusters nothing can be pruned
+        x = unit(np.repeat(rng.normal(size=(100, dimension)), 40, 0) + spread * rng.normal(size=(4000, dimension)))
+        found = covertree.Links(x, np.ones(len(x), np.int64), 0.95)
+        found.nodes(*[covertree.Node(x, np.arange(len(x)))] * 2)
+        assert least <= found.compared / (len(x) * (len(x) - 1) / 2) <= most
+
+
+def test_cover_tree_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "PART", 40 * 12)
+    monkeypatch.setattr(covertree, "CELLS", 7)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.repeat(rng.normal(size=(9, 12)), 40, 0) + 0.08 * rng.normal(size=(360, 12)), rng.normal(size=(1, 12)) + 0.02 * rng.normal(size=(300, 12)), rng.normal(size=(700, 12))])
+    monkeypatch.setattr(covertree, "max", lambda *a: a[1] if a[0] == 256 else max(*a), raising=False)
+    near = unit(x) @ unit(x).T >= 0.95
+    root = roots(len(x), lambda i, j: near[i, j])
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_vectors(frame).collect()}
+    assert all(got[i] == (int(near[i].sum()) - 1, root[i]) for i in range(len(x)))
+
+
+def test_cover_tree_keeps_double_precision(spark):
+    a = 0.95 + 1e-9  # float32 would not tell these from 0.95
+    rows = [("a", [1.0, 0.0]), ("b", [a, (1 - a * a) ** 0.5]), ("c", [0.95 - 1e-9, -((1 - (0.95 - 1e-9) ** 2) ** 0.5)]), ("d", [1e300, 0.0]), ("e", [1e-300, 0.0]), ("f", [float("inf"), 1.0]), ("a", [0.0, 1.0]), ("a", [0.0, 1.0])]
+    got = many((r.vec_id, (r.n_links, r.component_id)) for r in covertree.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).collect())
+    assert got["b"] == [(3, "a")] and got["c"] == [(0, "c")] and got["d"] == got["e"] == [(3, "a")] and got["f"] == [(0, "f")]
+    assert got["a"] == [(1, "a"), (1, "a"), (3, "a")]
 
 
 def lines_left(rows, depth=3, least=4, keep_first=True):
