@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, dropped, saved
+from .common import SPACE, dropped, saved, spread_join
 
 #: Leading tokens that lead from a token count to a leaf; documents that make a template recurring.
 DEPTH, LEAST_DOCS = 3, 4
@@ -14,8 +14,6 @@ FIXED = 6
 VARIABLE = "<*>"
 #: A token with a digit is a variable field. Possessive, and from a token's first sign only: a long token is read once.
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-#: Keys with more than one in so many of a table's rows are hot: there can be so many of them at most.
-HOT = 1000
 
 
 def words(line: Column) -> Column:
@@ -32,16 +30,6 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return docs.select("_doc", "_row", F.posexplode(F.split("_text", "\n")).alias("no", "line"))
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """big.join(small, on) for unique keys that stand in `weight` rows of big each, `total` in all.
-
-    Keys of more than a HOT-th of the rows, HOT of them at most, are broadcast, so that none fills a task.
-    """
-    hot = F.broadcast(small.where(F.col(weight) > total / HOT).drop(weight))
-    rest = big.join(hot.select(*on), on, "left_anti").join(small.where(F.col(weight) <= total / HOT).drop(weight), on)
-    return big.join(hot, on).unionByName(rest)
-
-
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS, keep_first: bool = True) -> DataFrame:
     """docs with _n_lines, _n_dropped, _kept: the lines left, joined by newlines.
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,13 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, mapped, saved, texts
+from .common import dropped, mapped, saved, spread_join, texts
 
 WINDOW = 13
-#: Words of the pieces whose least hash routes a window: equal windows have the same least hash.
-PIECE = 5
-#: The same for shards that are dealt anew.
-LONG_PIECE = 10
+#: Words of the pieces whose least hash routes a window: equal windows have the same least hash. A crowded
+#: shard is dealt anew by the next longer ones, at last by whole windows, of which a shard then holds one.
+PIECES = 5, 10
+#: A span's name: two signed numbers of 64 bits.
+NAME = ">qq"
 #: Word hashes that a worker keeps.
 KEPT = 500_000
 #: Distinct spans beyond which a shard is dealt anew by longer pieces.
@@ -38,7 +40,7 @@ def hashes() -> _Hashes:
     return _Hashes()
 
 
-def routes(words: list[bytes], window: int, piece: int = PIECE) -> np.ndarray:
+def routes(words: list[bytes], window: int, piece: int = PIECES[0]) -> np.ndarray:
     """The route of each window: the least hash among its pieces."""
     n = len(words) - window + 1
     if n <= 0:
@@ -136,12 +138,14 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
     3. A route's distinct spans form a reference shard. Its suffix automaton takes them in ascending
        first document; matching statistics of 13 and more show a span's windows that came before.
     A span that a third of all documents share is one row after step 2; a route with many different
-    spans is divided by longer pieces, and an automaton takes only what it doesn't hold yet. No shard is broadcast: spans go
-    to the shard that can hold their windows, and to no other.
+    spans is divided by longer pieces, as often as it takes, and an automaton takes only what it doesn't
+    hold yet. No shard is broadcast: spans go to the shard that can hold their windows, and to no other.
+    Spans are named by 128 bits of hash. Keys of joins that many rows share are known by then and spread.
     """
     spark = docs.sparkSession
-    frame = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    frame = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     frame = frame.where(F.col("_doc").isNotNull() & F.col("_text").isNotNull())
+    kind = frame.schema["_doc"].dataType.simpleString()
     route_kind = pa.list_(pa.int64())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +153,21 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
             found = [np.unique(routes(x.split(), window)).view(np.int64) for x in texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, route_kind)], ["_doc", "_row", "_routes"])
 
-    routed = saved(mapped(frame, route, "_doc bigint, _row bigint, _routes array<bigint>"), "routes")
+    routed = saved(mapped(frame, route, f"_doc {kind}, _row bigint, _routes array<bigint>"), "routes")
     each = routed.select("_doc", "_row", F.explode("_routes").alias("route"))
-    shared = each.groupBy("route").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high")).where("low < high").select("route")
-    wanted = saved(each.join(shared, "route").groupBy("_doc", "_row").agg(F.collect_set("route").alias("_wanted")), "wanted")
+    shared = each.groupBy("route").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high"), F.count("*").alias("n")).where("low < high").select("route", "n")
+    total = routed.agg(F.coalesce(F.sum(F.size("_routes")), F.lit(0))).first()[0]
+    wanted = saved(spread_join(each, shared, ["route"], "n", total).groupBy("_doc", "_row").agg(F.collect_set("route").alias("_wanted")), "wanted")
     dropped(routed)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
-        names = ["_doc", "_row", "route", "span", "begin", "end", "words"]
+        names = ["_doc", "_row", "route", "span", "more", "begin", "end", "words"]
         for b in batches:
+            kinds = b.schema.field(0).type, *[pa.int64()] * 6, pa.binary()
             out: list[list] = [[] for _ in names]
             size = 0
-            for doc, row, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.large_binary()), b.column(3)):
-                words = text.as_py().split()
+            for doc, row, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), b.column(3)):
+                words = text.split()
                 r = routes(words, window).view(np.int64)
                 first, last = runs(r)
                 keep = np.isin(r[first], np.asarray(want.values))
@@ -170,7 +175,7 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                     y += window - 1
                     piece = b" ".join(words[x:y])
                     size += len(piece)
-                    for column, value in zip(out, (doc, row, int(r[x]), xxhash.xxh64_intdigest(piece, 1) - (1 << 63), x, y, piece)):
+                    for column, value in zip(out, (doc, row, int(r[x]), *struct.unpack(NAME, xxhash.xxh3_128_digest(piece)), x, y, piece)):
                         column.append(value)
                 if size > 16_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
@@ -179,17 +184,17 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     joined = frame.join(wanted, ["_doc", "_row"]).select("_doc", "_row", "_text", "_wanted")
-    found = saved(mapped(joined, spans, "_doc bigint, _row bigint, route bigint, span bigint, begin bigint, end bigint, words binary"), "spans")
+    found = saved(mapped(joined, spans, f"_doc {kind}, _row bigint, route bigint, span bigint, more bigint, begin bigint, end bigint, words binary"), "spans")
     dropped(wanted)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads shards from sorted rows (shard, first document, span, route, at, words), one after the other."""
-        names, kinds = ["route", "span", "earlier"], (pa.int64(), pa.int64(), pa.list_(pa.int32()))
+        """Reads shards from sorted rows (shard, first document, span, more, at, words), one after the other."""
+        names, kinds = ["span", "more", "earlier"], (pa.int64(), pa.int64(), pa.list_(pa.int32()))
         automaton, shard, first = SuffixAutomaton(), None, None
         waiting: list[list[bytes]] = []
         for b in batches:
             out: list[list] = [[], [], []]
-            for key, doc, span, route, at, words in zip(*(c.to_pylist() for c in b.columns)):
+            for key, doc, span, more, at, words in zip(*(c.to_pylist() for c in b.columns)):
                 words = words.split()
                 if key != shard:
                     automaton, shard, waiting = SuffixAutomaton(), key, []
@@ -202,52 +207,73 @@ def covered_runs(docs: DataFrame, window: int, id_col: str, text_col: str) -> Da
                 if len(known) < len(words) - window + 1:
                     waiting.append(words)
                 if known:
-                    for column, value in zip(out, (route, span, [at + k for k in known])):
+                    for column, value in zip(out, (span, more, [at + k for k in known])):
                         column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finer(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """Crowded shards are dealt anew: their spans are cut by the routes of longer pieces."""
-        names, kinds = ["shard", "first", "span", "route", "at", "words"], (*[pa.int64()] * 4, pa.int32(), pa.binary())
-        for b in batches:
-            out: list[list] = [[] for _ in names]
-            for first, span, route, words in zip(*(c.to_pylist() for c in b.columns)):
-                words = words.split()
-                r = routes(words, window, LONG_PIECE).view(np.int64)
-                for x, y in zip(*(k.tolist() for k in runs(r))):
-                    for column, value in zip(out, (int(r[x]) ^ route, first, span, route, x, b" ".join(words[x : y + window - 1]))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    distinct = found.groupBy("route", "span").agg(F.min("_doc").alias("first"), F.any_value("words").alias("words"))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["shard", "first", "span", "more", "at", "words"]
+            for b in batches:
+                kinds = pa.int64(), b.schema.field(1).type, pa.int64(), pa.int64(), pa.int32(), pa.binary()
+                out: list[list] = [[] for _ in names]
+                for shard, first, span, more, at, words in zip(*(c.to_pylist() for c in b.columns)):
+                    words = words.split()
+                    r = routes(words, window, piece).view(np.int64)
+                    for x, y in zip(*(k.tolist() for k in runs(r))):
+                        for column, value in zip(out, (int(r[x]) ^ shard, first, span, more, at + x, b" ".join(words[x : y + window - 1]))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+        return cut
+
+    names = ["shard", "first", "span", "more", "at", "words"]
+    several = saved(found.groupBy("route", "span", "more").agg(F.min("_doc").alias("first"), F.any_value("words").alias("words"), F.count("*").alias("n")), "distinct")
+    rest = several.select(F.col("route").alias("shard"), "first", "span", "more", F.lit(0).alias("at"), "words")
+    dealt, cuts = None, []
+    for piece in (*(p for p in PIECES[1:] if p < window), window, None):
+        sizes = rest.groupBy("shard").count().where("count > 1")
+        if piece is None:  # whole windows: a shard is one window
+            small, sizes = spread_join(rest, sizes.withColumn("weight", F.col("count")), ["shard"], "weight", rest.count()), None
+        else:
+            sizes = saved(sizes, "sizes")
+            cuts.append(sizes)
+            small = rest.join(sizes.where(F.col("count") <= CROWDED), "shard")
+        dealt = small.select(names) if dealt is None else dealt.unionByName(small.select(names))
+        crowded = None if sizes is None else sizes.where(F.col("count") > CROWDED)
+        if crowded is None or crowded.isEmpty():
+            break
+        large = spread_join(rest, crowded.select("shard", F.col("count").alias("weight")), ["shard"], "weight", rest.count()).select(names)
+        rest = saved(mapped(large, finer(piece), f"shard bigint, first {kind}, span bigint, more bigint, at int, words binary"), "cut")
+        cuts.append(rest)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    several = saved(distinct, "distinct")
-    sizes = several.groupBy("route").count().where("count > 1")
-    shards = several.join(sizes, "route")
-    small = shards.where(F.col("count") <= CROWDED).select(F.col("route").alias("shard"), "first", "span", "route", F.lit(0).alias("at"), "words")
-    large = mapped(shards.where(F.col("count") > CROWDED).select("first", "span", "route", "words"), finer, "shard bigint, first bigint, span bigint, route bigint, at int, words binary")
-    dealt = small.unionByName(large).repartition(parts, "shard").sortWithinPartitions("shard", "first", "span")
-    earlier = mapped(dealt, match, "route bigint, span bigint, earlier array<int>").groupBy("route", "span").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
-    firsts = several.select("route", "span", "first").join(earlier, ["route", "span"], "left")
-    placed = found.select("_doc", "_row", "route", "span", "begin", "end").join(firsts, ["route", "span"])
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "first", "span", "more", "at")
+    earlier = mapped(dealt, match, "span bigint, more bigint, earlier array<int>").groupBy("span", "more").agg(F.flatten(F.collect_list("earlier")).alias("earlier"))
+    firsts = several.select("span", "more", "first", "n").join(earlier, ["span", "more"], "left")
+    placed = spread_join(found.select("_doc", "_row", "span", "more", "begin", "end"), firsts, ["span", "more"], "n", found.count())
     whole = F.array(F.struct(F.col("begin"), F.col("end")))
     parts_of = F.transform("earlier", lambda k: F.struct((F.col("begin") + k).alias("begin"), (F.col("begin") + k + window).alias("end")))
     kept = placed.select("_doc", "_row", F.when(F.col("_doc") > F.col("first"), whole).otherwise(parts_of).alias("runs")).where(F.size("runs") > 0)
-    return saved(kept.groupBy("_doc", "_row").agg(F.flatten(F.collect_list("runs")).alias("_runs")), "covered")
+    out = saved(kept.groupBy("_doc", "_row").agg(F.flatten(F.collect_list("runs")).alias("_runs")), "covered")
+    for table in (found, several, *cuts):
+        dropped(table)
+    return out
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with _n_words, _n_removed, _kept (words joined by one space), _sha256 of _kept.
 
     Words are runs of anything but ASCII white space. A word goes if a window of `window` words that
-    covers it stands in a document with a smaller integer id as well; windows are judged on the input.
+    covers it stands in a document with a smaller id as well, ids of any type that has an order; windows are judged on the input.
     Null texts have no words and _kept is empty; documents with a null id keep all words and take none
     from others; rows with equal ids don't take from each other; shorter documents keep all; empty
     tables give no rows; other columns pass through, names that begin with an underscore are ours.
     """
     covered = covered_runs(docs, window, id_col, text_col)
-    marked = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_row": F.xxhash64(id_col, text_col)})
+    marked = docs.withColumns({"_doc": F.col(id_col), "_row": F.xxhash64(id_col, text_col)})
     joined = marked.join(covered, ["_doc", "_row"], "left").drop("_doc", "_row")
     text_at, runs_at = joined.columns.index(text_col), joined.columns.index("_runs")
     schema = joined.drop("_runs").schema.add("_n_words", "long").add("_n_removed", "long").add("_kept", "string").add("_sha256", "string")
