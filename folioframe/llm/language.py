@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, mapped, saved
+from .common import HOT, dropped, mapped, saved
 
 #: Buckets of byte trigrams.
 GRAMS = 1 << 16
@@ -24,13 +24,50 @@ LEAN = 5.0
 #: The class of texts in no known language, and its prior share.
 UNKNOWN, UNKNOWN_SHARE = "und", 0.01
 
-DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+#: Elements whose content is no text.
+DROP = ("script", "style", "noscript", "template")
+NAME = re.compile(r"<([A-Za-z][A-Za-z0-9]*)")
+CLOSE = re.compile(r"\s*>")
+LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+#: Upper-case ASCII letters to lower case: places stay what they are.
+LOW = {c: c + 32 for c in range(65, 91)}
 
 
-def visible(html: str) -> str:
-    return unescape(TAG.sub(" ", DROP.sub(" ", html)))
+def visible(html: str) -> tuple[str, str | None]:
+    """(text, declared language) of a page, read from left to right once.
+
+    A tag ends at the next '>'; one without an end is text. Comments and the content of DROP elements go;
+    where their end is missing, they are tags like others, and it isn't looked for again.
+    """
+    low, out, i, declared, endless = html.translate(LOW), [], 0, None, set()
+    while (j := html.find("<", i)) >= 0:
+        out.append(html[i:j])
+        if "!--" not in endless and html.startswith("<!--", j):
+            if (k := html.find("-->", j + 4)) >= 0:
+                i = k + 3
+                out.append(" ")
+                continue
+            endless.add("!--")
+        if (k := html.find(">", j + 1)) < 0:
+            i = j
+            break
+        i = k + 1
+        out.append(" ")
+        if (m := NAME.match(low, j, k)) is None:
+            continue
+        name = m[1]
+        if name == "html" and declared is None and (m := LANG.search(html, j, k)):
+            declared = m[1].lower()
+        if name in DROP and name not in endless:
+            end = low.find(f"</{name}", i)
+            while end >= 0 and (m := CLOSE.match(low, end + len(name) + 2)) is None:
+                end = low.find(f"</{name}", end + 1)
+            if end < 0:
+                endless.add(name)
+            else:
+                i = m.end()
+    out.append(html[i:])
+    return unescape("".join(out)), declared
 
 
 def gram_strips(text: str) -> Iterator[np.ndarray]:
@@ -94,8 +131,7 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], *, marku
             for text, lang in zip(b.column(at).to_pylist(), b.column(said).to_pylist()):
                 text = text or ""
                 if markup:
-                    m = DECLARED.search(text)
-                    lang, text = m[1] if m else None, visible(text)
+                    text, lang = visible(text)
                 size, likely = 0, np.zeros(len(table))
                 for g in gram_strips(text):
                     size += len(g)
@@ -131,7 +167,13 @@ def fuse(judged: DataFrame, langs: list[str]) -> DataFrame:
     whole = by().first()
     total = whole["v"] if whole and whole["v"] and whole["v"][0] is not None else [0.0] * n
     for name in ("_host", "_domain", "_suffix", "_declared"):
-        rows = rows.join(by(name).withColumnRenamed("v", f"{name}_v"), name, "left")
+        # Hot names, HOT at most, are broadcast; rows that have such a one, or none, are spread over the other join.
+        group = by(name).where(F.col(name) != "")
+        hot = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) > sum(total) / HOT
+        rows = rows.join(F.broadcast(group.where(hot).withColumnRenamed("v", "_hot")), name, "left")
+        rows = rows.withColumn("_key", F.when(F.col("_hot").isNotNull() | (F.col(name) == ""), F.concat(F.lit("\0"), F.xxhash64("_id", "_grams", "_logs").cast("string"))).otherwise(F.col(name)))
+        rows = rows.join(group.where(~hot).select(F.col(name).alias("_key"), F.col("v").alias("_few")), "_key", "left")
+        rows = rows.withColumn(f"{name}_v", F.coalesce("_hot", "_few")).drop("_hot", "_few", "_key")
     empty = F.array(*[F.lit(0.0)] * n)
     level = {name: F.coalesce(F.col(f"{name}_v"), empty) for name in ("_host", "_domain", "_suffix", "_declared")}
 
@@ -169,7 +211,7 @@ def identify_pages(pages: DataFrame, train: DataFrame, *, least: float = 0.5) ->
 
     The profiles come from every labelled text of train (text, lang). A null or empty page has no text
     evidence and gets its language from markup and host alone; a null url has no host; a page without
-    letters is never accepted. Rows with equal ids stay apart; extra columns are ignored; without labelled
+    letters is never accepted; a page of any length, closed or not, is read once. Rows with equal ids stay apart; extra columns are ignored; without labelled
     texts every page is 'und'.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -13,6 +13,7 @@ WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
 RANGES = 1 << 12
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SIGNS = r"[!-@\[-`{-~]+"
 
 
 def word_count(text: Column) -> Column:
@@ -20,8 +21,8 @@ def word_count(text: Column) -> Column:
 
 
 def text_quality(text: Column) -> Column:
-    """Share of a text's characters that are letters a-z, in [0.05, 1]: a default quality weight that needs no labels."""
-    plain = F.length(F.regexp_replace(F.lower(text), "[^a-z]", ""))
+    """Share of a text's characters that are neither ASCII digits nor ASCII signs, in [0.05, 1]: a default quality weight that needs no labels and is the same for all scripts."""
+    plain = F.length(F.regexp_replace(text, SIGNS, ""))
     return F.coalesce(F.greatest(F.lit(0.05), plain / F.nullif(F.length(text), F.lit(0))), F.lit(0.05))
 
 
@@ -62,7 +63,8 @@ def mix(
     A source whose target is q times its size and a rest takes every document q times, then documents
     by ascending -ln(u) / quality, u from a hash of seed and id, until the rest is used up; the last one
     is taken in part (its first words), so a source's taken words are its target rounded down. Null
-    texts have size 0, null sources are one source, a null id hashes as an empty one; rows with the
+    texts have size 0, null sources are one source, a null id hashes as an empty one; a quality that is null
+    or no number counts as 0.05, any other is kept within 1e-6 to 1e6; rows with the
     same key are ordered by id and a hash of the text, and equal rows share their place, so reruns agree. An empty
     table gives no rows. Other columns pass through; names that begin with an underscore are ours.
 
@@ -71,7 +73,7 @@ def mix(
     """
     text, source = F.col(text_col), F.col(source_col).cast("string")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    q = text_quality(text) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.05)), F.lit(1e-6))
+    q = text_quality(text) if quality is None else F.least(F.greatest(F.nanvl(F.coalesce(quality.cast("double"), F.lit(0.05)), F.lit(0.05)), F.lit(1e-6)), F.lit(1e6))
     keyed = docs.withColumns({"_size": word_count(text), "_key": -F.log(u) / q, "_src": source})
     # On a logarithmic scale the keys of any one quality are equally dense, only shifted: about one in 11,000 in a range.
     keyed = keyed.withColumn("_range", F.coalesce(F.floor(F.log("_key") * RANGES).cast("int"), F.lit(-(1 << 31))))
@@ -125,7 +127,7 @@ WITH RECURSIVE d AS (
   SELECT doc_id, text, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          -ln((CAST(concat('0x', substr(md5(concat('0:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-           / coalesce(greatest(0.05::DOUBLE, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) / length(text)), 0.05::DOUBLE) AS key
+           / coalesce(greatest(0.05::DOUBLE, length(regexp_replace(text, '[!-@\[-`{-~]+', '', 'g')) / length(text)), 0.05::DOUBLE) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

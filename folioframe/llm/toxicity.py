@@ -22,6 +22,8 @@ SIGNS = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "4": "a", "@": "a",
 LOOKALIKES = str.maketrans("аеорсхуіј", "aeopcxyij", "​‌‍⁠﻿­")
 #: Natural logarithms of the channel's probabilities, negated: a sign for a letter, a sign for nothing, a letter said again.
 COST_SIGN, COST_NOISE, COST_AGAIN = 1.0, 4.0, 0.3
+#: The same for what stands between spaced letters: nothing, or a space between words.
+COST_JOIN, COST_SPACE = 0.5, 2.0
 #: Symbols of the language model: 0 for white space, 1 to 26 for letters, 27 for the rest.
 SYMBOLS = 28
 SYMBOL = np.full(256, 27, np.int64)
@@ -84,33 +86,46 @@ class Channel:
     def __init__(self, logs: np.ndarray):
         self.logs = logs.tolist()
 
-    def choices(self, word: str) -> Iterator[list[tuple[int, float, str]]]:
-        """For each run of a sign or letter: the symbols it can stand for (0: nothing), and the cost."""
+    def choices(self, word: str) -> Iterator[list[tuple[int | None, float, str]]]:
+        """For each run of a sign or letter: the symbols it can stand for (None: nothing), and the cost."""
         for m in re.finditer(r"(.)\1*", word, re.S):
             sign, n = m[1], len(m[0])
             if "a" <= sign <= "z":
                 k = ord(sign) - 96
                 yield [(k, 0.0, sign)]
                 for _ in range(min(n, 3) - 1):  # of three and more, one or two may be meant
-                    yield [(k, 0.0, sign), (0, COST_AGAIN, "")] if n > 2 else [(k, 0.0, sign)]
+                    yield [(k, 0.0, sign), (None, COST_AGAIN, "")] if n > 2 else [(k, 0.0, sign)]
             elif sign in SIGNS:
                 inside = m.end() < len(word)  # at the end a sign may mean nothing
                 for i in range(min(n, 3)):
-                    nothing = [(0, COST_AGAIN, "")] if i and n > 2 else [] if inside else [(0, COST_NOISE, "")]
+                    nothing = [(None, COST_AGAIN, "")] if i and n > 2 else [] if inside else [(None, COST_NOISE, "")]
                     yield [(ord(x) - 96, COST_SIGN, x) for x in SIGNS[sign]] + nothing
             elif sign.isalnum():
                 yield from [[(27, 0.0, sign)]] * min(n, 2)
             else:
-                yield [(0, 0.0, "")]
+                yield [(None, 0.0, "")]
 
-    def restore(self, word: str) -> str:
+    def spaced(self, letters: str) -> Iterator[list[tuple[int | None, float, str]]]:
+        """The same for spaced letters: between each two, nothing or a space."""
+        for k, sign in enumerate(letters):
+            if k:
+                yield [(None, COST_JOIN, ""), (0, COST_SPACE, " ")]
+            if "a" <= sign <= "z":
+                yield [(ord(sign) - 96, 0.0, sign)]
+            elif sign in SIGNS:
+                yield [(ord(x) - 96, COST_SIGN, x) for x in SIGNS[sign]]
+            else:
+                yield [(27, 0.0, sign)]
+
+    def likeliest(self, lattice: Iterator[list[tuple[int | None, float, str]]]) -> str:
+        """The best path by Viterbi's algorithm; a state is the last two symbols."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for options in self.choices(word):
+        for options in lattice:
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 row = self.logs[a][b]
                 for k, cost, letter in options:
-                    to, s, p = ((b, k), score + row[k] - cost, (letter, path)) if k else ((a, b), score - cost, path)
+                    to, s, p = ((a, b), score - cost, path) if k is None else ((b, k), score + row[k] - cost, (letter, path))
                     if to not in new or new[to][0] < s:
                         new[to] = s, p
             best = new
@@ -121,6 +136,12 @@ class Channel:
             path = path[1]
         return "".join(reversed(letters))
 
+    def restore(self, word: str) -> str:
+        return self.likeliest(self.choices(word))
+
+    def restore_spaced(self, letters: str) -> list[str]:
+        return self.likeliest(self.spaced(letters)).split()
+
 
 class Restorer(dict):
     """Restored form by lower-case word."""
@@ -145,10 +166,10 @@ class Restorer(dict):
         low = text.lower()
         out = list(map(self.__getitem__, low.split()))
         for m in SPACED.finditer(low):
-            joined = m[0].replace(m[1], "")
-            if re.search("[a-z]", joined):  # an a or i at an end may be a word of its own
-                inner = joined[joined[0] in "ai" : len(joined) - (joined[-1] in "ai")]
-                out += [self.channel.restore(x) for x in {joined, joined[joined[0] in "ai" :], inner} if len(x) > 2]
+            letters = m[0][::2]
+            if re.search("[a-z]", letters):
+                found = self.channel.restore_spaced(letters)
+                out += [x for x in found if len(x) > 2]
         return out
 
 

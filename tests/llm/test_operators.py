@@ -542,6 +542,98 @@ def test_language(spark, docs, nothing):
     assert language.accepted_documents(nothing).count() == 0
 
 
+def test_visible_text():
+    page = "a<!-- x > y -->b<script type=x>if (a<b) </scripty>c</SCRIPT >d<style>e</style>f<HTML xml:x lang = 'FR'>g&amp;h<br/>i<html lang=en>"
+    text, lang = language.visible(page)
+    assert text.split() == ["a", "b", "d", "f", "g&h", "i"] and lang == "fr"
+    assert language.visible("<script>open <b>x</b>") == (" open  x ", None) and language.visible("a < b") == ("a < b", None) and language.visible("<!-- open > z") == ("  z", None)
+
+
+@pytest.mark.parametrize("page", ["<" * 2_000_000, "<script>" * 300_000, "<html " * 300_000, "<!--" * 500_000, "<!-- -->" * 200_000, "</script " * 200_000, "<script>" + "</script " * 200_000, "<html lang" + " " * 1_000_000 + ">", "&" * 1_000_000, "<style>x</style" + " " * 1_000_000])
+def test_hostile_pages_are_read_once(page):
+    begun = time.time()
+    language.visible(page)
+    assert time.time() - begun < 5
+
+
+def test_posterior_by_hand(spark):
+    """Fusion in plain Python loops, of given text likelihoods."""
+    rng, n = random.Random(31), 3
+    rows = []
+    for i in range(200):
+        logs = [rng.uniform(-9, 0) for _ in range(n)]
+        host = rng.choice(["", "a.x.fr", "b.x.fr", "c.de", "big.com", "big.com", "big.com"])
+        rows.append((i % 190, rng.choice(["", "fr", "de"]), host, ".".join(host.split(".")[-2:]), host.split(".")[-1], logs, rng.choice([0, 5, 50])))
+    votes = [max(range(n), key=lambda k: r[5][k]) if r[6] else None for r in rows]
+
+    def v(at, value, k):
+        return sum(x == k for r, x in zip(rows, votes) if at is None or r[at] == value)
+
+    want = []
+    for r, own in zip(rows, votes):
+        post = []
+        for k in range(n):
+            me, any_vote = float(own == k), float(own is not None)
+            total = sum(v(None, None, j) for j in range(n))
+            share = language.UNKNOWN_SHARE if k == n - 1 else (1 - language.UNKNOWN_SHARE) / (n - 1)
+            p = (v(None, None, k) - me + 5 * share) / (total - any_vote + 5)
+            for at in (3, 2):
+                if r[at]:
+                    p = (v(at, r[at], k) - me + 5 * p) / (sum(v(at, r[at], j) for j in range(n)) - any_vote + 5)
+            said = [(v_and(rows, votes, at, r[at], k) - me + 0.5) / (v(None, None, k) - me + 10) if r[at] else 1.0 for at in (1, 4)]
+            post.append(r[5][k] + np.log(max(p, 1e-9)) + np.log(said[0]) + np.log(said[1]))
+        e = np.exp(np.array(post) - max(post))
+        want.append((r[0], ("xyz"[int(np.argmax(post))], round(float(e.max() / e.sum()), 9))))
+    frame = spark.createDataFrame(rows, "_id int, _declared string, _host string, _domain string, _suffix string, _logs array<double>, _grams bigint").repartition(3)
+    for hot in (1000, 3):
+        language.HOT, before = hot, language.HOT
+        got = language.fuse(frame, list("xyz")).collect()
+        language.HOT = before
+        assert many((g._id, (g._lang, round(g._probability, 9))) for g in got) == many(want)
+
+
+def v_and(rows, votes, at, value, k):
+    return sum(r[at] == value and x == k for r, x in zip(rows, votes))
+
+
+def test_lattice_against_every_path():
+    rng = np.random.default_rng(9)
+    channel = toxicity.Channel(toxicity.log_probabilities(rng.integers(0, 50, (toxicity.SYMBOLS,) * 3)))
+
+    def every(lattice):
+        paths = [(0.0, (0, 0), "")]
+        for options in lattice:
+            paths = [(s - c, (a, b), t) if k is None else (s + channel.logs[a][b][k] - c, (b, k), t + x) for s, (a, b), t in paths for k, c, x in options]
+        return max((s + channel.logs[a][b][0], t) for s, (a, b), t in paths)
+
+    for word in ["1d10t", "mmmoron", "$c|_|m", "b1@!", "aaa", "0", "i777", "x--y", "9gg9", "é1l"]:
+        assert channel.restore(word) == every(list(channel.choices(word)))[1]
+    for letters in ["idiot", "amor0n", "1d1ot", "ab"]:
+        assert " ".join(channel.restore_spaced(letters)) == " ".join(every(list(channel.spaced(letters)))[1].split())
+
+
+def test_spaced_words_are_parted_by_the_model():
+    text = "you are a moron and an idiot " * 400
+    s = np.concatenate([[0, 0], toxicity.SYMBOL[np.frombuffer(text.encode(), np.uint8)], [0]])
+    counts = np.bincount((s[:-2] * toxicity.SYMBOLS + s[1:-1]) * toxicity.SYMBOLS + s[2:], minlength=toxicity.SYMBOLS**3).reshape((toxicity.SYMBOLS,) * 3)
+    channel = toxicity.Channel(toxicity.log_probabilities(counts))
+    assert channel.restore_spaced("youaream0r0n") == ["you", "are", "a", "moron"]
+    assert toxicity.Restorer(channel).words("so y o u a r e a n 1 d i o t.")[-3:] == ["you", "are", "idiot"]
+
+
+def test_toxicity_of_long_and_repeated_texts(spark):
+    rows = [(i, "the soil idiot " + "x" * 50_000 if i % 2 else "the soil " + "wa1ter " * 20_000, "c") for i in range(12)] + [(3, "the soil idiot", "c")] * 2 + [(20, "i d i o t " * 5_000, "c"), (21, "1" * 100_000 + "a", "c")]
+    labels = [(i, i % 2) for i in range(12)]
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id int, text string, _text string"), spark.createDataFrame(labels, "doc_id int, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_mixing_with_odd_weights(spark):
+    rows = [(i, "word " * (i % 7), f"s{i % 2}", q) for i in range(40) for q in [None, float("nan"), float("inf"), -1.0, 0.0, 3.0]]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string, q double"), quality=F.col("q")).collect()
+    assert len(out) == len(rows) and sum(r._taken for r in out) > 0.99 * sum(r._size for r in out) and all(0 <= r._taken <= 3 * r._size for r in out)
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(8)
     rows, labels = [], []
