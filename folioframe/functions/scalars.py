@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names and codes of languages, and what they mean.
-LANGUAGES = {"english": "en", "eng": "en", "en": "en", "amharic": "am", "amh": "am", "am": "am", "oromo": "om", "afaan oromo": "om", "orm": "om", "om": "om", "afar": "aa", "aa": "aa", "tigrinya": "ti", "ti": "ti"}
+LANGUAGES = {"en": "en", "eng": "en", "english": "en", "am": "am", "amh": "am", "amharic": "am", "om": "om", "orm": "om", "oromo": "om", "aa": "aa", "afar": "aa", "ti": "ti", "tir": "ti", "tigrinya": "ti"}
 #: Text that was read in the wrong encoding, and what it stood for, in order.
-MOJIBAKE = (("â€™", "’"), ("â€˜", "‘"), ("â€œ", "“"), ("â€\x9d", "”"), ("â€“", "–"), ("â€”", "—"), ("â€¦", "…"), ("Ã©", "é"), ("Â", ""))
+MOJIBAKE = (("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€", '"'), ("â€“", "–"), ("â€”", "—"), ("â€¦", "…"), ("Â ", " "), ("Â", ""))
 
 
 def clean(c: Column) -> Column:
@@ -181,6 +181,44 @@ def word_list(c: Column, pattern: str, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
 
 
+#: Words that a search, an answer and a keyword list don't count.
+SEARCH_STOP = ("what", "which", "show", "find", "about", "from", "with", "research", "studies", "papers", "paper", "study", "the", "and", "for", "does", "were", "was", "are", "is", "into", "that", "this")
+ANSWER_STOP = ("what", "which", "the", "and", "for", "from", "with", "were", "was", "study", "research", "paper")
+
+
+def search_tokens(c: Column) -> Column:
+    """Words between white space without signs around them."""
+    words = F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"""^[.,?!:;()\[\]{}"']+|[.,?!:;()\[\]{}"']+$""", ""))
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*SEARCH_STOP))
+
+
+def answer_tokens(c: Column) -> Column:
+    """Runs of three ASCII letters or digits and more."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)), lambda w: ~w.isin(*ANSWER_STOP))
+
+
+def context_terms(c: Column) -> Column:
+    """Runs of three word characters of any script and more."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w{3,}"), F.lit(0))
+
+
+def counted(df: DataFrame, words: str) -> DataFrame:
+    """df with _counts: array of (term, n, first) of a list of words, by term; sorted runs, so no shuffle and linear but for the sort."""
+    out = df.withColumn("_sorted", F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
+    at = lambda i: F.get("_sorted", i)
+    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("_starts", F.filter(places, lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])))
+    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(F.size("_sorted")))
+    runs = F.zip_with("_starts", ends, lambda a, b: F.struct(at(a)["term"].alias("term"), (b - a).cast("long").alias("n"), at(a)["pos"].cast("long").alias("first")))
+    return out.withColumn("_counts", F.filter(runs, lambda r: r["n"].isNotNull())).drop("_sorted", "_starts")
+
+
+def most_common(counts: Column, n: int, by_term: bool = False) -> Column:
+    """The n most frequent of _counts, ties by first place or by term."""
+    keyed = F.transform(counts, lambda c: F.struct((-c["n"]).alias("k"), (c["term"] if by_term else c["first"]).alias("tie"), c.alias("c")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda x: x["c"])
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F")
 
@@ -231,24 +269,30 @@ def first_pass_score(required: list[Column], optional: list[Column], doi_column:
     return F.least(F.lit(100), 12 * present(required) + 6 * present(optional) + 10 * present([doi_column]))
 
 
-def citation(style: str, authors: Column, title: Column, year: Column, journal: Column, doi_column: Column) -> Column:
-    """Citation text of a publication; missing parts are left out."""
-    who = F.array_join(authors, "; ")
+CITATION_STYLES = ("apa7", "mla9", "chicago-author-date", "chicago-notes", "harvard", "ieee", "vancouver", "bibtex", "ris", "csl-json")
+
+
+def citation(style: str, authors: Column, title: Column, year: Column, doi_column: Column, address: Column) -> Column:
+    """Citation text of a publication by the name of a style; a DOI goes before an address, neither is an empty text."""
+    who = F.coalesce(F.nullif(F.array_join(authors, ", "), F.lit("")), F.lit("Unknown author"))
     dated = F.coalesce(year.cast("string"), F.lit("n.d."))
-    at = F.when(doi_column.isNotNull(), F.concat(F.lit("https://doi.org/"), doi_column))
-    part = lambda before, c, after="": F.when(c.isNotNull() & (c != ""), F.concat(F.lit(before), c, F.lit(after)))
-    if style in ("apa", "harvard"):
-        return F.concat_ws(" ", part("", who), F.concat(F.lit("("), dated, F.lit(").")), part("", title, "."), part("", journal, "."), at)
-    if style in ("mla", "chicago", "chicago_author_date"):
-        return F.concat_ws(" ", part("", who, "."), part("“", title, ".”"), part("", journal, ","), F.concat(dated, F.lit(".")), at)
+    name = F.regexp_replace(title, r"\.+$", "")
+    place = F.coalesce(F.concat(F.lit("https://doi.org/"), F.nullif(doi_column, F.lit(""))), address, F.lit(""))
+    said = lambda *parts: F.trim(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
+    if style in ("apa7", "chicago-author-date", "harvard"):
+        return said(who, " (", dated, "). ", name, ". ", place)
+    if style in ("mla9", "chicago-notes"):
+        return said(who, ". “", name, ".” ", dated, ". ", place)
     if style in ("ieee", "vancouver"):
-        return F.concat_ws(" ", part("", who, "."), part("", title, "."), part("", journal, "."), F.concat(dated, F.lit(";")), at)
+        return said(who, ", “", name, ",” ", dated, ". ", place)
     if style == "bibtex":
-        fields = [F.concat(F.lit(f"  {k} = {{"), v, F.lit("}")) for k, v in (("author", F.array_join(authors, " and ")), ("title", title), ("year", dated), ("journal", journal), ("doi", doi_column))]
-        return F.concat(F.lit("@article{"), F.substring(F.sha2(title, 256), 1, 8), F.lit(",\n"), F.concat_ws(",\n", *fields), F.lit("\n}"))
+        last = F.element_at(F.split(F.coalesce(F.get(authors, F.lit(0)), F.lit("Unknown")), r"\s+"), -1)
+        key = F.regexp_replace(F.concat(last, dated), r"(?U)\W+", "")
+        fields = [F.concat(F.lit(f"  {k} = {{"), v, F.lit("}")) for k, v in (("author", F.array_join(authors, " and ")), ("title", name), ("year", dated), ("url", place))]
+        return F.concat(F.lit("@misc{"), key, F.lit(",\n"), F.concat_ws(",\n", *fields), F.lit("\n}"))
     if style == "ris":
-        lines = [F.lit("TY  - JOUR"), F.concat_ws("\n", F.transform(authors, lambda a: F.concat(F.lit("AU  - "), a))), *[part(f"{k}  - ", v) for k, v in (("TI", title), ("PY", dated), ("JO", journal), ("DO", doi_column))], F.lit("ER  - ")]
-        return F.concat_ws("\n", *lines)
-    if style == "csl_json":
-        return F.to_json(F.struct(F.lit("article-journal").alias("type"), title.alias("title"), F.transform(authors, lambda a: F.struct(a.alias("literal"))).alias("author"), dated.alias("issued"), journal.alias("container-title"), doi_column.alias("DOI")))
+        return F.concat(F.lit("TY  - GEN\n"), F.array_join(F.transform(authors, lambda a: F.concat(F.lit("AU  - "), a)), "\n"), F.lit("\nTI  - "), name, F.lit("\nPY  - "), dated, F.lit("\nUR  - "), place, F.lit("\nER  -"))
+    if style == "csl-json":
+        item = F.struct(F.lit("article").alias("type"), name.alias("title"), F.transform(authors, lambda a: F.struct(a.alias("literal"))).alias("author"), F.struct(dated.alias("raw")).alias("issued"), doi_column.alias("DOI"), address.alias("URL"))
+        return F.to_json(item, {"ignoreNullFields": "false"})
     raise ValueError(f"unknown style {style}")

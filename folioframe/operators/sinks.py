@@ -22,11 +22,20 @@ def split_errors(rows: DataFrame, path: str, error: str = "error") -> DataFrame:
 def exported(cited: DataFrame, style: str, path: str) -> None:
     """Unique cited sources as BibTeX or RIS text: the place of the first mention, the values of the last.
 
-    cited: (position, key, title, authors, year, journal, doi).
+    cited: (position, key, title, authors, year, doi, url).
     """
-    rows = cited.groupBy("key").agg(F.min("position").alias("at"), F.max_by(F.struct("title", "authors", "year", "journal", "doi"), "position").alias("c"))
-    text = S.citation(style, F.col("c.authors"), F.col("c.title"), F.col("c.year"), F.col("c.journal"), F.col("c.doi"))
-    rows.orderBy("at").select(text.alias("value")).write.mode("overwrite").text(path)
+    rows = cited.groupBy("key").agg(F.min("position").alias("at"), F.max_by(F.struct("title", "authors", "year", "doi", "url"), "position").alias("c"))
+    text = S.citation(style, F.col("c.authors"), F.col("c.title"), F.col("c.year"), F.col("c.doi"), F.col("c.url"))
+    rows.orderBy("at").select(text.alias("value")).write.mode("overwrite").text(path, lineSep="\n\n")
+
+
+def exported_records(rows: DataFrame, path: str, key: str | None = None, order: str = "position") -> None:
+    """Records as lines of JSON; with a key only the first of each, rows without one all."""
+    if key:
+        place = F.struct(order)
+        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("_least"))
+        rows = rows.join(least, key, "left").where(F.col("_least").isNull() | (place == F.col("_least"))).drop("_least")
+    rows.write.mode("overwrite").json(path)
 
 
 def registry(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:

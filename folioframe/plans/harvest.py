@@ -102,13 +102,37 @@ def quarantine(spark, sf):
     return K.split_errors(rows, folder(spark, "quarantine"))
 
 
-@query("k9_ris_export", "SELECT count(DISTINCT o_custkey) AS sources FROM orders")
+_CITED = """WITH c AS (SELECT o_custkey AS key, min(o_orderkey) AS at, arg_max(o_orderpriority, o_orderkey) AS title, arg_max(year(o_orderdate), o_orderkey) AS year, max(o_orderkey) AS last FROM orders GROUP BY 1),
+t AS (SELECT *, ['Ada N' || key % 3, 'Bo'] AS authors, 'https://x.org/' || last AS url FROM c) """
+
+
+def _cited(spark, sf):
+    k = F.col("o_custkey")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), k.alias("key"), F.col("o_orderpriority").alias("title"), F.array(F.concat(F.lit("Ada N"), (k % 3).cast("string")), F.lit("Bo")).alias("authors"), F.year("o_orderdate").alias("year"), F.lit(None).cast("string").alias("doi"), F.concat(F.lit("https://x.org/"), F.col("o_orderkey").cast("string")).alias("url"))
+
+
+@query("k9_ris_export", _CITED + "SELECT line, count(*) AS n FROM (SELECT unnest(['TY  - GEN', 'AU  - ' || authors[1], 'AU  - Bo', 'TI  - ' || title, 'PY  - ' || year, 'UR  - ' || url, 'ER  -']) AS line FROM t) GROUP BY 1")
 def ris_export(spark, sf):
-    """Each author once, written as RIS and counted in the files."""
+    """Each source once, written as RIS; the lines of the files."""
     path = folder(spark, "ris")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("title"), F.array(F.lit("A")).alias("authors"), F.year("o_orderdate").alias("year"), F.lit("J").alias("journal"), F.lit(None).cast("string").alias("doi"))
-    K.exported(o, "ris", path)
-    return spark.read.text(path).where("value = 'TY  - JOUR'").agg(F.count("*").alias("sources"))
+    K.exported(_cited(spark, sf), "ris", path)
+    return spark.read.text(path).where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("k9_bibtex_export", _CITED + "SELECT line, count(*) AS n FROM (SELECT unnest(['@misc{N' || key % 3 || year || ',', '  author = {' || authors[1] || ' and Bo},', '  title = {' || title || '},', '  year = {' || year || '},', '  url = {' || url || '}', '}']) AS line FROM t) GROUP BY 1")
+def bibtex_export(spark, sf):
+    path = folder(spark, "bibtex")
+    K.exported(_cited(spark, sf), "bibtex", path)
+    return spark.read.text(path).where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("k8_record_export", "SELECT min(doc_id) AS doc_id, min(n_chars)::BIGINT AS n_chars FROM documents WHERE n_chars IS NOT NULL GROUP BY source, n_chars")
+def record_export(spark, sf):
+    """Records written as JSON with the later ones of a key left out, read again."""
+    path = folder(spark, "export")
+    d = table(spark, sf, "documents").where("n_chars is not null").select("doc_id", "n_chars", F.concat_ws("|", "source", F.col("n_chars").cast("string")).alias("key"))
+    K.exported_records(d, path, "key", "doc_id")
+    return spark.read.schema("doc_id bigint, n_chars bigint, key string").json(path).select("doc_id", "n_chars")
 
 
 @query("k10_job_summary", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS bytes FROM events GROUP BY 1")
@@ -139,17 +163,6 @@ def university_import(spark, sf):
     return D.upserted(n.where(k % 5 != 0), new, "n_nationkey", ["n_name"]).select("n_nationkey", "action")
 
 
-@query("q11_low_quality_reports")
-def low_quality_reports(spark, sf):
-    return Q.assessed(full_records(spark, sf), AS_OF).where("final_score <= 70").select("publication_id", "final_score", "grade")
-
-
-@query("q8_recalculation", "SELECT doc_id % 17 = 0 AS is_deleted, count(*) AS reports FROM documents GROUP BY 1")
-def recalculation(spark, sf):
-    a = Q.assessed(full_records(spark, sf), AS_OF)
-    return a.groupBy((F.col("publication_id") % 17 == 0).alias("is_deleted")).agg(F.count("final_score").alias("reports"))
-
-
 @query("st1_incremental", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def incremental(spark, sf):
     """Drained twice with one checkpoint: the second call finds nothing new."""

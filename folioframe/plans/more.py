@@ -250,11 +250,6 @@ def chunk_replacement(spark, sf):
     return old.join(new.select("l_orderkey").distinct(), "l_orderkey", "left_anti").unionByName(new)
 
 
-@query("q2_validity")
-def validity(spark, sf):
-    return Q.assessed(full_records(spark, sf), AS_OF).select("publication_id", "validity_score", "consistency_score", "uniqueness_score", "accessibility_score")
-
-
 @query("q9_report_change", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus <> 'F'")
 def report_change(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")

@@ -62,10 +62,14 @@ def issns(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.issn(text).alias("issn"))
 
 
-@query("f8_language", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'fr' THEN 'am' ELSE lang END AS language FROM documents")
+_NAMES = list(S.LANGUAGES)
+
+
+@query("f8_language", "SELECT o_orderkey, ['en', 'en', 'en', 'am', 'am', 'am', 'om', 'om', 'om', 'aa', 'aa', 'ti', 'ti', 'ti', 'fr-ca', NULL][o_orderkey % 16 + 1] AS language FROM orders")
 def languages(spark, sf):
-    raw = F.when(F.col("lang") == "en", " English ").when(F.col("lang") == "fr", "AMH").otherwise(F.col("lang"))
-    return documents(spark, sf).select("doc_id", S.language(raw).alias("language"))
+    """Every name and code, in other letters and with blanks, and some that aren't known."""
+    raw = F.get(F.array(*[F.lit(f" {n.title()} ") for n in _NAMES], F.lit("FR-ca"), F.lit("  ")), (F.col("o_orderkey") % 16).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", S.language(raw).alias("language"))
 
 
 @query("f9_url", r"SELECT page_id, lower(regexp_extract(url, '^[^:]+://[^/?#]+')) || regexp_replace(regexp_replace(url, '^[^:]+://[^/?#]+', ''), '#.*$', '') AS url FROM pages")
@@ -101,10 +105,10 @@ def identity_titles(spark, sf):
     return documents(spark, sf).select("doc_id", S.identity_title(F.substring("text", 1, 200)).alias("key"))
 
 
-@query("f27_mojibake", "SELECT doc_id, sha256(replace(replace(coalesce(text, ''), 'é', 'é'), 'Â', '')) AS h FROM documents")
+@query("f27_mojibake", "SELECT doc_id, sha256(replace(coalesce(text, ''), 'Â', '') || CASE doc_id % 3 WHEN 0 THEN ' it''s ' WHEN 1 THEN ' \"so' ELSE ' x' END) AS h FROM documents")
 def repaired(spark, sf):
-    spoilt = F.replace(F.coalesce("text", F.lit("")), F.lit("é"), F.lit("Ã©"))
-    return documents(spark, sf).select("doc_id", F.sha2(S.repaired(spoilt), 256).alias("h"))
+    spoilt = F.when(F.col("doc_id") % 3 == 0, " itâ€™s ").when(F.col("doc_id") % 3 == 1, "Â â€œso").otherwise(" Âx")
+    return documents(spark, sf).select("doc_id", F.sha2(S.repaired(F.concat(F.coalesce("text", F.lit("")), spoilt)), 256).alias("h"))
 
 
 @query("f28_lines", r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS h FROM documents")
@@ -147,11 +151,25 @@ def cosines(spark, sf):
     return e.join(other, "vec_id").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
 
 
-@query("f45_citation", """SELECT o_orderkey, c_name || ' (' || year(o_orderdate) || ').' || ' ' || 'On ' || o_orderpriority || '. Journal ' || o_orderstatus || '. https://doi.org/10.1/' || o_orderkey AS apa FROM orders JOIN customer ON o_custkey = c_custkey""")
+_STYLED = """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN [] ELSE [c_name, 'Bo Lemma'] END AS a, 'On ' || o_orderpriority AS t, CASE WHEN o_orderkey % 7 = 0 THEN 'n.d.' ELSE year(o_orderdate)::VARCHAR END AS y,
+CASE WHEN o_orderkey % 3 = 0 THEN 'https://doi.org/10.1/' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'https://x.org/' || o_orderkey ELSE '' END AS l FROM orders JOIN customer ON o_custkey = c_custkey),
+q AS (SELECT *, CASE WHEN len(a) = 0 THEN 'Unknown author' ELSE array_to_string(a, ', ') END AS w FROM p) """
+
+
+@query(
+    "f45_citation",
+    _STYLED
+    + """SELECT o_orderkey, trim(w || ' (' || y || '). ' || t || '. ' || l) AS apa7, trim(w || '. “' || t || '.” ' || y || '. ' || l) AS mla9, trim(w || ', “' || t || ',” ' || y || '. ' || l) AS ieee,
+'@misc{' || CASE WHEN len(a) = 0 THEN 'Unknown' ELSE regexp_replace(a[1], '\\W+', '', 'g') END || regexp_replace(y, '\\W+', '', 'g') || ',' || chr(10) || '  author = {' || array_to_string(a, ' and ') || '},' || chr(10) || '  title = {' || t || '},' || chr(10) || '  year = {' || y || '},' || chr(10) || '  url = {' || l || '}' || chr(10) || '}' AS bibtex,
+'TY  - GEN' || chr(10) || array_to_string([('AU  - ' || x) FOR x IN a], chr(10)) || chr(10) || 'TI  - ' || t || chr(10) || 'PY  - ' || y || chr(10) || 'UR  - ' || l || chr(10) || 'ER  -' AS ris FROM q""".replace("\\\\", "\\"),
+)
 def citations(spark, sf):
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    text = S.citation("apa", F.array("c_name"), F.concat(F.lit("On "), F.col("o_orderpriority")), F.year("o_orderdate"), F.concat(F.lit("Journal "), F.col("o_orderstatus")), F.concat(F.lit("10.1/"), F.col("o_orderkey").cast("string")))
-    return o.select("o_orderkey", text.alias("apa"))
+    o, k = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")), F.col("o_orderkey")
+    who = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("c_name", F.lit("Bo Lemma")))
+    doi = F.when(k % 3 == 0, F.concat(F.lit("10.1/"), k.cast("string")))
+    address = F.when(k % 3 != 2, F.concat(F.lit("https://x.org/"), k.cast("string")))
+    year = F.when(k % 7 != 0, F.year("o_orderdate"))
+    return o.select(k, *[S.citation(s, who, F.concat(F.lit("On "), F.col("o_orderpriority"), F.lit(".")), year, doi, address).alias(s) for s in ("apa7", "mla9", "ieee", "bibtex", "ris")])
 
 
 @query("f48_issue_type", r"SELECT event_id, left(regexp_replace(regexp_replace(lower(event_type || ' Kind-1'), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS kind FROM events")

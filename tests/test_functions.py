@@ -1,5 +1,9 @@
 """Scalar cases and record scans."""
 
+import datetime
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioframe.functions import scalars as S
@@ -25,12 +29,58 @@ def test_scalars(spark):
     assert str(one(spark, S.date, "2023-07")) == "2023-07-01" and str(one(spark, S.date, "2023 spring")) == "2023-01-01" and one(spark, S.date, "2023-02-31") is None
     assert one(spark, S.terms, "Health; soil, health ;") == ["Health", "soil"]
     assert one(spark, S.sentences, "One. Two!\nThree") == ["One.", "Two!", "Three"]
-    assert one(spark, S.repaired, "cafÃ© Â it") == "café  it"
+    assert one(spark, S.repaired, "itâ€™s â€œsoâ€ – Â it") == "it's \"so\" –  it"
+    assert [one(spark, S.language, x) for x in ("tir", "Tigrinya", "Afaan Oromo", "eng")] == ["ti", "ti", "afaan oromo", "en"]
     assert one(spark, S.clean_pages, "exam-\nple  x\n\n\n\ny") == "example x\n\ny"
     assert one(spark, S.document_title, "/a/12_My_report-one.pdf") == "My report one"
     assert S.weights({"completeness": 10}, Q.WEIGHTS)["completeness"] == 1.0 and abs(sum(S.weights({"completeness": -1}, Q.WEIGHTS).values()) - 1) < 1e-9
-    for style in ("apa", "mla", "chicago", "chicago_author_date", "harvard", "ieee", "vancouver", "bibtex", "ris", "csl_json"):
-        assert one(spark, lambda t, y, j, d: S.citation(style, F.array(F.lit("A B")), t, y, j, d), "T", "2020", "J", "10.1/x")  # noqa: B023
+
+
+def test_citations(spark):
+    def text(style, authors=("Abel Kebede", "Sara Ali"), title="Soil health.", year=2020, doi="10.1/x", url="https://a.org"):
+        row = spark.createDataFrame([(list(authors), title, year, doi, url)], "a array<string>, t string, y int, d string, u string")
+        return row.select(S.citation(style, *map(F.col, "atydu")).alias("x")).first().x
+
+    assert text("apa7") == text("harvard") == text("chicago-author-date") == "Abel Kebede, Sara Ali (2020). Soil health. https://doi.org/10.1/x"
+    assert text("mla9", doi=None) == text("chicago-notes", doi=None) == "Abel Kebede, Sara Ali. “Soil health.” 2020. https://a.org"
+    assert text("ieee", authors=(), year=None, doi=None, url=None) == text("vancouver", authors=(), year=None, doi=None, url=None) == "Unknown author, “Soil health,” n.d.."
+    assert text("bibtex") == "@misc{Kebede2020,\n  author = {Abel Kebede and Sara Ali},\n  title = {Soil health},\n  year = {2020},\n  url = {https://doi.org/10.1/x}\n}"
+    assert text("ris") == "TY  - GEN\nAU  - Abel Kebede\nAU  - Sara Ali\nTI  - Soil health\nPY  - 2020\nUR  - https://doi.org/10.1/x\nER  -"
+    assert json.loads(text("csl-json")) == {"type": "article", "title": "Soil health", "author": [{"literal": "Abel Kebede"}, {"literal": "Sara Ali"}], "issued": {"raw": "2020"}, "DOI": "10.1/x", "URL": "https://a.org"}
+    assert all(text(s) for s in S.CITATION_STYLES)
+    with pytest.raises(ValueError):
+        text("apa")
+
+
+RECORD = "publication_id int, title string, abstract string, authors array<string>, keywords array<string>, subjects array<string>, publication_year int, publication_date date, doi string, orcids array<string>, language string, source string, source_type string, external_id string, repository_identifier string, raw_record string, publisher string, journal string, article_url string, pdf_url string, source_urls array<string>, license_name string, license_url string, license string, harvested_at timestamp, repository_datestamp timestamp, is_deleted boolean"
+
+
+def test_quality(spark):
+    day = datetime.datetime(2024, 5, 1)
+    good = (1, "Soil fertility in highlands", "A study of soil fertility in highland farms.", ["Abel Kebede", "Sara Ali"], ["soil", "farms"], ["Agronomy"], 2024, datetime.date(2024, 3, 1), "10.1234/abc.1", ["0000-0002-1825-0097"], "en", "s", "oai_pmh", "x1", "r1", "{}", "Jimma Press", "Annals", "https://a.org/1", "https://a.org/1.pdf", [], "CC BY 4.0", None, None, day, day, False)
+    poor = (2, "N/A", "short", [], ["  Health  ", "Health"], [], 3020, None, "bad-doi", [], "english", "s", "oai_pmh", None, "r2", "{}", "", "", "ftp://a.org", "https://b.org/x.pdf", [], None, None, None, datetime.datetime(2022, 1, 1), day, True)
+    none = (3, *[None] * 25, None)
+    a, b, c = Q.assessed(spark.createDataFrame([good, poor, none], RECORD), "2024-07-16").orderBy("publication_id").collect()
+    assert a.grade == "A" and a.final_score == 100.0 and not a.missing_fields and not a.issue_types and not a.recommendations
+    # by hand: 6 of 8, 3 of 9, 4 of 5, 2 of 3, 2 of 5, 3 of 5
+    assert [b[f"{d}_score"] for d in Q.WEIGHTS] == [75.0, 33.33, 80.0, 66.67, 40.0, 60.0] and b.final_score == 61.17 and b.grade == "D" and b.missing_fields == ["authors", "external_id"]
+    assert {"placeholder_title", "weak_abstract", "invalid_publication_year", "invalid_doi", "invalid_url", "invalid_language", "unnormalized_keywords", "duplicate_keywords", "stale_harvest", "future_publication_year", "missing_license", "record_deleted", "missing_authors"} <= set(b.issue_types)
+    assert "invalid_doi: DOI is invalid: bad-doi." in b.validation_errors and "invalid_publication_year: Publication year is unreasonable: 3020." in b.validation_errors
+    assert "Provide external id metadata." in b.recommendations
+    # eight fields, a title and so on are missing; nothing that is absent is called wrong
+    assert c.missing_fields == ["title", "authors", "abstract", "publication_date", "repository_identifier", "external_id", "source_provenance", "raw_metadata", "harvested_at", "article_url"]
+    assert c.validation_errors == [] and c.completeness_score == 0.0 and c.validity_score == 66.67 and c.grade == "F"
+    only = Q.assessed(spark.createDataFrame([poor], RECORD), "2024-07-16", {"completeness": 10.0, "validity": -3.0}).first()
+    assert only.final_score == only.completeness_score
+    rows = Q.issues(spark.createDataFrame([(1, ["doi"], ["invalid_doi: DOI is bad."], [], ["Provide doi metadata."])], "publication_id int, missing_fields array<string>, validation_errors array<string>, warnings array<string>, recommendations array<string>"), "publication_id")
+    assert {(r.category, r.issue_type) for r in rows.collect()} == {("missing_field", "missing_doi"), ("validation_error", "invalid_doi"), ("recommendation", "provide_doi_metadata")}
+
+
+def test_counted_words(spark):
+    rows = [(1, ["b", "a", "b", "c", "a", "b"]), (2, []), (3, ["x"]), (4, None)]
+    got = {r.i: r for r in S.counted(spark.createDataFrame(rows, "i int, w array<string>"), "w").withColumn("top", S.most_common(F.col("_counts"), 2)).collect()}
+    assert [tuple(x) for x in got[1]._counts] == [("a", 2, 1), ("b", 3, 0), ("c", 1, 3)] and [x.term for x in got[1].top] == ["b", "a"]
+    assert got[2]._counts == [] and [tuple(x) for x in got[3]._counts] == [("x", 1, 0)] and not got[4]._counts
 
 
 def test_oai(spark):
