@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts alike in 0.8 of their five-word runs one row stays: of the smallest id (null ids last) the text of least hash."""
-    named = saved(near_copies(docs), "named")
+    named = near_copies(docs)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tid")
     least = named.groupBy("_group").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1")
     of = named.join(least, "_group").select("doc_id", "_tid", (place == F.col("least")).alias("stays"))

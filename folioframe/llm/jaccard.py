@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard likeness of shingle sets, with prefix filtering."""
+"""Near copies by the exact Jaccard likeness of shingle sets: candidates from SimHash fingerprints and, beyond their reach, from prefix filtering."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, mapped, saved, strips, texts
+from .common import components, dropped, mapped, saved, scratch, spread_join, strips, texts
+from .simhash import majority, near_links
 
 SHINGLE, LEAST = 5, 0.8
 #: One text in so many is read for what is common, shingles in so many of them are, and so many of these are sent out at most.
@@ -105,10 +106,44 @@ def _candidates(postings: DataFrame, least: float, large: bool) -> DataFrame:
     return mapped(dealt, compare, "a bigint, b bigint").distinct()
 
 
-def _alike(pairs: DataFrame, named: DataFrame, own: DataFrame, least: float, words: int) -> DataFrame:
-    """Those of pairs (a, b) of sets whose texts' shingles are alike enough; only texts in pairs are moved."""
+def sketch(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of about half as many buckets, a power of two; empty if one holds too many for a byte."""
+    buckets = 1 << max(3, (len(h) // 2).bit_length())
+    n = np.bincount(h & (buckets - 1), minlength=buckets)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """At least as many hashes as two sets share: what their buckets have in common. None if a sketch says nothing."""
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    m = min(len(a), len(b))  # the larger table is folded
+    return int(np.minimum(a.reshape(-1, m).sum(0), b.reshape(-1, m).sum(0)).sum())
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose sketches allow the likeness: loses none that has it, and moves a small part of what a text takes."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                most = most_shared(x, y)
+                keep.append(most is None or most >= least * (n + m - most) - 1e-9)
+            done = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
+
+    side = lambda c: sketches.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return saved(mapped(both, check, "a bigint, b bigint"), "possible")
+
+
+def _alike(pairs: DataFrame, marked: DataFrame, sketches: DataFrame, own: DataFrame, least: float, words: int) -> DataFrame:
+    """Those of pairs (a, b) of sets whose texts' shingles are alike enough; only texts of pairs that sketches allow are moved."""
+    pairs = _possible(pairs, sketches, least)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = saved(named.join(ids, "sid").groupBy("sid").agg(F.min("_tid").alias("_tid")), "wanted")
+    wanted = saved(marked.select("sid", "_tid").join(ids, "sid").groupBy("sid").agg(F.min("_tid").alias("_tid")), "wanted")
     found = saved(own.join(wanted, "_tid").select("sid", "_text").dropDuplicates(["sid"]), "found")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +159,8 @@ def _alike(pairs: DataFrame, named: DataFrame, own: DataFrame, least: float, wor
 
     both = pairs.join(found.select(F.col("sid").alias("a"), F.col("_text").alias("x")), "a").join(found.select(F.col("sid").alias("b"), F.col("_text").alias("y")), "b")
     out = saved(mapped(both.select("a", "b", "x", "y"), check, "a bigint, b bigint"), "alike")
-    dropped(found)
-    dropped(wanted)
+    for table in (pairs, found, wanted):
+        dropped(table)
     return out
 
 
@@ -133,15 +168,26 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """(id, _tid, _group) per row of docs: _tid is a hash of the text, _group one of what is near each other.
 
     Two texts are linked if the sets of their runs of `words` words (A-Z folded, ASCII white space
-    between) have a Jaccard likeness of `least` or more; a group is what links connect. No link is missed:
-    in any one order of all shingles, two such sets share one of the first |set| - ceil(least |set|) + 1
-    of each. Shingles that a sample shows to be common come last in that order, which is a matter of cost
-    and never of results. Null and blank texts have the empty set and are one group; rows with equal texts
-    stay apart as rows; an empty table gives no rows; other columns are ignored.
-
-    A shingle's group of more than GROUP sets is chained first, and only what the links leave apart is
-    paired then, so that a crowd of near copies costs its number and not its square.
+    between) have a Jaccard likeness of `least` or more; a group is what links connect.
+
+    1. SimHash fingerprints over the same runs: what shares one, or is within four bits by its Golay
+       keys, is compared.
+    2. At a likeness of 0.8 most fingerprints differ in more bits than any keys can bridge. What is left
+       is found without loss: in any one order of all runs, two such sets share one of the first
+       |set| - ceil(least |set|) + 1 of each. Runs that a sample shows to be common come last in that
+       order, which is a matter of cost and never of results.
+    Every pair is decided by its exact likeness, if the sketches of the two sets allow it at all.
+
+    Null and blank texts have the empty set and are one group; rows with equal texts stay apart as rows;
+    an empty table gives no rows; other columns are ignored. A run's group of more than GROUP sets is
+    chained first, and only what the links leave apart is paired then, so that a crowd of near copies
+    costs its number and not its square.
     """
+    with scratch():
+        return _near_copies(docs, id_col, text_col, least, words)
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str, least: float, words: int) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select(docs[id_col].alias(id_col), F.xxhash64(docs[text_col].cast("string")).alias("_tid"), docs[text_col].cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -165,24 +211,39 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, n, keys = [], [], []
+            sid, n, fps, sketches, keys = [], [], [], [], []
             for t in texts(b.column(2)):
                 h = shingles(t, words)
                 sid.append(xxhash.xxh64_intdigest(h.tobytes()))
                 n.append(len(h))
+                fps.append(majority(h.view(np.uint64)))
+                sketches.append(sketch(h))
                 keys.append(ordered(h)[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1] if len(h) else h)
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(n, pa.int32()), lists], [id_col, "_tid", "sid", "n", "keys"])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sid, fps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(sketches, pa.binary()), lists], [id_col, "_tid", "sid", "n", "fp", "sketch", "keys"])
 
-    marked = saved(mapped(own, mark, f"`{id_col}` {kind}, _tid bigint, sid bigint, n int, keys array<bigint>"), "marked")
+    marked = saved(mapped(own, mark, f"`{id_col}` {kind}, _tid bigint, sid bigint, n int, fp bigint, sketch binary, keys array<bigint>"), "marked")
     named = marked.select("sid", "_tid")
+    sketches = marked.select("sid", "n", "sketch").dropDuplicates(["sid"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return _alike(pairs, named, sketches, own, least, words)
+
+    prints = saved(marked.groupBy("fp").agg(F.min("sid").alias("sid"), F.count("*").alias("n")), "prints")
+    a, b = (prints.select(F.col("fp").alias(c), F.col("sid").alias(f"sid_{c}")) for c in "ab")
+    close = near_links(prints.select("fp")).join(a, "a").join(b, "b").select("sid_a", "sid_b")
+    several = prints.where("n > 1").select("fp", F.col("sid").alias("sid_a"), "n")
+    same = spread_join(marked.select("fp", F.col("sid").alias("sid_b")), several, ["fp"], "n", marked.count()).select("sid_a", "sid_b").where("sid_a <> sid_b")
+    fuzzy = alike(close.unionByName(same).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct())
+
     sets = marked.select("sid", "n", "keys").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("keys").alias("at", "key"))
     first = saved(_candidates(sets, least, False), "pairs")
-    links = _alike(first.where("b is not null"), named, own, least, words)
+    links = fuzzy.unionByName(alike(first.where("b is not null").join(fuzzy, ["a", "b"], "left_anti")))
     roots = saved(components(links), "roots")
-    crowded = first.where("b is null").select(F.col("a").alias("key"))
+    crowded = saved(first.where("b is null").select(F.col("a").alias("key")), "crowded")
     apart = sets.join(crowded, "key").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = _alike(saved(_candidates(apart, least, True), "pairs"), named, own, least, words)
+    more = alike(saved(_candidates(apart, least, True), "pairs"))
     roots = saved(components(links.unionByName(more)), "roots")
-    return marked.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(id_col, "_tid", F.coalesce("root", "sid").alias("_group"))
+    return saved(marked.select(id_col, "_tid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(id_col, "_tid", F.coalesce("root", "sid").alias("_group")), "named", kept=True)

@@ -23,6 +23,14 @@ GENERATOR = 0b110001110101
 GROUP = 1024
 
 
+def majority(h: np.ndarray) -> int:
+    """Bit k is set if it is set in over half of some 64-bit numbers."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), PART):
+        ones += np.unpackbits(h[i : i + PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes) -> int:
     """Bit k is set if it is set in over half the XXH64 values of the text's shingles."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space only

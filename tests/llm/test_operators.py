@@ -233,6 +233,18 @@ def test_near_copies(spark, rows, nothing):
     assert jaccard.near_copies(nothing).count() == 0
 
 
+def test_sketches_never_say_too_little():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        both = rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 300))
+        x, y = (np.unique(np.concatenate([both, rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 500))])) for _ in range(2))
+        most = jaccard.most_shared(jaccard.sketch(x), jaccard.sketch(y))
+        assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+    assert jaccard.sketch(np.zeros(300, np.int64)) == b"" and jaccard.most_shared(b"", jaccard.sketch(x)) is None
+    h = rng.integers(0, 1 << 63, 101, dtype=np.uint64)
+    assert simhash.majority(h) == sum(1 << k for k in range(64) if sum(int(v) >> k & 1 for v in h) > 50)
+
+
 def test_pipeline_near_copies_go(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     base = prose(random.Random(13), 100).split()
