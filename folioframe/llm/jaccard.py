@@ -18,6 +18,8 @@ SHINGLE, LEAST = 5, 0.8
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 200_000
 #: Postings of one shingle that are paired all with all at once; of larger groups only what is still apart is.
 GROUP = 8
+#: Orders in which large groups are dealt anew.
+ORDERS = 4
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -37,15 +39,22 @@ def enough(x: np.ndarray, y: np.ndarray, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
-def _pairs(sid: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, least: float, chained: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one shingle's postings that sizes and places allow, by ascending size; chained: neighbours only.
+def _pairs(sid: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, least: float, mode: str, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one shingle's postings.
 
-    Of two sets that are alike enough, the first common shingle leaves enough on both sides behind it.
+    chain: neighbours by ascending size. all: every pair of different roots that sizes and places allow;
+    of two sets that are alike enough, the first common shingle leaves enough on both sides behind it.
+    dealt: in several orders that the key shuffles, each set and the next one, if their roots differ.
     """
     order = np.lexsort((sid, n))
     sid, n, at, root = sid[order], n[order], at[order], root[order]
-    if chained:
+    if mode == "chain":
         return sid[:-1], sid[1:]
+    if mode == "dealt":
+        orders = [np.argsort(sid * np.int64((key | 1) + 2 * r), kind="stable") for r in range(ORDERS)]
+        a, b = np.concatenate([o[:-1] for o in orders]), np.concatenate([o[1:] for o in orders])
+        fits = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-6)
+        return sid[a[fits]], sid[b[fits]]
     a, b, last = [], [], np.searchsorted(n, n / least + 1e-6, side="right")
     for i in range(len(sid) - 1):
         j = np.arange(i + 1, last[i])
@@ -56,13 +65,13 @@ def _pairs(sid: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, lea
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(postings: DataFrame, least: float, large: bool) -> DataFrame:
+def _candidates(postings: DataFrame, least: float, large: str | None = None) -> DataFrame:
     """(a, b) of postings (key, sid, n, at): all pairs of small groups and chains of large ones, whose keys stand as (key, null).
 
-    large: of large groups only, those that differ in the further column root.
+    large: of large groups only, by the further column root, in this mode.
     """
 
-    names = ["key", "sid", "n", "at"] + ["root"] * large
+    names = ["key", "sid", "n", "at"] + ["root"] * bool(large)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * len(names)
@@ -75,15 +84,16 @@ def _candidates(postings: DataFrame, least: float, large: bool) -> DataFrame:
             if not large and (ends - begins > GROUP).any():
                 keys = k[begins[ends - begins > GROUP]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
-            for i, j in zip(begins, ends):
-                if j - i > (GROUP if large else 1):
-                    x, y = _pairs(*[c[i:j] for c in cols[1:4]], cols[-1 if large else 1][i:j], least, not large and j - i > GROUP)
-                    a.append(x)
-                    b.append(y)
-                    held_back += len(x)
-                    if held_back > 1 << 18:
-                        yield out(a, b)
-                        a, b, held_back = [], [], 0
+            wanted = np.nonzero(ends - begins > (GROUP if large else 1))[0]
+            for i, j in zip(begins[wanted].tolist(), ends[wanted].tolist()):
+                mode = large or ("chain" if j - i > GROUP else "all")
+                x, y = _pairs(*[c[i:j] for c in cols[1:4]], cols[-1 if large else 1][i:j], least, mode, int(k[i]))
+                a.append(x)
+                b.append(y)
+                held_back += len(x)
+                if held_back > 1 << 18:
+                    yield out(a, b)
+                    a, b, held_back = [], [], 0
             if held_back:
                 yield out(a, b)
 
@@ -134,16 +144,18 @@ def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             done = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
 
-    side = lambda c: sketches.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    few = sketches.select("sid", "n", "sketch").join(ids, "sid", "left_semi")
+    side = lambda c: few.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
     return saved(mapped(both, check, "a bigint, b bigint"), "possible")
 
 
-def _alike(pairs: DataFrame, marked: DataFrame, sketches: DataFrame, own: DataFrame, least: float, words: int) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, own: DataFrame, least: float, words: int) -> DataFrame:
     """Those of pairs (a, b) of sets whose texts' shingles are alike enough; only texts of pairs that sketches allow are moved."""
-    pairs = _possible(pairs, sketches, least)
+    pairs = _possible(pairs, sets, least)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = saved(marked.select("sid", "_tid").join(ids, "sid").groupBy("sid").agg(F.min("_tid").alias("_tid")), "wanted")
+    wanted = saved(sets.select("sid", "_tid").join(ids, "sid"), "wanted")
     found = saved(own.join(wanted, "_tid").select("sid", "_text").dropDuplicates(["sid"]), "found")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +192,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null and blank texts have the empty set and are one group; rows with equal texts stay apart as rows;
     an empty table gives no rows; other columns are ignored. A run's group of more than GROUP sets is
-    chained first, and only what the links leave apart is paired then, so that a crowd of near copies
-    costs its number and not its square.
+    chained first, then dealt in other orders, and only what these links leave
+    apart is paired then, so that a crowd of near copies costs its number and not its square.
     """
     with scratch():
         return _near_copies(docs, id_col, text_col, least, words)
@@ -225,25 +237,32 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, least: float, word
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(sketches, pa.binary()), lists], [id_col, "_tid", "sid", "n", "fp", "sketch", "keys"])
 
     marked = saved(mapped(own, mark, f"`{id_col}` {kind}, _tid bigint, sid bigint, n int, fp bigint, sketch binary, keys array<bigint>"), "marked")
-    named = marked.select("sid", "_tid")
-    sketches = marked.select("sid", "n", "sketch").dropDuplicates(["sid"])
+    # One row a set; the rest of what was marked is small.
+    sets = saved(marked.select("sid", "_tid", "n", "fp", "sketch", "keys").dropDuplicates(["sid"]), "sets")
+    named = saved(marked.select(id_col, "_tid", "sid"), "sids")
+    dropped(marked)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs, named, sketches, own, least, words)
+        pairs = saved(pairs, "pairs")  # its size is known then: few pairs are broadcast
+        out = _alike(pairs, sets, own, least, words)
+        dropped(pairs)
+        return out
 
-    prints = saved(marked.groupBy("fp").agg(F.min("sid").alias("sid"), F.count("*").alias("n")), "prints")
+    prints = saved(sets.groupBy("fp").agg(F.min("sid").alias("sid"), F.count("*").alias("n")), "prints")
     a, b = (prints.select(F.col("fp").alias(c), F.col("sid").alias(f"sid_{c}")) for c in "ab")
     close = near_links(prints.select("fp")).join(a, "a").join(b, "b").select("sid_a", "sid_b")
     several = prints.where("n > 1").select("fp", F.col("sid").alias("sid_a"), "n")
-    same = spread_join(marked.select("fp", F.col("sid").alias("sid_b")), several, ["fp"], "n", marked.count()).select("sid_a", "sid_b").where("sid_a <> sid_b")
-    fuzzy = alike(close.unionByName(same).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct())
-
-    sets = marked.select("sid", "n", "keys").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("keys").alias("at", "key"))
-    first = saved(_candidates(sets, least, False), "pairs")
-    links = fuzzy.unionByName(alike(first.where("b is not null").join(fuzzy, ["a", "b"], "left_anti")))
+    same = spread_join(sets.select("fp", F.col("sid").alias("sid_b")), several, ["fp"], "n", sets.count()).select("sid_a", "sid_b").where("sid_a <> sid_b")
+    links = alike(close.unionByName(same).select(F.least("sid_a", "sid_b").alias("a"), F.greatest("sid_a", "sid_b").alias("b")).distinct())
+
+    postings = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
+    first = saved(_candidates(postings, least), "first")
+    links = links.unionByName(alike(first.where("b is not null").join(links, ["a", "b"], "left_anti")))
+    crowded = first.where("b is null").select(F.col("a").alias("key"))
+    crowd = saved(postings.join(crowded, "key"), "crowd")
+    for mode in ("dealt", "dealt", "all"):
+        roots = saved(components(links), "roots")
+        apart = crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        links = links.unionByName(alike(_candidates(apart, least, mode)))
     roots = saved(components(links), "roots")
-    crowded = saved(first.where("b is null").select(F.col("a").alias("key")), "crowded")
-    apart = sets.join(crowded, "key").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    more = alike(saved(_candidates(apart, least, True), "pairs"))
-    roots = saved(components(links.unionByName(more)), "roots")
-    return saved(marked.select(id_col, "_tid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(id_col, "_tid", F.coalesce("root", "sid").alias("_group")), "named", kept=True)
+    return saved(named.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(id_col, "_tid", F.coalesce("root", "sid").alias("_group")), "named", kept=True)
