@@ -206,11 +206,16 @@ def counted(df: DataFrame, words: str) -> DataFrame:
     """df with _counts: array of (term, n, first) of a list of words, by term; sorted runs, so no shuffle and linear but for the sort."""
     out = df.withColumn("_sorted", F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))))
     at = lambda i: F.get("_sorted", i)
-    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1)).otherwise(F.array().cast("array<int>"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("_sorted") - 1, F.lit(0)))  # of an empty list one run of none
     out = out.withColumn("_starts", F.filter(places, lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"])))
-    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(F.size("_sorted")))
-    runs = F.zip_with("_starts", ends, lambda a, b: F.struct(at(a)["term"].alias("term"), (b - a).cast("long").alias("n"), at(a)["pos"].cast("long").alias("first")))
-    return out.withColumn("_counts", F.filter(runs, lambda r: r["n"].isNotNull())).drop("_sorted", "_starts")
+    out = out.withColumn("_ends", F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_sorted"))))
+    runs = F.zip_with("_starts", "_ends", lambda a, b: F.struct(at(a)["term"].alias("term"), (b - a).cast("long").alias("n"), at(a)["pos"].cast("long").alias("first")))
+    return out.withColumn("_counts", F.filter(runs, lambda r: r["n"] > 0)).drop("_sorted", "_starts", "_ends")
+
+
+def each_count(df: DataFrame, keep: list[str], counts: str | Column = "_counts") -> DataFrame:
+    """One row a count: keep and c. (An outer explode: for an inner one the optimiser adds a filter that counts again for every element.)"""
+    return df.select(*keep, F.explode_outer(counts).alias("c")).where("c is not null")
 
 
 def most_common(counts: Column, n: int, by_term: bool = False) -> Column:

@@ -1,14 +1,14 @@
-"""Nearest vectors, ranked text search, evidence selection, keywords and summaries."""
+"""Nearest vectors, ranked text search, keywords, summaries and chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,8 +16,13 @@ from ..functions import scalars as S
 #: Queries that go out to the executors at once; a larger set is asked in several passes.
 QUERY_BLOCK = 10_000
 
-#: Words that say nothing about a text's subject.
-STOP_WORDS = ("the", "and", "of", "in", "to", "a", "for", "on", "with", "by", "an", "is", "are", "as", "at", "from", "that", "this", "be", "was", "were", "or", "it", "its", "which")
+#: Words that a keyword list leaves out, and the pattern of its words.
+STOP_WORDS = (
+    "about", "after", "also", "among", "based", "been", "between", "from", "have", "into", "more", "other", "research", "results", "study", "than", "that", "their", "these", "this", "through", "using", "were", "which", "with",
+)
+KEYWORD = "[a-z][a-z-]{2,}"
+#: Words that say nothing about what a text is near to.
+COMMON = ("the", "and", "of", "in", "to", "a", "for", "on", "with", "by", "an", "is", "are", "as", "at", "from", "that", "this", "be", "was", "were", "or", "it", "its", "which")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vector_col: str, least: float = -1.0, block: int = QUERY_BLOCK) -> DataFrame:
@@ -25,11 +30,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vect
 
     Exact: each batch of vectors meets a block of queries as one matrix product and keeps k rows a
     query; a window over those rows gives the result. Queries come in blocks of bounded size. Vectors
-    that are null or zero are nobody's neighbour.
+    that are null or zero, or hold nulls or what is no finite number, are nobody's neighbour; vectors of
+    different lengths aren't compared.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
-    fine = F.aggregate(vector_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
+    fine = F.coalesce(finite, F.lit(False)) & F.exists(vector_col, lambda x: x != 0)
     found = None
 
     def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
@@ -38,7 +45,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vect
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             for b in batches:
-                own = b.column(0).to_numpy()
+                b = b.filter(pc.equal(pc.list_value_length(b.column(1)), q.shape[1]))
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy(zero_copy_only=False)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for i in range(0, len(q), 256):
@@ -51,14 +61,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vect
 
         return vectors.where(fine).select(id_col, vector_col).mapInArrow(run, f"query_id {kind}, id {kind}, similarity double")
 
-    ids: list = []
-    rows: list = []
+    held: dict[int, tuple[list, list]] = {}
     for r in queries.where(fine).select(id_col, vector_col).toLocalIterator():
+        ids, rows = held.setdefault(len(r[1]), ([], []))
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == block:
-            found, ids, rows = _union(found, one(np.array(ids), _unit(rows))), [], []
-    if ids:
+            found = _union(found, one(np.array(ids), _unit(rows)))
+            del held[len(r[1])]
+    for ids, rows in held.values():
         found = _union(found, one(np.array(ids), _unit(rows)))
     if found is None:
         return spark.createDataFrame([], f"query_id {kind}, id {kind}, similarity double, rank int")
@@ -75,64 +86,158 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.unionByName(b)
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, pattern: str = "[a-z]{3,}", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(id, term, tf)"""
-    return df.select(id_col, F.explode(S.word_list(F.col(text_col), pattern, stop)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def lexical_search(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str, query_id: str, text_col: str = "text", pattern: str = "[a-z]{3,}") -> DataFrame:
+    """(query_id, doc_id, score, rank) by the cosine of term counts.
 
+    Terms are counted and norms taken inside each row. Only terms meet the queries' terms, and what a
+    document has in common with a query is summed where the document lies, before anything is shuffled.
+    """
 
-def lexical_search(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str, query_id: str, text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, rank) by the cosine of term counts, over an inverted index.
+    def weighted(df: DataFrame, key: str, tf: str, norm: str) -> DataFrame:
+        c = S.counted(df.select(key, S.word_list(F.col(text_col), pattern, COMMON).alias("_w")), "_w")
+        c = c.withColumn(norm, F.sqrt(F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])))
+        return S.each_count(c, [key, norm]).select(key, norm, F.col("c.term").alias("term"), F.col("c.n").alias(tf))
 
-    The postings of the queries' terms alone meet the queries; norms are sums over the documents' terms.
-    """
-    d, q = term_counts(docs, doc_id, text_col), term_counts(queries, query_id, text_col).withColumnRenamed("tf", "qf")
-    norms = d.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    q_norms = q.groupBy(query_id).agg(F.sqrt(F.sum(F.col("qf") * F.col("qf"))).alias("qn"))
-    products = d.join(q, "term").groupBy(query_id, doc_id).agg(F.sum(F.col("tf") * F.col("qf")).alias("p"))
-    scored = products.join(norms, doc_id).join(q_norms, query_id).select(query_id, doc_id, F.round(F.col("p") / (F.col("dn") * F.col("qn")), 6).alias("score"))
+    joined = weighted(docs, doc_id, "tf", "dn").join(weighted(queries, query_id, "qf", "qn"), "term")
+    products = joined.groupBy(query_id, doc_id).agg(F.sum(F.col("tf") * F.col("qf")).alias("p"), F.first("dn").alias("dn"), F.first("qn").alias("qn"))
+    scored = products.select(query_id, doc_id, F.round(F.col("p") / (F.col("dn") * F.col("qn")), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))).where(F.col("rank") <= k)
 
 
-def hybrid(semantic: DataFrame, lexical: DataFrame, keyword: DataFrame, k: int, shares: tuple[float, float, float] = (0.5, 0.25, 0.25)) -> DataFrame:
-    """(query_id, id, score, rank) from three scored candidate lists (query_id, id, score); absent is 0."""
-    parts = [x.select("query_id", "id", *[(F.col("score") * w if i == j else F.lit(0.0)).alias(f"s{j}") for j in range(3)]) for i, (x, w) in enumerate(zip((semantic, lexical, keyword), shares))]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("query_id", "id").agg(*[F.max(f"s{j}").alias(f"s{j}") for j in range(3)])
-    scored = both.select("query_id", "id", F.round(F.col("s0") + F.col("s1") + F.col("s2"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+def query_words(text: Column) -> Column:
+    """Words of three letters and more of a query."""
+    return F.filter(F.split(F.lower(S.clean(text)), " "), lambda w: F.length(w) > 2)
 
 
-def extracted_keywords(docs: DataFrame, n: int = 10, *, id_col: str, title: str, abstract: str) -> DataFrame:
-    """(id, term, score): frequency over the title twice and the abstract, against the most frequent term."""
-    text = F.concat_ws(" ", title, title, abstract)
-    words = docs.select(id_col, F.posexplode(S.word_list(text, "[a-z]{3,}", STOP_WORDS)).alias("pos", "term"))
-    counted = words.groupBy(id_col, "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    ranked = counted.withColumns({"r": F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "first")), "most": F.max("n").over(Window.partitionBy(id_col))})
-    return ranked.where(F.col("r") <= n).select(id_col, "term", F.bround(F.col("n") / F.col("most"), 4).alias("score"))
+def newest_matches(queries: DataFrame, pubs: DataFrame, most: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id): for each query (query_id, text) the most recent of pubs (id, title, abstract, updated_at) with one of its words in title or abstract.
 
+    Words may stand inside others. Queries go out in blocks; a batch keeps `most` rows a query, a window
+    over those gives the result. A query without words matches all.
+    """
+    spark = pubs.sparkSession
+    kind, asked = pubs.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    found = None
 
-def summary(text, n: int = 2, most: int = 900):
-    """The first n sentences, `most` characters at most."""
-    return F.left(F.array_join(F.slice(S.sentences(text), 1, n), " "), F.lit(most))
-
+    def one(block_of: list[tuple]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block_of)
 
-#: The parts of a structured summary and the words that mark them.
-SECTIONS = {"background": ("background", "context"), "objective": ("objective", "aim", "purpose"), "methods": ("method", "data", "sample"), "findings": ("result", "finding", "found"), "conclusion": ("conclu", "recommend")}
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                b = b.sort_values(["at", "id"], ascending=False)
+                ids, at, texts = b["id"].tolist(), b["at"].tolist(), b["text"].tolist()
+                out: list[tuple] = []
+                for q, words in sent.value:
+                    n = 0
+                    for i, when, text in zip(ids, at, texts):
+                        if not words or any(w in text for w in words):
+                            out.append((q, i, when))
+                            n += 1
+                            if n == most:
+                                break
+                yield pd.DataFrame(out, columns=["query_id", "id", "at"])
+
+        # a line break never stands in a word, so that none reaches from title to abstract
+        frame = pubs.select("id", F.col("updated_at").cast("long").alias("at"), F.lower(F.concat_ws("\n", "title", "abstract")).alias("text"))
+        return frame.mapInPandas(run, f"query_id {asked}, id {kind}, at bigint")
+
+    held: list[tuple] = []
+    for r in queries.select("query_id", query_words(F.col("text")).alias("w")).toLocalIterator():
+        held.append((r[0], r[1] or []))
+        if len(held) == block:
+            found, held = _union(found, one(held)), []
+    if held or found is None:
+        found = _union(found, one(held))
+    order = Window.partitionBy("query_id").orderBy(F.desc("at"), F.desc("id"))
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "id")
+
+
+def hybrid(queries: DataFrame, pubs: DataFrame, semantic: DataFrame, k: int, shares: tuple[float, float, float] = (0.5, 0.25, 0.25), most: int = 100) -> DataFrame:
+    """(query_id, id, semantic_score, lexical_score, keyword_score, score, rank) of hybrid search.
+
+    queries: (query_id, text); pubs: (id, title, abstract, subjects, updated_at), none deleted; semantic:
+    (query_id, id, score), the nearest min(5 k, 100) by vector. Candidates are these and the `most` newest
+    with a word of the query. lexical: 1 if the title holds the query as it is, else the share of its
+    words in the title plus 0.4 of that in the abstract, 1 at most; keyword: the share of words that
+    stand in a subject.
+    """
+    near = semantic.select("query_id", "id", F.col("score").alias("semantic_score"))
+    all_ = near.unionByName(newest_matches(queries, pubs, most).withColumn("semantic_score", F.lit(0.0))).groupBy("query_id", "id").agg(F.max("semantic_score").alias("semantic_score"))
+    q = queries.select("query_id", F.lower(S.clean(F.col("text"))).alias("phrase"), query_words(F.col("text")).alias("words"))
+    d = pubs.select("id", F.lower("title").alias("title"), F.coalesce(F.lower("abstract"), F.lit("")).alias("abstract"), F.transform("subjects", F.lower).alias("subjects"))
+    both = all_.join(q, "query_id").join(d, "id")
+    hits = lambda c: F.size(F.filter("words", lambda w: F.contains(F.col(c), w)))
+    n = F.greatest(F.size("words"), F.lit(1))
+    lexical = F.when(F.contains("title", F.col("phrase")), 1.0).otherwise(F.least(F.lit(1.0), (hits("title") + 0.4 * hits("abstract")) / n))
+    keyword = F.size(F.filter("words", lambda w: F.exists("subjects", lambda s: F.contains(s, w)))) / n
+    scored = both.select("query_id", "id", "semantic_score", lexical.alias("lexical_score"), keyword.alias("keyword_score"))
+    score = sum((F.col(c) * w for c, w in zip(("semantic_score", "lexical_score", "keyword_score"), shares)), F.lit(0.0))
+    out = scored.withColumn("score", F.round(score, 6))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def extracted_keywords(docs: DataFrame, n: int = 10, *, id_col: str, title: str, abstract: str, subjects: str | None = None) -> DataFrame:
+    """(id, term, score): frequency over the title twice, the abstract and the subjects, against the most frequent term; ties by first place. Counted inside each row."""
+    text = F.concat_ws(" ", title, title, abstract, *([F.array_join(subjects, " ")] if subjects else []))
+    c = S.counted(docs.select(id_col, S.word_list(text, KEYWORD, STOP_WORDS).alias("_w")), "_w")
+    top = c.select(id_col, S.most_common(F.col("_counts"), n).alias("top")).withColumn("most", F.get("top", F.lit(0))["n"])
+    return S.each_count(top, [id_col, "most"], "top").select(id_col, F.col("c.term").alias("term"), F.bround(F.col("c.n") / F.col("most"), 4).alias("score"))
+
+
+def summary(title: Column, abstract: Column, kind: str = "short", most: int = 900) -> Column:
+    """Summary of an abstract by its first sentences: two if short or in plain language, else five; or structured."""
+    parts = F.filter(F.transform(F.split(abstract, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    n = 2 if kind in ("short", "plain-language") else 5
+    none = F.concat(F.lit("Abstract-only summary unavailable: "), title, F.lit(" has no abstract."))
+    if kind == "structured":
+        rest = F.coalesce(F.nullif(F.array_join(F.slice(parts, 2, n - 1), " "), F.lit("")), F.lit("Not stated."))
+        text = F.concat(F.lit("Background/objective: "), F.get(parts, F.lit(0)), F.lit("\nEvidence reported in abstract: "), rest, F.lit("\nLimitations: Not stated in the available abstract."))
+    else:
+        text = F.concat(F.lit("Abstract-based summary: "), F.trim(F.left(F.array_join(F.slice(parts, 1, n), " "), F.lit(most))))
+    return F.when(abstract.isNull() | (abstract == ""), none).otherwise(text)
+
+
+#: The parts of a structured summary in order, and the words that mark them.
+SECTIONS = {
+    "Study overview": ("abstract", "overview", "this study", "this research"),
+    "Research problem": ("problem", "background", "challenge", "gap"),
+    "Objectives": ("objective", "aim", "purpose"),
+    "Methodology": ("method", "design", "sample", "data collection", "analysis"),
+    "Study area or population": ("study area", "population", "participants", "respondents"),
+    "Main findings": ("result", "finding", "revealed", "showed", "indicated"),
+    "Conclusions": ("conclusion", "concluded"),
+    "Recommendations": ("recommend", "suggest"),
+    "Limitations": ("limitation", "constraint"),
+}
+NOT_FOUND = "Not clearly identified in the indexed document."
+
+
+def plain(c: Column) -> Column:
+    """Text for comparison: case folded, anything but letters, digits and _ as one space."""
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
 
 
 def structured_summary(chunks: DataFrame, sections: dict[str, tuple[str, ...]] = SECTIONS, top: int = 2, *, doc_id: str = "document_id") -> DataFrame:
-    """(document, section, sentences, pages): distinct sentences of 35 to 600 characters with most section words.
+    """(document, section, position, sentences, pages): per section the `top` sentences with most section words, by place; NOT_FOUND without one.
 
-    chunks: (document, chunk_index, page_start, content).
+    chunks: (document, chunk_index, page_start, content). Equal chunks and equal sentences count once, by
+    what `plain` leaves of them; sentences have 35 to 600 characters and seven words.
     """
-    s = chunks.select(doc_id, "page_start", F.col("chunk_index").alias("ci"), F.posexplode(S.sentences(F.col("content"))).alias("si", "sentence"))
-    s = s.where(F.length("sentence").between(35, 600) & (F.size(F.split("sentence", r"\s+")) >= 7))
-    s = s.groupBy(doc_id, F.lower("sentence").alias("key")).agg(F.min(F.struct("ci", "si", "page_start", "sentence")).alias("s")).select(doc_id, "s.*")
+    c = chunks.select(doc_id, "page_start", F.col("chunk_index").alias("ci"), "content").withColumn("_plain", plain(F.col("content"))).where("_plain <> ''")
+    c = c.groupBy(doc_id, F.sha2("_plain", 256).alias("_h")).agg(F.min(F.struct(F.coalesce("page_start", F.lit(0)).alias("p"), "ci", "page_start", "content")).alias("c")).select(doc_id, "c.*")
+    parts = F.filter(F.transform(F.split("content", r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: F.length(x).between(35, 600))
+    s = c.select(doc_id, "p", "ci", "page_start", F.posexplode(parts).alias("si", "sentence")).withColumn("_plain", plain(F.col("sentence")))
+    s = s.where(F.size(F.split("_plain", " ")) >= 7)
+    s = s.groupBy(doc_id, F.sha2("_plain", 256).alias("_h")).agg(F.min(F.struct("p", "ci", "si", "page_start", "sentence")).alias("s")).select(doc_id, "s.*")
     hits = F.array(*[F.struct(F.lit(name).alias("section"), sum((F.contains(F.lower("sentence"), F.lit(w)).cast("int") for w in words), F.lit(0)).alias("hits")) for name, words in sections.items()])
-    each = s.select("*", F.explode(hits).alias("h")).where("h.hits > 0").select(doc_id, "ci", "si", "page_start", "sentence", "h.*")
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(doc_id, "section").orderBy(F.desc("hits"), "ci", "si"))).where(F.col("r") <= top)
-    ordered = F.array_sort(F.collect_list(F.struct("r", "sentence", "page_start")))
-    out = ranked.groupBy(doc_id, "section").agg(ordered.alias("o"))
-    return out.select(doc_id, "section", F.array_join(F.transform("o", lambda x: x["sentence"]), " ").alias("sentences"), F.array_join(F.array_sort(F.array_distinct(F.transform("o", lambda x: x["page_start"]))), ",").alias("pages"))
+    each = s.select("*", F.explode(F.filter(hits, lambda h: h["hits"] > 0)).alias("h")).select(doc_id, "p", "ci", "si", "page_start", "sentence", "h.*")
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy(doc_id, "section").orderBy(F.desc("hits"), "p", "ci", "si"))).where(F.col("r") <= top)
+    stated = F.concat("sentence", F.when(F.col("page_start") > 0, F.concat(F.lit(" [p. "), F.col("page_start").cast("string"), F.lit("]"))).otherwise(""))
+    out = ranked.groupBy(doc_id, "section").agg(F.array_sort(F.collect_list(F.struct("r", stated.alias("t"), "page_start"))).alias("o"))
+    out = out.select(doc_id, "section", F.array_join(F.transform("o", lambda x: x["t"]), " ").alias("sentences"), F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("o", lambda x: x["page_start"]), lambda p: p > 0))), ",").alias("pages"))
+    names = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("section")) for k, n in enumerate(sections)])
+    every = c.select(doc_id).distinct().select(doc_id, F.explode(names).alias("n")).select(doc_id, "n.*")
+    return every.join(out, [doc_id, "section"], "left").select(doc_id, "section", "position", F.coalesce("sentences", F.lit(NOT_FOUND)).alias("sentences"), F.coalesce("pages", F.lit("")).alias("pages"))
 
 
 def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -179,46 +284,11 @@ def encoded(df: DataFrame, text_col: str, dimension: int = 64) -> DataFrame:
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = df.withColumn("_words", S.word_list(F.coalesce(text_col, F.lit("")), "[a-z]{3,}", STOP_WORDS))
+    words = df.withColumn("_words", S.word_list(F.coalesce(text_col, F.lit("")), "[a-z]{3,}", COMMON))
     hashed = Normalizer(inputCol="_tf", outputCol="_unit").transform(HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_tf").transform(words))
     return hashed.withColumn("embedding", F.when(F.size("_words") > 0, vector_to_array("_unit", "float32"))).drop("_words", "_tf", "_unit")
 
 
-def alike(a: str, b: str, least: float) -> bool:
-    """Whether the ratio reaches `least`; two bounds on it, cheap ones first, spare most comparisons."""
-    m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
-
-
-def evidence(candidates: DataFrame, *, most: int = 6, per_document: int = 2, budget: int = 3500, same: float = 0.88) -> DataFrame:
-    """Greedy selection of ranked candidates (query_id, id, document_id, text, similarity, rank) for each query.
-
-    Near repeats (likeness of `same` and more over 5000 characters) go, a document gives `per_document`
-    rows, the chosen texts stay within a budget of estimated tokens. A query has few candidates: callers
-    cut them by rank before.
-    """
-    names = ["query_id", "id", "position", "tokens"]
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        chosen, used, spent = [], {}, 0
-        for r in group.sort_values(["rank", "id"]).itertuples():
-            text = (r.text or "")[:5000]
-            tokens = max(1, -(-len(text.encode()) // 3))
-            if used.get(r.document_id, 0) >= per_document or spent + tokens > budget:
-                continue
-            if any(alike(text, t, same) for _, t, _ in chosen):
-                continue
-            chosen.append((r.id, text, tokens))
-            used[r.document_id] = used.get(r.document_id, 0) + 1
-            spent += tokens
-            if len(chosen) == most:
-                break
-        return pd.DataFrame([(group["query_id"].iloc[0], i, k, t) for k, (i, _, t) in enumerate(chosen)], columns=names)
-
-    q, i = (candidates.schema[c].dataType.simpleString() for c in ("query_id", "id"))
-    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {q}, id {i}, position int, tokens int")
-
-
 def history_window(turns: DataFrame, conversation: str, turn: str, text: str, *, last: int = 4, budget: int = 500) -> DataFrame:
     """(conversation, turn): of the last turns those that fit a token budget, from the newest back; what doesn't fit is skipped."""
     recent = turns.withColumn("_r", F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(turn)))).where(F.col("_r") <= last)

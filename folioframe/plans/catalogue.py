@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import filters as P
 from ..operators import ranking as W
 from .registry import query
@@ -212,9 +213,7 @@ def job_activity(spark, sf):
 @query("a8_quality_summary", PUBLICATIONS + """SELECT CASE WHEN quality_score >= 90 THEN 'A' WHEN quality_score >= 80 THEN 'B' WHEN quality_score >= 70 THEN 'C' WHEN quality_score >= 60 THEN 'D' ELSE 'F' END AS grade,
 count(*) AS n, round(avg(quality_score), 2) AS mean, count(*) FILTER (WHERE is_deleted) AS deleted FROM publications GROUP BY 1""")
 def quality_summary(spark, sf):
-    from ..functions.scalars import grade
-
-    return publications(spark, sf).groupBy(grade(F.col("quality_score")).alias("grade")).agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 2).alias("mean"), F.count_if("is_deleted").alias("deleted"))
+    return publications(spark, sf).groupBy(S.grade(F.col("quality_score")).alias("grade")).agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 2).alias("mean"), F.count_if("is_deleted").alias("deleted"))
 
 
 @query("a9_embedding_status", PUBLICATIONS + "SELECT count(*) AS total, count(abstract) AS embedded, count(*) - count(abstract) AS missing, count(*) FILTER (WHERE abstract IS NOT NULL AND quality_score IS NULL) AS stale FROM publications WHERE NOT is_deleted")
@@ -255,8 +254,8 @@ def grounding(spark, sf):
 
 @query("a21_term_frequency", r"""SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{3,}')))) AS pos FROM documents) GROUP BY doc_id, term""")
 def term_frequency(spark, sf):
-    words = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("pos", "term")
-    return table(spark, sf, "documents").select("doc_id", words).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    return S.each_count(S.counted(table(spark, sf, "documents").select("doc_id", words.alias("w")), "w"), ["doc_id"]).select("doc_id", "c.*")
 
 
 @query("w1_latest_report", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -330,7 +329,9 @@ def type_priority(spark, sf):
 @query("t10_top_terms", r"""SELECT doc_id, term, n FROM (SELECT doc_id, term, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r
 FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term, unnest(range(len(regexp_extract_all(lower(text), '[a-z]{3,}')))) AS pos FROM documents) GROUP BY doc_id, term) WHERE r <= 5""")
 def top_terms(spark, sf):
-    return W.top(term_frequency(spark, sf), ["doc_id"], [F.desc("n"), F.col("first")], 5).select("doc_id", "term", "n")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))
+    counted = S.counted(table(spark, sf, "documents").select("doc_id", words.alias("w")), "w")
+    return S.each_count(counted, ["doc_id"], S.most_common(F.col("_counts"), 5)).select("doc_id", "c.term", "c.n")
 
 
 @query("u1_candidate_union", PUBLICATIONS + """SELECT publication_id, max(score) AS score FROM (SELECT publication_id, quality_score / 100 AS score FROM publications WHERE quality_score > 60 UNION ALL SELECT publication_id, 0.0 FROM publications WHERE language = 'am') GROUP BY 1""")
@@ -350,25 +351,32 @@ def uncovered(spark, sf):
 
 
 def _parts_of_suppliers(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 40).alias("s")).where("l_suppkey <= 60")
+    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("s"))
+
+
+_SETS = "WITH s AS (SELECT l_suppkey, list_distinct(list(l_partkey)) AS s FROM lineitem GROUP BY 1), p AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, len(list_intersect(a.s, b.s)) AS n, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON a.l_suppkey + 1 = b.l_suppkey) "
 
 
-_SETS = "WITH s AS (SELECT l_suppkey, list_distinct(list(l_partkey % 40)) AS s FROM lineitem WHERE l_suppkey <= 60 GROUP BY 1) "
+def _neighbours(spark, sf):
+    """The keyword sets of each two suppliers with neighbouring numbers."""
+    s = _parts_of_suppliers(spark, sf)
+    return s.select(F.col("l_suppkey").alias("a"), F.col("s").alias("x")).join(s.select(F.col("l_suppkey").alias("b"), (F.col("l_suppkey") - 1).alias("a"), F.col("s").alias("y")), "a")
 
 
-@query("u5_jaccard", _SETS + "SELECT a.l_suppkey AS a, b.l_suppkey AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) AS overlap FROM s a JOIN s b ON a.l_suppkey + 1 = b.l_suppkey")
+@query("u5_jaccard", _SETS + "SELECT a, b, round(n / (x + y - n), 6) AS jaccard FROM p")
 def jaccard(spark, sf):
-    from ..functions.scalars import jaccard as ratio
-    from ..functions.scalars import overlap
+    return _neighbours(spark, sf).select("a", "b", F.round(S.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
-    s = _parts_of_suppliers(spark, sf)
-    pairs = s.select(F.col("l_suppkey").alias("a"), F.col("s").alias("x")).join(s.select(F.col("l_suppkey").alias("b"), (F.col("l_suppkey") - 1).alias("a"), F.col("s").alias("y")), "a")
-    return pairs.select("a", "b", F.round(ratio(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+@query("u4_overlap", _SETS + "SELECT a, b, round(n / least(x, y), 6) AS overlap FROM p")
+def overlap(spark, sf):
+    return _neighbours(spark, sf).select("a", "b", F.round(S.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
-@query("u6_distinct_fold", "SELECT lower(p_type) AS k, min(p_type) AS kept, count(*) AS n FROM part GROUP BY 1")
+@query("u6_distinct_fold", "SELECT k, arg_min(p_type, p_partkey) AS kept, count(*) AS n FROM (SELECT *, lower(p_type) AS k FROM part) GROUP BY 1")
 def distinct_fold(spark, sf):
-    return table(spark, sf, "part").groupBy(F.lower("p_type").alias("k")).agg(F.min("p_type").alias("kept"), F.count("*").alias("n"))
+    """Values that are alike but for case, by their first spelling."""
+    return table(spark, sf, "part").groupBy(F.lower("p_type").alias("k")).agg(F.min_by("p_type", "p_partkey").alias("kept"), F.count("*").alias("n"))
 
 
 @query("u7_first_url", r"SELECT regexp_replace(url, '[?#].*$', '') AS address, min(page_id) AS page_id FROM pages GROUP BY 1")

@@ -175,11 +175,12 @@ def nulls_last(spark, sf):
     return publications(spark, sf).orderBy(F.desc_nulls_last("quality_score"), F.desc("updated_at"), "publication_id").limit(50).select("publication_id")
 
 
-@query("u2_shared_terms", "SELECT a.l_orderkey AS first_id, b.l_orderkey AS second_id, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey WHERE a.l_orderkey % 40 = 0 GROUP BY 1, 2 HAVING count(DISTINCT a.l_partkey) >= 2")
+@query("u2_shared_terms", "SELECT a.l_orderkey AS first_id, b.l_orderkey AS second_id, count(DISTINCT a.l_partkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey WHERE a.l_orderkey % 50 = 0 GROUP BY 1, 2 HAVING count(DISTINCT a.l_partkey) >= 2")
 def shared_terms(spark, sf):
+    """A search: every fiftieth publication against all."""
     k = keyword_links(spark, sf).distinct()
-    a = k.where("publication_id % 40 = 0").withColumnRenamed("publication_id", "first_id")
-    pairs = a.join(k.withColumnRenamed("publication_id", "second_id"), "keyword_id").where("first_id < second_id")
+    a = k.where("publication_id % 50 = 0").withColumnRenamed("publication_id", "first_id")
+    pairs = a.join(k.withColumnRenamed("publication_id", "second_id"), "keyword_id").where("first_id <> second_id")
     return pairs.groupBy("first_id", "second_id").agg(F.count("*").alias("shared")).where("shared >= 2")
 
 
@@ -256,7 +257,10 @@ def report_change(spark, sf):
     return W.changes(o, o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "F").otherwise(F.col("o_orderstatus"))), "o_orderkey", ["o_orderstatus"]).select("o_orderkey")
 
 
-@query("r3_similar_publications")
+_LIKE = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@query("r3_similar_publications", f"SELECT query_id, id, rank::INT AS rank, similarity, shared FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_LIKE}, 6) AS similarity, a.label = b.label AS shared, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_LIKE} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND {_LIKE} >= 0) WHERE rank <= 10")
 def similar_publications(spark, sf):
     """Ten nearest vectors of each fiftieth vector, and whether they share its label."""
     e = table(spark, sf, "embeddings")
@@ -265,20 +269,24 @@ def similar_publications(spark, sf):
     return found.join(own, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("b")), "id").select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), (F.col("a") == F.col("b")).alias("shared"))
 
 
-@query("r7_keyword_suggestions", r"""SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 600)), '[a-z]{4,}')) AS term FROM documents) GROUP BY doc_id, term) WHERE r <= 8""")
+@query("r7_keyword_suggestions", r"""SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents) GROUP BY doc_id, term) WHERE r <= 8""")
 def keyword_suggestions(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.explode(S.word_list(F.substring("text", 1, 600), "[a-z]{4,}")).alias("term"))
-    return W.top(words.groupBy("doc_id", "term").agg(F.count("*").alias("n")), ["doc_id"], [F.desc("n"), F.col("term")], 8).select("doc_id", "term")
+    counted = S.counted(table(spark, sf, "documents").select("doc_id", S.word_list(F.col("text"), "[a-z]{4,}").alias("w")), "w")
+    return S.each_count(counted, ["doc_id"], S.most_common(F.col("_counts"), 8, by_term=True)).select("doc_id", "c.term")
 
 
-@query("r9b_summary_source", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'full text' WHEN doc_id % 7 <> 0 THEN 'abstract' ELSE 'metadata' END AS kind FROM documents")
+@query("r9b_summary_source", "SELECT doc_id, CASE WHEN coalesce(trim(text), '') <> '' AND item THEN 'full text' WHEN doc_id % 7 <> 0 AND coalesce(trim(text), '') <> '' THEN 'abstract' ELSE 'metadata' END AS kind FROM (SELECT doc_id, text, doc_id IN (SELECT doc_id FROM labels) AS item FROM documents)")
 def summary_source(spark, sf):
-    d, k = table(spark, sf, "documents").select("doc_id"), F.col("doc_id")
-    full, abstract = d.where(k % 3 == 0).withColumn("f", F.lit("full text")), d.where(k % 7 != 0).withColumn("a", F.lit("abstract"))
-    return d.join(full, "doc_id", "left").join(abstract, "doc_id", "left").select("doc_id", F.coalesce("f", "a", F.lit("metadata")).alias("kind"))
+    """The indexed full text, else the abstract, else the metadata: labelled documents are indexed, every seventh lacks its abstract."""
+    d, blank = table(spark, sf, "documents"), F.coalesce(F.trim("text"), F.lit("")) == ""
+    indexed = table(spark, sf, "labels").select("doc_id").distinct().withColumn("indexed", F.lit(True))
+    return d.join(indexed, "doc_id", "left").select("doc_id", F.when(~blank & F.col("indexed").isNotNull(), "full text").when(~blank & (F.col("doc_id") % 7 != 0), "abstract").otherwise("metadata").alias("kind"))
+
+
+_COMMON = ", ".join(f"'{w}'" for w in R.COMMON)
 
 
-@query("r2_embeddings")
+@query("r2_embeddings", f"SELECT doc_id, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS norm, CASE WHEN n > 0 THEN 64 END::INT AS dimension FROM (SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: w NOT IN ({_COMMON}))), 0) AS n FROM documents)")
 def embeddings(spark, sf):
     e = R.encoded(table(spark, sf, "documents").select("doc_id", "text"), "text")
     return e.select("doc_id", F.round(S.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dimension"))
@@ -289,7 +297,7 @@ def citation_records(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.left(S.clean(F.col("html")), F.lit(1200)).alias("excerpt"), P.public_url(F.col("url")).alias("url"))
 
 
-@query("j9_connector_publications", PUBLICATIONS + ", c AS (SELECT 'src' || s_suppkey AS code FROM supplier WHERE s_suppkey <= 30) SELECT code, publication_year::VARCHAR AS publication_year, count(*) AS n FROM c JOIN publications ON source = code GROUP BY 1, 2")
+@query("j9_connector_publications", PUBLICATIONS + ", c AS (SELECT 'src' || s_suppkey AS code FROM supplier) SELECT code, publication_year::VARCHAR AS publication_year, count(*) AS n FROM c JOIN publications ON source = code GROUP BY 1, 2")
 def connector_publications(spark, sf):
     g = publications(spark, sf).groupBy(F.col("source").alias("code"), "publication_year").agg(F.count("*").alias("n"))
     return g.join(connectors(spark, sf).select("code"), "code", "left_semi").select("code", F.col("publication_year").cast("string").alias("publication_year"), "n")

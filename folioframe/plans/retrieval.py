@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import answers as A
+from ..operators import ranking as W
 from ..operators import retrieval as R
-from .registry import query
+from .registry import SQL, query
 from .views import table
 
 
@@ -31,28 +33,53 @@ def lexical_search(spark, sf):
     return R.lexical_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10, doc_id="doc_id", query_id="item_id")
 
 
-@query("r4_hybrid_search")
+def _catalogue(spark, sf):
+    """documents that have a vector, as publications (id, title, abstract, subjects, updated_at), and the vectors."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce(S.clean(F.substring("text", 1, 80)), F.lit("")).alias("title"), S.clean(F.col("text")).alias("abstract"), F.array("lang", "source").alias("subjects"), F.timestamp_seconds(F.col("doc_id")).alias("updated_at"))
+    return d.join(e.select("id"), "id", "left_semi"), e.join(d.select("id"), "id", "left_semi")
+
+
+@query("r4_hybrid_search", r"""WITH d AS (SELECT doc_id AS id, coalesce(trim(regexp_replace(substr(text, 1, 80), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')), '') AS abstract, lang, source, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+q AS (SELECT id AS query_id, e, lower(array_to_string(string_split(title, ' ')[1:4], ' ')) || ' ' || lang AS phrase FROM d WHERE id % 50 = 0),
+w AS (SELECT *, list_filter(string_split(phrase, ' '), lambda x: length(x) > 2) AS words FROM q),
+near AS (SELECT query_id, id, s FROM (SELECT query_id, id, list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) DESC, id) AS r FROM q JOIN d ON d.id <> query_id) WHERE r <= 50),
+newest AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS r FROM w JOIN d ON len(words) = 0 OR len(list_filter(words, lambda x: contains(lower(title) || chr(10) || coalesce(lower(abstract), ''), x))) > 0) WHERE r <= 100),
+c AS (SELECT query_id, id, max(s) AS semantic_score FROM (SELECT query_id, id, s FROM near UNION ALL SELECT query_id, id, 0.0 FROM newest) GROUP BY ALL),
+x AS (SELECT c.query_id, c.id, semantic_score, CASE WHEN contains(lower(title), phrase) THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (len(list_filter(words, lambda y: contains(lower(title), y))) + 0.4::DOUBLE * len(list_filter(words, lambda y: contains(coalesce(lower(abstract), ''), y)))) / greatest(len(words), 1)) END AS lexical_score,
+len(list_filter(words, lambda y: contains(lower(lang), y) OR contains(lower(source), y))) / greatest(len(words), 1)::DOUBLE AS keyword_score FROM c JOIN w USING (query_id) JOIN d ON d.id = c.id),
+y AS (SELECT *, round(0.5::DOUBLE * semantic_score + 0.25::DOUBLE * lexical_score + 0.25::DOUBLE * keyword_score, 6) AS score FROM x)
+SELECT query_id, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM y) WHERE rank <= 10""".replace("\\\\", "\\"))
 def hybrid_search(spark, sf):
-    d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    rows = R.encoded(d.select(F.col("doc_id").alias("id"), "text"), "text")
-    asked = R.encoded(b.select((-1 - F.col("item_id")).alias("id"), "text"), "text")
-    semantic = R.nearest(asked, rows, 100, id_col="id", vector_col="embedding").select((-1 - F.col("query_id")).alias("query_id"), "id", F.col("similarity").alias("score"))
-    lexical = R.lexical_search(d, b, 100, doc_id="doc_id", query_id="item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), "score")
-    terms = R.term_counts(b, "item_id", "text").join(R.term_counts(d.withColumn("text", F.substring("text", 1, 80)), "doc_id", "text").select("doc_id", "term"), "term")
-    keyword = terms.groupBy(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")).agg(F.least(F.lit(1.0), F.count("*") / 10).alias("score"))
-    return R.hybrid(semantic, lexical, keyword, 20)
+    """The first words of every fiftieth document and its language are a query, its vector the query's."""
+    pubs, vectors = _catalogue(spark, sf)
+    chosen = pubs.where("id % 50 = 0")
+    asked = chosen.select(F.col("id").alias("query_id"), F.concat_ws(" ", F.array_join(F.slice(F.split("title", " "), 1, 4), " "), F.get("subjects", F.lit(0))).alias("text"))
+    near = R.nearest(vectors.where("id % 50 = 0"), vectors, 50, id_col="id", vector_col="embedding").select("query_id", "id", F.col("similarity").alias("score"))
+    return R.hybrid(asked, pubs, near, 10).select("query_id", "id", "rank", "score")
 
 
-@query("r6_keywords", """WITH w AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(substr(text, 1, 80) || ' ' || substr(text, 1, 80) || ' ' || substr(text, 1, 600)), '[a-z]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'are', 'from', 'that', 'this', 'was', 'were', 'its', 'which')) AS l FROM documents))
+_STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
+
+
+@query("r6_keywords", f"""WITH w AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(concat_ws(' ', substr(text, 1, 80), substr(text, 1, 80), text, lang || ' ' || source)), '[a-z][a-z-]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS l FROM documents))
 SELECT doc_id, term, round_even(n / most, 4) AS score FROM (SELECT doc_id, term, count(*) AS n, max(count(*)) OVER (PARTITION BY doc_id) AS most, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r FROM w GROUP BY doc_id, term) WHERE r <= 10""")
 def keywords(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 1, 600).alias("abstract"))
-    return R.extracted_keywords(d, id_col="doc_id", title="title", abstract="abstract")
+    """Of whole texts; their beginning stands for a title and weighs twice more."""
+    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("subjects"))
+    return R.extracted_keywords(d, id_col="doc_id", title="title", abstract="abstract", subjects="subjects")
+
 
+_PARTS = r"""WITH p AS (SELECT doc_id, text, list_filter([trim(x) FOR x IN string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))], lambda x: x <> '') AS s FROM documents) """.replace("\\\\", "\\")
+_NONE = "'Abstract-only summary unavailable: Document ' || doc_id || ' has no abstract.'"
 
-@query("r8_summary", r"SELECT doc_id, left(array_to_string(list_filter([trim(x) FOR x IN string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')], lambda x: x <> '')[1:2], ' '), 900) AS summary FROM documents")
+
+@query("r8_summary", _PARTS + f"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN {_NONE} ELSE 'Abstract-based summary: ' || trim(left(array_to_string(s[1:2], ' '), 900)) END AS short,
+CASE WHEN coalesce(text, '') = '' THEN {_NONE} ELSE 'Abstract-based summary: ' || trim(left(array_to_string(s[1:5], ' '), 900)) END AS detailed,
+CASE WHEN coalesce(text, '') = '' THEN {_NONE} ELSE 'Background/objective: ' || s[1] || chr(10) || 'Evidence reported in abstract: ' || coalesce(nullif(array_to_string(s[2:5], ' '), ''), 'Not stated.') || chr(10) || 'Limitations: Not stated in the available abstract.' END AS structured FROM p""")
 def summaries(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", R.summary(F.col("text")).alias("summary"))
+    name = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", *[R.summary(name, F.col("text"), k).alias(k) for k in ("short", "detailed", "structured")])
 
 
 def _chunks(spark, sf):
@@ -64,18 +91,79 @@ def chunks(spark, sf):
     return _chunks(spark, sf).select("document_id", "page_start", "page_end", "chunk_index", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("characters"), S.tokens_by_characters(F.col("content")).alias("tokens"))
 
 
-@query("r9_structured_summary")
+_SECTIONS = ", ".join(f"({k}, '{name}', [{', '.join(repr(w) for w in words)}])" for k, (name, words) in enumerate(R.SECTIONS.items()))
+
+
+@query("r9_structured_summary", rf"""WITH d AS (SELECT doc_id AS document_id, text FROM documents WHERE trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')) <> ''),
+s AS (SELECT document_id, unnest(l) AS sentence, unnest(range(len(l))) AS si FROM (SELECT document_id, list_filter([trim(x) FOR x IN string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')], lambda x: length(x) BETWEEN 35 AND 600) AS l FROM d)),
+n AS (SELECT *, trim(regexp_replace(lower(sentence), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')) AS p FROM s),
+u AS (SELECT document_id, p, min(si) AS si, arg_min(sentence, si) AS sentence FROM n WHERE len(string_split(p, ' ')) >= 7 GROUP BY ALL),
+sec AS (SELECT * FROM (VALUES {_SECTIONS}) t(position, section, words)),
+h AS (SELECT document_id, section, sentence, row_number() OVER (PARTITION BY document_id, section ORDER BY hits DESC, si) AS r FROM (SELECT *, len(list_filter(words, lambda w: contains(lower(sentence), w))) AS hits FROM u, sec) WHERE hits > 0),
+o AS (SELECT document_id, section, string_agg(sentence || ' [p. 1]', ' ' ORDER BY r) AS sentences FROM h WHERE r <= 2 GROUP BY ALL)
+SELECT document_id, section, position::INT AS position, coalesce(sentences, '{R.NOT_FOUND}') AS sentences, CASE WHEN sentences IS NULL THEN '' ELSE '1' END AS pages FROM (SELECT document_id FROM d) CROSS JOIN sec LEFT JOIN o USING (document_id, section)""".replace("\\\\", "\\"))
 def structured_summary(spark, sf):
-    sections = {"first": ("the", "le ", "der"), "second": ("tion", "ment", "heit")}
-    return R.structured_summary(_chunks(spark, sf), sections)
+    """A document's text as its one page."""
+    page = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    return R.structured_summary(page)
+
+
+def _candidates(spark, sf, most: int):
+    """The benchmark's texts as questions, with the nearest documents as ranked chunks of their sources."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.coalesce(S.clean(F.substring("text", 1, 60)), F.lit("")).alias("title"), F.col("text").alias("content"))
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    found = R.lexical_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), most, doc_id="doc_id", query_id="item_id")
+    ranked = found.select("item_id", F.col("doc_id").alias("chunk_id"), F.col("score").alias("similarity"), "rank")
+    return ranked.join(b, "item_id").join(d, "chunk_id").withColumnRenamed("item_id", "query_id")
+
+
+@query("r10_chunk_selection")
+def chunk_selection(spark, sf):
+    return A.selected_chunks(_candidates(spark, sf, 60))
+
+
+@query("r11_assembled_evidence")
+def assembled_evidence(spark, sf):
+    """The chosen chunks, and beside them the five nearest publications that none of them is of."""
+    c = _candidates(spark, sf, 60)
+    chosen = A.selected_chunks(c).join(c, ["query_id", "chunk_id"]).select("query_id", F.col("document_id").alias("publication_id"), "chunk_id", "position")
+    nearest = c.groupBy("query_id", F.col("document_id").alias("publication_id")).agg(F.min("rank").alias("position"))
+    return A.assembled(chosen, nearest, 12).select("query_id", "publication_id", "chunk_id", "place", "source_type")
+
+
+def _reranked(spark, sf):
+    c = _candidates(spark, sf, 20)
+    return A.reranked(c.select("query_id", "question", F.col("chunk_id").alias("id"), "document_id", F.col("chunk_id").alias("chunk_index"), "title", F.col("content").alias("text"), "similarity", "rank")), c
 
 
 @query("r12_evidence")
 def evidence(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), "text")
-    found = R.lexical_search(d.select(F.col("id").alias("doc_id"), "text"), table(spark, sf, "benchmark"), 20, doc_id="doc_id", query_id="item_id")
-    candidates = found.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), F.col("score").alias("similarity"), "rank").join(d, "id")
-    return R.evidence(candidates)
+    return _reranked(spark, sf)[0].select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+@query("r13_packed_context")
+def packed_context(spark, sf):
+    ranked, c = _reranked(spark, sf)
+    none = F.lit(None).cast("string")
+    sources = ranked.join(c.withColumnRenamed("chunk_id", "id"), ["query_id", "id"]).select(
+        "query_id", "question", F.lit("Answer from the sources alone.").alias("system"), F.lit("").alias("history"), "id", "title", "document_id", none.alias("section"), F.lit(1).alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.col("content").alias("text"), "place"
+    )
+    return A.packed(sources).select("query_id", "id", "label", "tokens", "compressed", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("r15_answer_sentences")
+def answer_sentences(spark, sf):
+    ranked, c = _reranked(spark, sf)
+    sources = ranked.join(c.withColumnRenamed("chunk_id", "id"), ["query_id", "id"]).select("query_id", "question", "place", "title", F.col("content").alias("text"))
+    return A.answer_sentences(sources)
+
+
+@query("w9_document_caps", "SELECT query_id, chunk_id FROM (SELECT l_suppkey AS query_id, l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS d FROM lineitem) WHERE d <= CASE WHEN l_partkey % 2 = 0 THEN 3 ELSE 1 END) WHERE r <= 20")
+def document_caps(spark, sf):
+    """The best 20 of a supplier's lines, of an even part three at most, of an odd one."""
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    within = W.top(table(spark, sf, "lineitem").withColumn("even", F.col("l_partkey") % 2 == 0), ["l_suppkey", "l_partkey"], order, 3, rank="place").where(F.col("even") | (F.col("place") == 1))
+    return W.top(within, ["l_suppkey"], order, 20).select(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("chunk_id"))
 
 
 @query("r14_history_window", """WITH r AS (SELECT conv_id, turn, greatest(1, CAST(round_even(length(coalesce(text, '')) / 4, 0) AS INT)) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
@@ -94,7 +182,14 @@ def links(spark, sf):
     return R.page_links(table(spark, sf, "pages"))
 
 
-@query("r19_ranking_quality")
+@query("r19_ranking_quality", r"""WITH qd AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ' AS run FROM documents),
+h AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')[1:12] AS w FROM benchmark),
+rel AS (SELECT DISTINCT item_id, doc_id FROM h JOIN qd ON len(w) = 12 AND contains(run, ' ' || array_to_string(w, ' ') || ' ')),
+ranked AS (RANKED),
+hit AS (SELECT item_id, count(*) AS h, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN rel USING (item_id, doc_id) GROUP BY 1),
+n AS (SELECT item_id, count(*) AS n FROM rel GROUP BY 1),
+e AS (SELECT n.item_id, coalesce(h / n, 0) AS r, coalesce(h / 10, 0) AS p, coalesce(1 / first, 0) AS m, coalesce(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 10) + 1)]), 0) AS g FROM n LEFT JOIN hit USING (item_id))
+SELECT count(*) AS queries, round(avg(r), 6) AS recall, round(avg(p), 6) AS precision, round(avg(m), 6) AS mrr, round(avg(g), 6) AS ndcg FROM e""".replace("\\\\", "\\").replace("RANKED", SQL["r5_lexical_search"]))
 def ranking_quality(spark, sf):
     """How often the search for a benchmark text finds the documents that hold its first twelve words."""
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")

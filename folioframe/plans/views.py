@@ -69,7 +69,7 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_suppkey <= 30").select(
+    return table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("code"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 4 != 0).alias("enabled"),
         F.when(F.col("s_acctbal") > 0, "active").otherwise("paused").alias("status"), F.lit("oai_pmh").alias("connector_type"),
     )
@@ -77,6 +77,6 @@ def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONNECTORS = """connectors AS (
   SELECT 'src' || s_suppkey AS code, s_name AS name, s_suppkey % 4 <> 0 AS enabled, CASE WHEN s_acctbal > 0 THEN 'active' ELSE 'paused' END AS status, 'oai_pmh' AS connector_type
-  FROM supplier WHERE s_suppkey <= 30
+  FROM supplier
 )
 """
