@@ -17,7 +17,7 @@ FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda t: t != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def tokens(line: Column) -> Column:
@@ -52,10 +52,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     own = docs.select(F.col(id_col).alias("_doc"), row.alias("_row"), F.col(text_col).cast("string").alias("_text")).where("_doc is not null and _text is not null")
-    t, w = F.col("t"), F.col("w")
-    told = F.size(F.filter(t, lambda x: x != VARIABLE)) * 10 >= F.size(t) * FIXED
-    parted = numbered_lines(own).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("_doc", "_row", "no", tokens(F.col("line")).alias("t"), words(F.col("line")).alias("w"))
-    parted = parted.select("_doc", "_row", "no", F.when(told, t).otherwise(w).alias("t"), F.when(told, F.slice(t, 1, depth)).otherwise(F.concat(F.array(F.lit("=")), w)).alias("lead"))
+    t, w, line = F.col("t"), F.col("w"), F.col("line")
+    parted = numbered_lines(own).where(line.rlike(r"[^\x20\x09-\x0D]")).withColumn("_digits", line.rlike(r"[0-9]|<\*>"))
+    # Most lines have no digit (and no mark of a field): these are split once and have no field.
+    parted = parted.select("_doc", "_row", "no", words(line).alias("w"), F.when(F.col("_digits"), tokens(line)).alias("t"))
+    told = t.isNull() | (F.size(F.filter(t, lambda x: x != VARIABLE)) * 10 >= F.size(t) * FIXED)
+    parted = parted.withColumn("_told", told)
+    parted = parted.select("_doc", "_row", "no", F.when(F.col("_told"), F.coalesce(t, w)).otherwise(w).alias("t"), "_told")
+    parted = parted.select("_doc", "_row", "no", "t", F.when(F.col("_told"), F.slice(t, 1, depth)).otherwise(F.concat(F.array(F.lit("=")), t)).alias("lead"))
     leaf = F.xxhash64(F.size(t), "lead")
     places = saved(parted.select("_doc", "_row", "no", leaf.alias("leaf"), F.xxhash64(leaf, "t").alias("key")), "lines")
     total = places.count()
