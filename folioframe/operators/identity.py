@@ -36,7 +36,7 @@ def first_kept(df: DataFrame, key: str, order: list[str], action: str = "action"
 def likeness(left: pd.Series, right: pd.Series, needed: pd.Series) -> pd.Series:
     out = []
     for a, b, least in zip(left, right, needed):
-        m = SequenceMatcher(None, a or "", b or "", autojunk=False)
+        m = SequenceMatcher(None, a or "", b or "")
         out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
     return pd.Series(out)
 
@@ -96,7 +96,7 @@ def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, comm
     Candidates share a DOI, or a title holds the other's first `lead` words, found by the shared run of
     words. Equal DOIs score 1; else 0.4 title + 0.3 abstract likeness + 0.2 author overlap + 0.1 year.
     Titles with a run that more than `common` titles hold are dealt over several tasks, and each that opens
-    with it goes to all of these. Pairs that can't reach the score by lengths, authors and years go at once.
+    with it goes to all of these; no pair is left out for it. Pairs that can't reach the score by lengths, authors and years go at once.
     """
     words = F.filter(F.split(F.col("key_title"), " "), lambda w: w != "")
     p = pubs.withColumn("_w", words).where(F.size("_w") >= lead)

@@ -57,7 +57,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vect
                     n = min(k, len(own))
                     cut = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]  # ties at the cut stay
                     r, c = np.nonzero((s >= cut) & (s >= max(least, -1.5)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + r]), pa.array(own[c]), pa.array(s[r, c])], ["query_id", "id", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, b.schema.field(0).type) for x in (ids[i + r], own[c])] + [pa.array(s[r, c])], ["query_id", "id", "similarity"])
 
         return vectors.where(fine).select(id_col, vector_col).mapInArrow(run, f"query_id {kind}, id {kind}, similarity double")
 

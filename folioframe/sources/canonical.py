@@ -74,3 +74,24 @@ def imported(rows: DataFrame, raw: str = "raw") -> DataFrame:
     out = out.withColumns({k: value(*n) for k, n in FIELD_NAMES.items()}).withColumn("publication_year", S.year(F.col("year"))).drop("_m", "year")
     missing = F.when(F.col("title").isNull(), "A record is missing its title")
     return out.withColumn("error", F.coalesce("error", missing) if "error" in rows.columns else missing)
+
+
+ETD = "doc_id bigint, uuid string, handle string, title string, abstract string, publication_date string, authors array<string>, subjects array<string>, document_types array<string>, languages array<string>, identifiers array<string>, landing_page_url string, publisher string, withdrawn boolean"
+
+
+def etd(rows: DataFrame, raw: str = "raw", default: str = "Thesis") -> DataFrame:
+    """Harvested theses (JSON objects) as publications; one without a title goes.
+
+    The external id is the uuid, else the handle; the repository's identifier the handle, else that.
+    """
+    r = rows.select(F.from_json(raw, ETD).alias("r")).select("r.*")
+    some = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
+    key = F.coalesce(F.nullif(F.trim("uuid"), F.lit("")), F.nullif(F.trim("handle"), F.lit("")))
+    day = S.tolerant_date(F.col("publication_date"))
+    subjects = S.keyword_list(some(F.col("subjects")))
+    out = r.select(
+        "doc_id", key.alias("external_id"), S.title(F.col("title")).alias("title"), S.clean(F.col("abstract")).alias("abstract"), S.distinct_folded(some(F.col("authors"))).alias("authors"), publisher(F.col("publisher")).alias("publisher"),
+        day.alias("publication_date"), F.year(day).alias("publication_year"), subjects.alias("keywords"), subjects.alias("subjects"), F.get(some(F.col("languages")), F.lit(0)).alias("language"), F.nullif(F.trim("landing_page_url"), F.lit("")).alias("article_url"),
+        F.coalesce(F.nullif(F.trim("handle"), F.lit("")), key).alias("repository_identifier"), F.coalesce(F.get(some(F.col("document_types")), F.lit(0)), F.lit(default)).alias("publication_type"), F.coalesce("withdrawn", F.lit(False)).alias("is_deleted"),
+    )
+    return out.where("title is not null")
