@@ -96,10 +96,13 @@ def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, comm
     Candidates share a DOI, or a title holds the other's first `lead` words, found by the shared run of
     words. Equal DOIs score 1; else 0.4 title + 0.3 abstract likeness + 0.2 author overlap + 0.1 year.
     Titles with a run that more than `common` titles hold are dealt over several tasks, and each that opens
-    with it goes to all of these; no pair is left out for it. Pairs that can't reach the score by lengths, authors and years go at once.
+    with it goes to all of these; no pair is left out for it. Rows of one class_id (if there is that column)
+    are duplicates already and aren't paired. Pairs that can't reach the score by lengths, authors and years go at once.
     """
     words = F.filter(F.split(F.col("key_title"), " "), lambda w: w != "")
     p = pubs.withColumn("_w", words).where(F.size("_w") >= lead)
+    classed = ["class_id"] if "class_id" in pubs.columns else []
+    other = lambda a, b: F.lit(True) if not classed else ~F.col(f"{a}_class_id").eqNullSafe(F.col(f"{b}_class_id"))
     parts = int(pubs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bound = lambda m, n: 2 * F.least(m, n) / F.greatest(F.lit(1), m + n)
     length = lambda n, c: F.length(f"{n}_{c}")
@@ -109,7 +112,7 @@ def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, comm
         return 0.2 * F.coalesce(S.overlap(F.col(f"{a}_authors"), F.col(f"{b}_authors")), F.lit(0.0)) + 0.1 * F.when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
 
     def known(n: str) -> list[Column]:
-        return [F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("authors", "publication_year")], F.length("key_title").alias(f"{n}_t"), F.length("abstract").alias(f"{n}_a")]
+        return [F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ["authors", "publication_year", *classed]], F.length("key_title").alias(f"{n}_t"), F.length("abstract").alias(f"{n}_a")]
 
     starts = F.transform(F.sequence(F.lit(1), F.size("_w") - lead + 1), lambda i: F.array_join(F.slice("_w", i, lead), " "))
     heads = p.select(*known("head"), F.array_join(F.slice("_w", 1, lead), " ").alias("run"))
@@ -117,12 +120,13 @@ def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, comm
     openings = runs.groupBy("run").count().where(F.col("count") > common).select("run", F.lit(True).alias("_hot"))
     heads = heads.join(openings, "run", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     runs = runs.join(openings, "run", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("held_id"), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
-    by_title = heads.join(runs, ["run", "_salt"]).where("head_id <> held_id")
+    by_title = heads.join(runs, ["run", "_salt"]).where("head_id <> held_id").where(other("head", "held"))
     near = F.when(F.col("head_a").isNull() | F.col("held_a").isNull(), 0.0).otherwise(bound(F.col("head_a"), F.col("held_a")))
     by_title = by_title.where(cheap("head", "held") + 0.3 * near + 0.4 * bound(F.col("head_t"), F.col("held_t")) >= least - 1e-9)
     by_title = by_title.select(F.least("head_id", "held_id").alias("first_id"), F.greatest("head_id", "held_id").alias("second_id"))
-    d = pubs.where("doi is not null").select("publication_id", "doi")
-    by_doi = d.withColumnRenamed("publication_id", "first_id").join(d.withColumnRenamed("publication_id", "second_id"), "doi").where("first_id < second_id").select("first_id", "second_id")
+    d = pubs.where("doi is not null")
+    d = [d.select("doi", F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in classed]) for n in ("first", "second")]
+    by_doi = d[0].join(d[1], "doi").where("first_id < second_id").where(other("first", "second")).select("first_id", "second_id")
     pairs = by_title.unionByName(by_doi).distinct()
     side = lambda n: pubs.select(F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("doi", "key_title", "abstract", "authors", "publication_year")])
     both = pairs.join(side("first"), "first_id").join(side("second"), "second_id")

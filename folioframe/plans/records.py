@@ -93,12 +93,33 @@ def identity_match(spark, sf):
     return D.match(new, p)
 
 
+def _profiles(spark, sf):
+    """Records with class_id and profile_id, the least ids of those with the same text, and with the same of all that is scored.
+
+    Equal titles and abstracts score 0.7: such records are one class. Without an abstract equal authors and
+    years are asked for too.
+    """
+    r = full_records(spark, sf).select("publication_id", S.identity_title(F.col("title")).alias("key_title"), "abstract", "authors", "publication_year", S.doi(F.col("doi")).alias("doi"))
+    text = F.sha2(F.concat_ws("|", F.coalesce("key_title", F.lit("")), F.coalesce("abstract", F.lit(""))), 256)
+    facts = F.sha2(F.to_json(F.struct("authors", "publication_year")), 256)
+    r = r.withColumns({"_p": F.concat(text, facts), "_c": F.when(F.col("abstract").isNull(), F.concat(text, facts)).otherwise(text)})
+    least = r.groupBy("_c", "_p").agg(F.min("publication_id").alias("profile_id"))
+    classes = least.groupBy("_c").agg(F.min("profile_id").alias("class_id"))
+    return r.join(least, ["_c", "_p"]).join(classes, "_c").drop("_c", "_p")
+
+
+@query("d7_duplicate_classes", QUALITY + """, p AS (SELECT r.k AS publication_id, coalesce(trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{N}_\\s]', '', 'g'), '[\\s\\x1c-\\x1f]+', ' ', 'g')), '') AS t, abstract AS a, year AS y,
+CASE WHEN k % 19 = 0 THEN '' WHEN k % 23 = 0 THEN 'two' WHEN k % 53 = 0 THEN 'Aster' ELSE 'Author ' || k % 97 END AS w, abstract = '' AS bare FROM r)
+SELECT publication_id, min(publication_id) OVER (PARTITION BY t, a, w, y) AS profile_id, min(publication_id) OVER (PARTITION BY t, a, CASE WHEN bare THEN w END, CASE WHEN bare THEN y END) AS class_id FROM p""".replace("\\\\", "\\"))
+def duplicate_classes(spark, sf):
+    """Whose text, and whose record, each record repeats: links of copies follow from these."""
+    return _profiles(spark, sf).select("publication_id", "profile_id", "class_id")
+
+
 @query("d7_duplicate_pairs")
 def duplicate_pairs(spark, sf):
-    r = full_records(spark, sf).withColumn("key_title", S.identity_title(F.col("title")))
-    # Exact copies are one candidate: their pairs follow from their class.
-    kept = r.groupBy("key_title", "abstract").agg(F.min_by(F.struct("publication_id", "doi", "authors", "publication_year"), "publication_id").alias("x")).select("key_title", "abstract", "x.*")
-    return D.duplicate_pairs(kept)
+    """Links between different texts, by the least id of each profile; those within a class are in d7_duplicate_classes."""
+    return D.duplicate_pairs(_profiles(spark, sf).where("publication_id = profile_id").drop("profile_id"))
 
 
 @query("d9_author_resolution", "SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN c_custkey::VARCHAR ELSE left(sha256('customer#' || lpad((o_custkey * 2)::VARCHAR, 9, '0')), 32) END AS author_id, c_custkey IS NULL AS is_new FROM orders LEFT JOIN customer ON lower(c_name) = 'customer#' || lpad((o_custkey * 2)::VARCHAR, 9, '0')")
