@@ -169,7 +169,7 @@ def incremental(spark, sf):
     out, mark = folder(spark, "landed"), folder(spark, "mark")
     schema = table(spark, sf, "events").schema
     for _ in range(2):
-        ingest.drain(ingest.landed(spark, f"{sf}/event[s].parquet", schema), mark, lambda batch, n: batch.write.mode("append").parquet(out))
+        ingest.drain(ingest.landed(spark, f"{sf}/event[s].parquet", schema), mark, ingest.appended(out))
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 

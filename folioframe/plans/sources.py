@@ -15,7 +15,11 @@ from .views import table
 
 def folder(spark, name: str) -> str:
     """A new folder where driver and executors both write: under spark.checkpoint.dir, or local in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -102,17 +106,14 @@ def event_counts(spark, sf):
 
 @query("st2_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
-    out = folder(spark, "first")
-    stream = ingest.deduplicated(_events(spark, sf), ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
-    ingest.drain(stream, folder(spark, "mark"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/b={n}"))
-    return spark.read.parquet(out).select("user_id", "event_type")
+    out, keys = folder(spark, "first"), ["user_id", "event_type"]
+    ingest.drain(_events(spark, sf).select(*keys), folder(spark, "mark"), ingest.first_seen(out, keys))
+    return spark.read.parquet(out).select(*keys)
 
 
 @query("st3_stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events WHERE (user_id, ts) IN (SELECT user_id, max(ts) FROM events GROUP BY user_id) GROUP BY user_id")
 def stream_upsert(spark, sf):
     out = folder(spark, "state")
     stream = _events(spark, sf).select("user_id", "ts", "event_id", "event_type")
-    batches: list[int] = []
-    sink = ingest.upsert_sink(out, "user_id", "ts")
-    ingest.drain(stream, folder(spark, "mark"), lambda batch, n: (sink(batch, n), batches.append(n)))
-    return spark.read.parquet(f"{out}/v{max(batches) + 1}").select("user_id", "event_id")
+    ingest.drain(stream, folder(spark, "mark"), ingest.upsert_sink(out, "user_id", "ts"))
+    return ingest.current_state(spark, out, stream.schema).select("user_id", "event_id")
