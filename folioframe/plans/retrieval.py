@@ -41,7 +41,7 @@ def _catalogue(spark, sf):
 
 
 @query("r4_hybrid_search", r"""WITH d AS (SELECT doc_id AS id, coalesce(trim(regexp_replace(substr(text, 1, 80), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')), '') AS abstract, lang, source, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
-q AS (SELECT id AS query_id, e, lower(array_to_string(string_split(title, ' ')[1:4], ' ')) || ' ' || lang AS phrase FROM d WHERE id % 50 = 0),
+q AS (SELECT id AS query_id, e, trim(lower(array_to_string(string_split(title, ' ')[1:4], ' ')) || ' ' || lang) AS phrase FROM d WHERE id % 50 = 0),
 w AS (SELECT *, list_filter(string_split(phrase, ' '), lambda x: length(x) > 2) AS words FROM q),
 near AS (SELECT query_id, id, s FROM (SELECT query_id, id, list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) DESC, id) AS r FROM q JOIN d ON d.id <> query_id) WHERE r <= 50),
 newest AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id DESC) AS r FROM w JOIN d ON len(words) = 0 OR len(list_filter(words, lambda x: contains(lower(title) || chr(10) || coalesce(lower(abstract), ''), x))) > 0) WHERE r <= 100),
