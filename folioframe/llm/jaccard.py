@@ -260,7 +260,7 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, least: float, word
     links = links.unionByName(alike(first.where("b is not null").join(links, ["a", "b"], "left_anti")))
     crowded = first.where("b is null").select(F.col("a").alias("key"))
     crowd = saved(postings.join(crowded, "key"), "crowd")
-    for mode in ("dealt", "dealt", "all"):
+    for mode in ("dealt", "all"):
         roots = saved(components(links), "roots")
         apart = crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         links = links.unionByName(alike(_candidates(apart, least, mode)))
