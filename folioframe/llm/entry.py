@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP11_SQL, op11_filter_audit
 from .bpe import op8_token_counts
 from .covertree import OP1_SQL, op1_cover_tree
 from .decontamination import OP6_SQL, op6_decontamination
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
 }
 SQL: dict[str, str] = {
     "op1_cover_tree": OP1_SQL,
@@ -31,4 +33,5 @@ SQL: dict[str, str] = {
     "op3_substrings": OP3_SQL,
     "op4_mixing": OP4_SQL,
     "op6_decontamination": OP6_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
