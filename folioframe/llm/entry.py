@@ -13,6 +13,7 @@ from .packing import op5_token_output
 from .simhash import op9_simhash
 from .substrings import OP3_SQL, op3_substrings
 from .toxicity import op10_toxicity
+from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
 }
 SQL: dict[str, str] = {
     "op1_cover_tree": OP1_SQL,
@@ -34,4 +36,5 @@ SQL: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op6_decontamination": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_warc": OP12_SQL,
 }
