@@ -13,6 +13,7 @@ from .packing import op5_token_output
 from .simhash import op9_simhash
 from .substrings import OP3_SQL, op3_substrings
 from .toxicity import op10_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 from .warc import OP12_SQL, op12_warc
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_warc": op12_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op1_cover_tree": OP1_SQL,
@@ -37,4 +39,5 @@ SQL: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_warc": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
