@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +14,18 @@ from folioframe.operators import identity as D
 from folioframe.operators import retrieval as R
 
 
+def terms(text):
+    return {w for w in re.findall(r"\w+", text.casefold()) if len(w) > 2}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def tokens(text):
+    return max(1, len(re.findall(r"\w+|[^\w\s]", text)), -(-len(text.encode()) // 3)) if text else 0
+
+
 def test_selected_chunks(spark):
     schema = "query_id int, question string, document_id string, title string, chunk_id int, content string, similarity double, rank int"
     broad = [(1, "yield of teff", d, f"Title {d}", i, "teff yield" if d != "z" else "nothing", 0.9 - i / 100 if d != "z" else 0.5, i) for i, d in enumerate("aaaaabbbbzzcdefgh")]
@@ -33,8 +46,8 @@ def test_reranked(spark):
         (1, "soil fertility highlands", 4, "d", 9, "A", "entirely different words about trade", None, 3), (1, "soil fertility highlands", 5, None, None, None, None, 0.1, 4),
     ]
     got = A.reranked(spark.createDataFrame(rows, "query_id int, question string, id int, document_id string, chunk_index int, title string, text string, similarity double, rank int")).orderBy("place").collect()
-    q = A.terms(rows[0][1])
-    want = {1: 0.9 * 0.65 + 0.35 * A.jaccard(q, A.terms("A " + base)), 3: 0.7 * 0.65 + 0.35 * A.jaccard(q, A.terms("A " + rows[2][6])) - 0.2 - 0.0002, 4: 0.35 * A.jaccard(q, A.terms("A " + rows[3][6])) - 0.0003, 5: 0.1 * 0.65 - 0.0004}
+    q = terms(rows[0][1])
+    want = {1: 0.9 * 0.65 + 0.35 * jaccard(q, terms("A " + base)), 3: 0.7 * 0.65 + 0.35 * jaccard(q, terms("A " + rows[2][6])) - 0.2 - 0.0002, 4: 0.35 * jaccard(q, terms("A " + rows[3][6])) - 0.0003, 5: 0.1 * 0.65 - 0.0004}
     assert {r.id: round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert [r.id for r in got] == sorted(want, key=lambda k: -want[k])
 
@@ -46,10 +59,58 @@ def test_packed(spark):
     got = A.packed(spark.createDataFrame(rows, schema)).orderBy("label").collect()
     assert [r.label for r in got] == [f"S{k + 1}" for k in range(len(got))] and len(got) <= 5
     assert got[0].text == "Short text on soil." and not got[0].compressed and got[1].compressed and 2 not in [r.id for r in got]
-    assert all(r.tokens == A.tokens(r.text) <= 800 for r in got) and sum(r.tokens for r in got) <= 2600
+    assert all(r.tokens == tokens(r.text) <= 800 for r in got) and sum(r.tokens for r in got) <= 2600
     none = A.packed(spark.createDataFrame([(*r[:2], "word " * 9000, *r[3:]) for r in rows], schema))
     assert none.count() == 0
-    assert A.cut_to("One two. Three four five.", 5) == "One two." and A.cut_to("onetwothree four", 5) == "onetwothree" and A.cut_to("x" * 90, 5) == ""
+    cut = spark.createDataFrame([("One two. Three four five.",), ("onetwothree four",), ("x" * 90,), (" One two. ",)], "t string").select(A.cut_to(F.col("t"), 5).alias("c")).collect()
+    assert [r.c for r in cut] == ["One two.", "onetwothree", "", "One two."]
+
+
+def test_packed_by_loops(spark):
+    """Every text and count against a plain loop over the sentences."""
+    rng = random.Random(3)
+    words = "soil water yield 12% result method the farm 7.5 Findings of a".split()
+    text = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(rng.randint(2, 14))).capitalize() + rng.choice(".!?") + rng.choice([" ", "  ", chr(10)]) for _ in range(n))
+    rows = [(q, "soil yield result", "be brief", "", k, f"T{k}", "d", None, 1, 4, text(rng.randint(1, 150)), k) for q in range(8) for k in range(9)]
+    schema = "query_id int, question string, system string, history string, id int, title string, document_id string, section string, page_start int, page_end int, text string, place int"
+    got = {}
+    for r in A.packed(spark.createDataFrame(rows, schema)).orderBy("query_id", "label").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.text, r.tokens, r.compressed))
+    asked, want = terms("soil yield result"), {}
+    for q in range(8):
+        own = [r for r in rows if r[0] == q]
+        left = max(0, min(2600, 4096 - tokens("soil yield result") - tokens("be brief") - sum(tokens(f"{r[5]} d pages 1-4") for r in own[:5]) - 900))
+        want[q] = []
+        for r in own:
+            limit = min(800, left)
+            whole = " ".join(line.strip() for line in r[10].splitlines() if line.strip())
+            if len(want[q]) == 5 or left <= 0:
+                break
+            if tokens(whole) > limit:
+                parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", whole) if p.strip()]
+                weight = {k: 3 * len(asked & terms(p)) + 2 * sum(m in p.lower() for m in A.PACKED_MARKS) + 2 * bool(re.search(r"\b\d+(?:\.\d+)?%?\b", p)) for k, p in enumerate(parts)}
+                keep, used = [], 0
+                for k in sorted(weight, key=lambda k: (-weight[k], k)):
+                    if used < min(limit, 400) and used + tokens(parts[k]) <= limit:
+                        keep.append(k)
+                        used += tokens(parts[k])
+                short, long = " ".join(parts[k] for k in sorted(keep)), True
+            else:
+                short, long = whole, False
+            if short and tokens(short) <= left:
+                want[q].append((r[4], short, tokens(short), long))
+                left -= tokens(short)
+    assert got == want and any(long for rs in want.values() for *_, long in rs) and any(not long for rs in want.values() for *_, long in rs)
+
+
+def test_pinned_and_named(spark):
+    schema = "query_id int, question string, document_id string, title string, chunk_id int, content string, similarity double, rank int, pinned boolean"
+    rows = [(1, "teff yield", "a", "T", 1, "teff", 0.9, 0, False), (1, "teff yield", "b", "U", 2, "teff", 0.1, 1, True), (1, "teff yield", "c", "V", 3, "teff", 0.1, 2, None)]
+    assert [r.chunk_id for r in A.selected_chunks(spark.createDataFrame(rows, schema), least=0.5).orderBy("position").collect()] == [1, 2]
+    chunks = spark.createDataFrame([(q, "p", k) for q in (1, 2) for k in range(3)], "query_id int, publication_id string, position int")
+    rest = spark.createDataFrame([(1, "q", 0), (2, "q", 0)], "query_id int, publication_id string, position int")
+    got = A.assembled(chunks, rest, 9, spark.createDataFrame([(2,)], "query_id int")).where("source_type = 'publication'").collect()
+    assert [r.query_id for r in got] == [1]
 
 
 def test_answer_sentences(spark):
