@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields")
+MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields", "search")
 
 
 def all_queries() -> tuple[dict, dict]:
