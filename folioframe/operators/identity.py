@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.folders import folder
+from .postings import containing, gram_index
 
 
 def strongest_key(doi: Column, source: Column, external_id: Column, title: Column, year: Column, authors: Column | None = None, first: int = 3) -> Column:
@@ -52,6 +54,48 @@ def long_enough(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(x, y) >= least * (x + y)
 
 
+def letter_shares(titles: DataFrame, column: str, most: int = 512) -> dict[str, float]:
+    """How much of all text each of the `most` most frequent characters makes up; what is left out counts as rarest. It orders prefixes and decides nothing else."""
+    each = titles.select(F.explode(F.split(column, "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(most).collect()
+    total = sum(r.n for r in each) or 1
+    return {r.c: r.n / total for r in each}
+
+
+def letter_prefix(title: Column, least: float, shares: dict[str, float]) -> Column:
+    """The rarest numbered letters of a title, as many as a title like it must share one of.
+
+    A title is the set of its letters, each with its number among equal ones ("e" for the first, the second, ...). The ratio is twice
+    the matched characters to both lengths, and no more can match than the sets share. So a pair that reaches
+    `least` shares n * least / (2 - least) of a title's n letters at least, whatever the other's length, and
+    in any order of all letters each one's first n - that + 1 hold one in common.
+    """
+    known = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]) if shares else F.create_map(F.lit(""), F.lit(1.0))
+    letters = F.array_sort(F.array_remove(F.split(title, ""), ""))
+    # The more often a letter stands before, and the rarer it is, the rarer is this one of them.
+    numbered = F.transform(letters, lambda c, i: F.struct((-(i - F.array_position(letters, c) + 2) / (F.coalesce(F.try_element_at(known, c), F.lit(0.0)) + 1e-4)).alias("order"), F.concat(c, (i - F.array_position(letters, c) + 1).cast("string")).alias("letter")))
+    n = F.length(title)
+    shared = F.ceil(n * least / (2 - least) - 1e-9).cast("int")
+    return F.transform(F.slice(F.array_sort(numbered), F.lit(1), n - shared + 1), lambda x: x["letter"])
+
+
+def alike_titles(records: DataFrame, stored: DataFrame, *, least: float) -> DataFrame:
+    """(record_id, publication_id, score) of titles of one block with a matching ratio of `least` and more; none is missed.
+
+    records: (record_id, block, key_title), stored: (publication_id, block, key_title), no nulls. A title is
+    copied once for each letter of its prefix (15 % of its length), and a pair meets by the first letter that both
+    prefixes have. Two empty titles are equal.
+    """
+    shares = letter_shares(stored, "key_title")
+    a = records.select("record_id", "block", "key_title", letter_prefix(F.col("key_title"), least, shares).alias("p")).select("*", F.explode("p").alias("letter"))
+    b = stored.select("publication_id", "block", F.col("key_title").alias("other"), letter_prefix(F.col("key_title"), least, shares).alias("q")).select("*", F.explode("q").alias("letter"))
+    unlike = F.floor((1 - least) * (F.length("key_title") + F.length("other")) + 1e-6).cast("int")
+    pairs = a.join(b, ["block", "letter"]).where(long_enough(F.col("key_title"), F.col("other"), least)).where(F.get(F.array_intersect("p", "q"), F.lit(0)) == F.col("letter"))
+    pairs = pairs.where(F.call_function("levenshtein", F.col("key_title"), F.col("other"), unlike) >= 0).select("record_id", "publication_id", "key_title", "other")
+    near = pairs.withColumn("score", ratio("key_title", "other", least)).where(F.col("score") >= least).select("record_id", "publication_id", "score")
+    empty = records.where("key_title = ''").join(stored.where("key_title = ''").select("publication_id", "block"), "block")
+    return near.unionByName(empty.select("record_id", "publication_id", F.lit(1.0).alias("score")))
+
+
 def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92) -> DataFrame:
     """(record_id, publication_id, matched_by, score): the best stored row of each record, if any.
 
@@ -59,8 +103,8 @@ def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92) -> Data
     any of the year's stored rows that aren't deleted. Both sides have the columns doi, source,
     external_id, key_title, publication_year, first_author; stored also is_deleted.
 
-    Titles meet by year and every length that the ratio allows, a year's rows dealt over several tasks;
-    the ratio is taken where the edit distance, which is never over the unmatched characters, allows it.
+    Titles meet by year and a letter of their prefixes (see `alike_titles`); the ratio is taken where the edit
+    distance, which is never over the unmatched characters, allows it.
     """
     r, s = records, stored
     found = None
@@ -73,37 +117,32 @@ def match(records: DataFrame, stored: DataFrame, *, least: float = 0.92) -> Data
         hit = a.select("record_id", *keys).join(b.groupBy(*keys).agg(F.min("publication_id").alias("publication_id")), keys)
         hit = hit.select("record_id", "publication_id", F.lit(name).alias("matched_by"), F.lit(rank).alias("rank"), F.lit(1.0).alias("score"))
         found = hit if found is None else found.unionByName(hit)
-    # Rows of one year and length are many: they are dealt over tasks, and each record goes to all of these.
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = F.length("key_title")
-    live = s.where(~F.col("is_deleted") & F.col("publication_year").isNotNull()).select("publication_year", "publication_id", F.col("key_title").alias("other"))
-    live = live.withColumns({"_n": F.length("other"), "_salt": F.pmod(F.xxhash64("publication_id"), F.lit(parts)).cast("int")})
-    left = r.join(found.select("record_id").distinct(), "record_id", "left_anti").where("publication_year is not null and key_title is not null")
-    lengths = F.sequence(F.floor(n * least / (2 - least)).cast("int"), F.ceil(n * (2 - least) / least).cast("int"))
-    left = left.select("record_id", "publication_year", "key_title", F.explode(lengths).alias("_n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    unlike = F.floor((1 - least) * (F.length("key_title") + F.length("other")) + 1e-6).cast("int")
-    pairs = left.join(live, ["publication_year", "_n", "_salt"]).where(long_enough(F.col("key_title"), F.col("other"), least))
-    pairs = pairs.where(F.call_function("levenshtein", F.col("key_title"), F.col("other"), unlike) >= 0)
-    likely = pairs.withColumn("score", ratio("key_title", "other", least)).where(F.col("score") >= least)
+    live = s.where(~F.col("is_deleted") & F.col("publication_year").isNotNull() & F.col("key_title").isNotNull()).select("publication_id", F.col("publication_year").alias("block"), "key_title")
+    left = r.join(found.select("record_id").distinct(), "record_id", "left_anti").where("publication_year is not null and key_title is not null").select("record_id", F.col("publication_year").alias("block"), "key_title")
+    likely = alike_titles(left, live, least=least)
     found = found.unionByName(likely.select("record_id", "publication_id", F.lit("title_ratio").alias("matched_by"), F.lit(len(rules)).alias("rank"), "score"))
     best = found.groupBy("record_id").agg(F.min(F.struct("rank", (-F.col("score")).alias("n"), "publication_id", "matched_by", "score")).alias("b"))
     return best.select("record_id", "b.publication_id", "b.matched_by", "b.score")
 
 
-def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, common: int = 50) -> DataFrame:
+def doi_classes(pubs: DataFrame) -> DataFrame:
+    """(doi, class_id, records): the least id of those with one DOI, case aside, and how many they are."""
+    return pubs.where("doi is not null").groupBy(F.lower("doi").alias("doi")).agg(F.min("publication_id").alias("class_id"), F.count("*").alias("records"))
+
+
+def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, path: str | None = None) -> DataFrame:
     """Scored candidate pairs (first_id < second_id); never merges.
 
-    Candidates share a DOI, or a title holds the other's first `lead` words, found by the shared run of
-    words. Equal DOIs score 1; else 0.4 title + 0.3 abstract likeness + 0.2 author overlap + 0.1 year.
-    Titles with a run that more than `common` titles hold are dealt over several tasks, and each that opens
-    with it goes to all of these; no pair is left out for it. Rows of one class_id (if there is that column)
+    Candidates: a title holds the other's first `lead` words (all of a shorter one) anywhere, inside words too, by
+    the stored runs of characters; records with is_deleted (if there is that column) aren't held against
+    others. Equal DOIs score 1: each record is paired with the least id of its DOI, so that n records give n - 1 pairs and
+    not all of them; `doi_classes` has the members. Else 0.4 title + 0.3 abstract likeness + 0.2 author
+    overlap + 0.1 year. Rows of one class_id (if there is that column)
     are duplicates already and aren't paired. Pairs that can't reach the score by lengths, authors and years go at once.
+    The index is written to `path`, or to a new shared folder.
     """
-    words = F.filter(F.split(F.col("key_title"), " "), lambda w: w != "")
-    p = pubs.withColumn("_w", words).where(F.size("_w") >= lead)
     classed = ["class_id"] if "class_id" in pubs.columns else []
     other = lambda a, b: F.lit(True) if not classed else ~F.col(f"{a}_class_id").eqNullSafe(F.col(f"{b}_class_id"))
-    parts = int(pubs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bound = lambda m, n: 2 * F.least(m, n) / F.greatest(F.lit(1), m + n)
     length = lambda n, c: F.length(f"{n}_{c}")
 
@@ -114,23 +153,25 @@ def duplicate_pairs(pubs: DataFrame, *, least: float = 0.65, lead: int = 4, comm
     def known(n: str) -> list[Column]:
         return [F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ["authors", "publication_year", *classed]], F.length("key_title").alias(f"{n}_t"), F.length("abstract").alias(f"{n}_a")]
 
-    starts = F.transform(F.sequence(F.lit(1), F.size("_w") - lead + 1), lambda i: F.array_join(F.slice("_w", i, lead), " "))
-    heads = p.select(*known("head"), F.array_join(F.slice("_w", 1, lead), " ").alias("run"))
-    runs = p.select(*known("held"), F.explode(F.array_distinct(starts)).alias("run"))
-    openings = runs.groupBy("run").count().where(F.col("count") > common).select("run", F.lit(True).alias("_hot"))
-    heads = heads.join(openings, "run", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    runs = runs.join(openings, "run", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("held_id"), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
-    by_title = heads.join(runs, ["run", "_salt"]).where("head_id <> held_id").where(other("head", "held"))
+    live = pubs.where("not is_deleted") if "is_deleted" in pubs.columns else pubs
+    words = F.filter(F.split(F.col("key_title"), " "), lambda w: w != "")
+    needles = pubs.select(F.col("publication_id").alias("query_id"), F.array_join(F.slice(words, 1, lead), " ").alias("needle")).where("needle <> ''")
+    index = gram_index(live, path or folder(pubs.sparkSession, "titles"), id_col="publication_id", text=F.col("key_title"))
+    found = containing(index, needles).where("query_id <> id").select(F.col("query_id").alias("head_id"), F.col("id").alias("held_id"))
+    by_title = found.join(pubs.select(*known("head")), "head_id").join(pubs.select(*known("held")), "held_id").where(other("head", "held"))
     near = F.when(F.col("head_a").isNull() | F.col("held_a").isNull(), 0.0).otherwise(bound(F.col("head_a"), F.col("held_a")))
     by_title = by_title.where(cheap("head", "held") + 0.3 * near + 0.4 * bound(F.col("head_t"), F.col("held_t")) >= least - 1e-9)
     by_title = by_title.select(F.least("head_id", "held_id").alias("first_id"), F.greatest("head_id", "held_id").alias("second_id"))
-    d = pubs.where("doi is not null")
-    d = [d.select("doi", F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in classed]) for n in ("first", "second")]
-    by_doi = d[0].join(d[1], "doi").where("first_id < second_id").where(other("first", "second")).select("first_id", "second_id")
+    own = live.where("doi is not null").withColumn("_doi", F.lower("doi"))
+    of = doi_classes(live).where("records > 1").select(F.col("doi").alias("_doi"), F.col("class_id").alias("first_id"))
+    by_doi = own.select("_doi", F.col("publication_id").alias("second_id"), *[F.col(c).alias(f"second_{c}") for c in classed]).join(of, "_doi").where("first_id < second_id")
+    if classed:
+        by_doi = by_doi.join(pubs.select(F.col("publication_id").alias("first_id"), F.col("class_id").alias("first_class_id")), "first_id").where(other("first", "second"))
+    by_doi = by_doi.select("first_id", "second_id")
     pairs = by_title.unionByName(by_doi).distinct()
     side = lambda n: pubs.select(F.col("publication_id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("doi", "key_title", "abstract", "authors", "publication_year")])
     both = pairs.join(side("first"), "first_id").join(side("second"), "second_id")
-    both = both.withColumns({"same": F.coalesce(F.col("first_doi") == F.col("second_doi"), F.lit(False)), "cheap": cheap("first", "second")})
+    both = both.withColumns({"same": F.coalesce(F.lower("first_doi") == F.lower("second_doi"), F.lit(False)), "cheap": cheap("first", "second")})
     # What can't reach the score whatever the texts say goes before they are compared, titles first.
     abstracts = F.when(F.col("first_abstract").isNull() | F.col("second_abstract").isNull(), 0.0).otherwise(bound(length("first", "abstract"), length("second", "abstract")))
     both = both.where(F.col("same") | (F.col("cheap") + 0.3 * abstracts + 0.4 * bound(length("first", "key_title"), length("second", "key_title")) >= least))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import postings as X
 from ..operators import vectors as V
+from ..sources.folders import folder
 from .registry import query
-from .sources import folder
 from .views import PUBLICATIONS, publications, table
 
 
@@ -41,3 +42,44 @@ def chunk_neighbours(spark, sf):
 def indexed_chunks(spark, sf):
     """Nearest chunks of all indexed documents, with and without a publication."""
     return _neighbours(spark, sf, F.lit(True))
+
+
+#: A document's title is what stands before the first sentence's end or line break.
+_TITLE = r"regexp_extract(coalesce(text, ''), '^[^.!?\n]*')"
+
+
+def _titles(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.!?\n]*", 0).alias("title"), "text")
+
+
+def _asked(spark, sf):
+    """Three words out of each benchmark text, as it spells them."""
+    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words, 4, 3), " ").alias("text")).where("text <> ''")
+
+
+@query("p13_indexed_search", rf"""WITH d AS (SELECT doc_id, lower({_TITLE}) AS title, list_distinct(list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS w FROM documents),
+q AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')[4:6] AS l FROM benchmark)
+SELECT query_id, doc_id, list_has_all(w, list_transform(l, lambda x: lower(x))) AS by_words, contains(title, lower(array_to_string(l, ' '))) AS by_title FROM q JOIN d ON len(l) > 0 AND (list_has_all(w, list_transform(l, lambda x: lower(x))) OR contains(title, lower(array_to_string(l, ' '))))""".replace("\\\\", "\\"))
+def indexed_search(spark, sf):
+    """All words of a query in the unaccented text, or the query as it is in the title: both from stored lists."""
+    d, q = _titles(spark, sf), _asked(spark, sf)
+    words = X.with_all_words(X.word_index(d, folder(spark, "words"), id_col="doc_id", text=F.col("text")), q)
+    titles = X.containing(X.gram_index(d, folder(spark, "grams"), id_col="doc_id", text=F.col("title")), q, needle="text")
+    both = words.withColumns({"w": F.lit(1), "t": F.lit(0)}).unionByName(titles.withColumns({"w": F.lit(0), "t": F.lit(1)}))
+    return both.groupBy("query_id", F.col("id").alias("doc_id")).agg((F.max("w") == 1).alias("by_words"), (F.max("t") == 1).alias("by_title"))
+
+
+_HEAD = "array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> '')[1:4], ' ')"
+
+
+@query("j10_title_containment", rf"""WITH d AS (SELECT min(doc_id) AS id, lower({_TITLE}) AS title, count(*) AS n FROM documents GROUP BY lower({_TITLE})),
+h AS (SELECT id, n, title, {_HEAD} AS head FROM d)
+SELECT a.id AS first_id, b.id AS held_by, b.n AS records FROM h a JOIN h b ON a.id <> b.id AND a.head <> '' AND contains(b.title, a.head)""".replace("\\\\", "\\"))
+def title_containment(spark, sf):
+    """Titles that hold another title's first four words, or all of a shorter one; a title stands for all its records, whose number is given."""
+    d = _titles(spark, sf).groupBy(F.lower("title").alias("title")).agg(F.min("doc_id").alias("id"), F.count("*").alias("records"))
+    words = F.filter(F.split("title", r"\s+"), lambda w: w != "")
+    needles = d.select(F.col("id").alias("query_id"), F.array_join(F.slice(words, 1, 4), " ").alias("needle")).where("needle <> ''")
+    found = X.containing(X.gram_index(d, folder(spark, "titles"), id_col="id", text=F.col("title")), needles).where("query_id <> id")
+    return found.join(d.select("id", "records"), "id").select(F.col("query_id").alias("first_id"), F.col("id").alias("held_by"), "records")
