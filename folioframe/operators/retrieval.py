@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.folders import folder
+from .postings import bucket, containing, gram_index, stored_lists
 
 #: Queries that go out to the executors at once; a larger set is asked in several passes.
 QUERY_BLOCK = 10_000
@@ -21,8 +22,9 @@ STOP_WORDS = (
     "about", "after", "also", "among", "based", "been", "between", "from", "have", "into", "more", "other", "research", "results", "study", "than", "that", "their", "these", "this", "through", "using", "were", "which", "with",
 )
 KEYWORD = "[a-z][a-z-]{2,}"
-#: Words that say nothing about what a text is near to.
-COMMON = ("the", "and", "of", "in", "to", "a", "for", "on", "with", "by", "an", "is", "are", "as", "at", "from", "that", "this", "be", "was", "were", "or", "it", "its", "which")
+#: Words that a text's vector and keyword suggestions leave out, and the patterns of their words.
+TERM_STOP = ("about", "after", "among", "analysis", "based", "between", "from", "into", "research", "study", "that", "their", "this", "using", "with")
+TERM, SUGGESTED = "[a-z0-9][a-z0-9-]{2,}", "[a-z][a-z-]{3,}"
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, id_col: str, vector_col: str, least: float = -1.0, block: int = QUERY_BLOCK) -> DataFrame:
@@ -86,7 +88,7 @@ def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
     return b if a is None else a.unionByName(b)
 
 
-def lexical_search(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str, query_id: str, text_col: str = "text", pattern: str = "[a-z]{3,}") -> DataFrame:
+def lexical_search(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str, query_id: str, text_col: str = "text", pattern: str = TERM) -> DataFrame:
     """(query_id, doc_id, score, rank) by the cosine of term counts.
 
     Terms are counted and norms taken inside each row. Only terms meet the queries' terms, and what a
@@ -94,7 +96,7 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str,
     """
 
     def weighted(df: DataFrame, key: str, tf: str, norm: str) -> DataFrame:
-        c = S.counted(df.select(key, S.word_list(F.col(text_col), pattern, COMMON).alias("_w")), "_w")
+        c = S.counted(df.select(key, S.word_list(F.col(text_col), pattern, TERM_STOP).alias("_w")), "_w")
         c = c.withColumn(norm, F.sqrt(F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])))
         return S.each_count(c, [key, norm]).select(key, norm, F.col("c.term").alias("term"), F.col("c.n").alias(tf))
 
@@ -109,47 +111,30 @@ def query_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(S.clean(text)), " "), lambda w: F.length(w) > 2)
 
 
-def newest_matches(queries: DataFrame, pubs: DataFrame, most: int = 100, block: int = QUERY_BLOCK) -> DataFrame:
+def newest_matches(queries: DataFrame, pubs: DataFrame, most: int = 100, path: str | None = None) -> DataFrame:
     """(query_id, id): for each query (query_id, text) the most recent of pubs (id, title, abstract, updated_at) with one of its words in title or abstract.
 
-    Words may stand inside others. Queries go out in blocks; a batch keeps `most` rows a query, a window
-    over those gives the result. A query without words matches all.
+    Words may stand inside others: what lies between white space in all texts is listed once, with the ids of
+    its texts, and a word is looked up in that list by its runs of characters. A query without words matches
+    all. The lists are written to `path`, or to a new shared folder.
     """
-    spark = pubs.sparkSession
-    kind, asked = pubs.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    found = None
-
-    def one(block_of: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block_of)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b.sort_values(["at", "id"], ascending=False)
-                ids, at, texts = b["id"].tolist(), b["at"].tolist(), b["text"].tolist()
-                out: list[tuple] = []
-                for q, words in sent.value:
-                    n = 0
-                    for i, when, text in zip(ids, at, texts):
-                        if not words or any(w in text for w in words):
-                            out.append((q, i, when))
-                            n += 1
-                            if n == most:
-                                break
-                yield pd.DataFrame(out, columns=["query_id", "id", "at"])
-
-        # a line break never stands in a word, so that none reaches from title to abstract
-        frame = pubs.select("id", F.col("updated_at").cast("long").alias("at"), F.lower(F.concat_ws("\n", "title", "abstract")).alias("text"))
-        return frame.mapInPandas(run, f"query_id {asked}, id {kind}, at bigint")
-
-    held: list[tuple] = []
-    for r in queries.select("query_id", query_words(F.col("text")).alias("w")).toLocalIterator():
-        held.append((r[0], r[1] or []))
-        if len(held) == block:
-            found, held = _union(found, one(held)), []
-    if held or found is None:
-        found = _union(found, one(held))
+    path = path or folder(pubs.sparkSession, "newest")
+    # a line break never stands in a word, so that none reaches from title to abstract
+    parts = F.array_distinct(F.array_remove(F.split(F.lower(F.concat_ws("\n", "title", "abstract")), r"[ \n]+"), ""))
+    lists = stored_lists(pubs.select("id", F.explode(parts).alias("term")), path)
+    grams = gram_index(lists.table("terms"), f"{path}/grams", id_col="term", text=F.col("term"))
+    asked = queries.select("query_id", query_words(F.col("text")).alias("w")).withColumn("w", F.coalesce("w", F.array().cast("array<string>")))
+    words = asked.select("query_id", F.explode(F.array_distinct("w")).alias("needle"))
+    terms = containing(grams, words.select("needle").distinct().withColumn("query_id", F.col("needle"))).select(F.col("query_id").alias("needle"), F.col("id").alias("term"))
+    wanted = words.join(terms, "needle").select("query_id", "term", bucket("term").alias("bucket")).distinct()
+    found = lists.lists(wanted).join(wanted, ["bucket", "term"]).select("query_id", "id").distinct()
+    dated = pubs.select("id", F.col("updated_at").cast("long").alias("at"))
+    last = [r.id for r in dated.orderBy(F.desc("at"), F.desc("id")).limit(most).collect()]
     order = Window.partitionBy("query_id").orderBy(F.desc("at"), F.desc("id"))
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "id")
+    out = found.join(dated, "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("query_id", "id")
+    kind = pubs.schema["id"].dataType
+    all_ = asked.where(F.size("w") == 0).select("query_id", F.explode(F.array(*[F.lit(i).cast(kind) for i in last]).cast(f"array<{kind.simpleString()}>")).alias("id"))
+    return out.unionByName(all_)
 
 
 def hybrid(queries: DataFrame, pubs: DataFrame, semantic: DataFrame, k: int, shares: tuple[float, float, float] = (0.5, 0.25, 0.25), most: int = 100) -> DataFrame:
@@ -241,17 +226,13 @@ def structured_summary(chunks: DataFrame, sections: dict[str, tuple[str, ...]] =
 
 
 def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows of `size` characters; an end moves back to a paragraph or sentence end past half the window."""
+    """Windows of `size` characters; an end moves back behind the last paragraph or sentence mark past half the window, whichever is later."""
     out, start = [], 0
     while start < len(text):
         end = min(len(text), start + size)
         if end < len(text):
-            half = start + size // 2
-            for mark, more in (("\n\n", 0), (". ", 1)):
-                at = text.rfind(mark, half, end)
-                if at > half:
-                    end = at + more
-                    break
+            mark = max(text.rfind(m, start, end) for m in ("\n\n", ". "))
+            end = mark + 1 if mark > start + size // 2 else end
         out.append((start, end))
         if end >= len(text):
             break
@@ -262,7 +243,7 @@ def chunk_bounds(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 def chunked(pages: DataFrame, size: int = 3500, overlap: int = 500) -> DataFrame:
     """(document_id, page_start, page_end, chunk_index, content) from (document_id, page_no, text).
 
-    Pages are cut where they lie; the index over a document follows from its pages' order. Whole texts
+    Pages are stripped of outer white space and cut where they lie; the index over a document follows from its pages' order. Whole texts
     are cut, whatever their length; null and blank pages give no chunks.
     """
     kind = pages.schema["document_id"].dataType.simpleString()
@@ -271,7 +252,8 @@ def chunked(pages: DataFrame, size: int = 3500, overlap: int = 500) -> DataFrame
         for b in batches:
             out: list[tuple] = []
             for doc, page, text in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(doc, page, k, c) for k, (x, y) in enumerate(chunk_bounds(text or "", size, overlap)) if (c := (text or "")[x:y].strip())]
+                text = (text or "").strip()
+                out += [(doc, page, k, c) for k, (x, y) in enumerate(chunk_bounds(text, size, overlap)) if (c := text[x:y].strip())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((b.schema.field(0).type, pa.int32(), pa.int32(), pa.string()))], ["document_id", "page_start", "local", "content"])
 
     cut = pages.select("document_id", F.col("page_no").cast("int"), F.col("text").cast("string")).mapInArrow(run, f"document_id {kind}, page_start int, local int, content string")
@@ -279,14 +261,27 @@ def chunked(pages: DataFrame, size: int = 3500, overlap: int = 500) -> DataFrame
     return cut.select("document_id", "page_start", F.col("page_start").alias("page_end"), index.alias("chunk_index"), "content")
 
 
-def encoded(df: DataFrame, text_col: str, dimension: int = 64) -> DataFrame:
-    """df with embedding: hashed term counts as a unit vector; texts without terms have none."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+def hashed_terms(df: DataFrame, text_col: str, dimension: int) -> DataFrame:
+    """df with _vector: counts of terms at places by hash, as a unit vector; null for a text without terms."""
+    words = S.word_list(F.coalesce(text_col, F.lit("")), TERM, TERM_STOP)
+    place = lambda w: F.pmod(F.conv(F.left(F.md5(w), F.lit(8)), 16, 10).cast("long"), F.lit(dimension))
+    c = S.counted(df.withColumn("_places", F.transform(words, place)), "_places")
+    c = c.withColumn("_norm", F.sqrt(F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x["n"] * x["n"])))
+    c = c.withColumn("_n", F.map_from_entries(F.transform("_counts", lambda x: F.struct(x["term"].alias("k"), x["n"].alias("v")))))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0).cast("long")) / F.col("_norm"))
+    return c.withColumn("_vector", F.when(F.col("_norm") > 0, at)).drop("_places", "_counts", "_norm", "_n")
+
+
+#: Encoders by name: each adds _vector to a table.
+ENCODERS: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {"hashed_terms": hashed_terms}
+
 
-    words = df.withColumn("_words", S.word_list(F.coalesce(text_col, F.lit("")), "[a-z]{3,}", COMMON))
-    hashed = Normalizer(inputCol="_tf", outputCol="_unit").transform(HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_tf").transform(words))
-    return hashed.withColumn("embedding", F.when(F.size("_words") > 0, vector_to_array("_unit", "float32"))).drop("_words", "_tf", "_unit")
+def encoded(df: DataFrame, text_col: str, dimension: int = 64, encoder: str = "hashed_terms") -> DataFrame:
+    """df with embedding, by an encoder of ENCODERS; a vector of another length than asked for is an error, none stays null."""
+    out = ENCODERS[encoder](df, text_col, dimension)
+    told = F.concat(F.lit(f"{encoder} gave a vector of "), F.size("_vector").cast("string"), F.lit(f" places, not {dimension}"))
+    fits = F.col("_vector").isNull() | (F.size("_vector") == dimension)
+    return out.withColumn("embedding", F.when(fits, F.col("_vector").cast("array<float>")).otherwise(F.raise_error(told))).drop("_vector")
 
 
 def history_window(turns: DataFrame, conversation: str, turn: str, text: str, *, last: int = 4, budget: int = 500) -> DataFrame:

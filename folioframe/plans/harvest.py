@@ -18,7 +18,7 @@ from .registry import query
 from .sources import _hal_pages, _oai_pages, folder
 from .views import PUBLICATIONS, publications, table
 
-_TITLE = r"nullif(regexp_replace(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')), '[ /:]+$', ''), '')"
+_TITLE = r"nullif(regexp_replace(trim(regexp_replace(regexp_extract(text, '^[^.!?\n]*'), '\s+', ' ', 'g')), '[ /:]+$', ''), '')"
 
 
 def _canonical(spark, sf):

@@ -13,7 +13,7 @@ from ..operators import ranking as W
 from ..operators import retrieval as R
 from .records import AS_OF, full_records
 from .registry import query
-from .views import PUBLICATIONS, connectors, keyword_links, publications, table
+from .views import PUBLICATIONS, connectors, heading, keyword_links, publications, table
 
 
 @query("p8_quality_filter", PUBLICATIONS + "SELECT publication_id FROM publications JOIN nation ON repository_id = n_nationkey WHERE quality_score BETWEEN 20 AND 60 AND n_regionkey = 2 AND publication_year = 1995 AND NOT is_deleted")
@@ -27,9 +27,9 @@ def source_list(spark, sf):
     return table(spark, sf, "supplier").where((F.col("s_acctbal") > 0) & F.col("s_nationkey").isin(1, 2, 3)).orderBy("s_name").select("s_suppkey", "s_name")
 
 
-@query("p10_document_list", "SELECT doc_id FROM documents WHERE source = 'src3' AND contains(lower(substr(text, 1, 80)), 'the')")
+@query("p10_document_list", "SELECT doc_id FROM documents WHERE source = 'src3' AND contains(lower(regexp_extract(text, '^[^.!?\n]*')), 'the')")
 def document_list(spark, sf):
-    d = table(spark, sf, "documents").withColumn("title", F.substring("text", 1, 80))
+    d = table(spark, sf, "documents").withColumn("title", heading(F.col("text")))
     return P.facets(d, equal={"source": "src3"}, text={"title": "The"}).select("doc_id")
 
 
@@ -269,9 +269,12 @@ def similar_publications(spark, sf):
     return found.join(own, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("b")), "id").select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"), (F.col("a") == F.col("b")).alias("shared"))
 
 
-@query("r7_keyword_suggestions", r"""SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS r FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents) GROUP BY doc_id, term) WHERE r <= 8""")
+_TERM_STOP = ", ".join(f"'{w}'" for w in R.TERM_STOP)
+
+
+@query("r7_keyword_suggestions", f"""SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) AS r FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '{R.SUGGESTED}'), lambda w: w NOT IN ({_TERM_STOP}))) AS term FROM documents) GROUP BY doc_id, term) WHERE r <= 8""")
 def keyword_suggestions(spark, sf):
-    counted = S.counted(table(spark, sf, "documents").select("doc_id", S.word_list(F.col("text"), "[a-z]{4,}").alias("w")), "w")
+    counted = S.counted(table(spark, sf, "documents").select("doc_id", S.word_list(F.col("text"), R.SUGGESTED, R.TERM_STOP).alias("w")), "w")
     return S.each_count(counted, ["doc_id"], S.most_common(F.col("_counts"), 8, by_term=True)).select("doc_id", "c.term")
 
 
@@ -283,13 +286,14 @@ def summary_source(spark, sf):
     return d.join(indexed, "doc_id", "left").select("doc_id", F.when(~blank & F.col("indexed").isNotNull(), "full text").when(~blank & (F.col("doc_id") % 7 != 0), "abstract").otherwise("metadata").alias("kind"))
 
 
-_COMMON = ", ".join(f"'{w}'" for w in R.COMMON)
-
-
-@query("r2_embeddings", f"SELECT doc_id, CASE WHEN n > 0 THEN 1.0::DOUBLE END AS norm, CASE WHEN n > 0 THEN 64 END::INT AS dimension FROM (SELECT doc_id, coalesce(len(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda w: w NOT IN ({_COMMON}))), 0) AS n FROM documents)")
+@query("r2_embeddings", f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{R.TERM}'), lambda w: w NOT IN ({_TERM_STOP})) AS w FROM documents),
+p AS (SELECT doc_id, CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % 64 AS place, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
+l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM p GROUP BY doc_id)
+SELECT doc_id, i::INT AS place, CASE WHEN norm IS NOT NULL THEN round((coalesce(n, 0) / norm)::FLOAT::DOUBLE, 5) END AS component FROM w CROSS JOIN (SELECT unnest(range(64)) AS i) LEFT JOIN p ON p.doc_id = w.doc_id AND place = i LEFT JOIN l ON l.doc_id = w.doc_id""".replace("SELECT doc_id, i::INT", "SELECT w.doc_id, i::INT"))
 def embeddings(spark, sf):
+    """Every component of every document's vector; a document without terms has none."""
     e = R.encoded(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return e.select("doc_id", F.round(S.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dimension"))
+    return e.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("place"), "embedding").select("doc_id", "place", F.round(F.get("embedding", F.col("place")).cast("double"), 5).alias("component"))
 
 
 @query("r16_citation_records", r"SELECT page_id, left(trim(regexp_replace(html, '\s+', ' ', 'g')), 1200) AS excerpt, CASE WHEN regexp_matches(url, '(?i)^https?://[^/\s?#]+') THEN url END AS url FROM pages")

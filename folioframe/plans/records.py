@@ -8,7 +8,7 @@ from ..functions import scalars as S
 from ..operators import identity as D
 from ..operators import quality as Q
 from .registry import query
-from .views import PUBLICATIONS, publications, table
+from .views import HEADING, PUBLICATIONS, heading, publications, table
 
 AS_OF = "2024-07-16 00:00:00"
 
@@ -19,8 +19,8 @@ def full_records(spark, sf):
     url = F.concat(F.lit("https://repo.example.org/item/"), k.cast("string"))
     none = F.lit(None).cast("string")
     return d.select(
-        k.alias("publication_id"), F.when(k % 31 == 0, "N/A").when(k % 43 == 0, "Soils").when(k % 61 == 0, F.repeat(F.lit("Soil water "), 60)).otherwise(S.title(F.substring("text", 1, 80))).alias("title"),
-        F.when(k % 7 == 0, none).when(k % 47 == 0, "None").otherwise(S.clean(F.substring("text", 1, 600))).alias("abstract"),
+        k.alias("publication_id"), F.when(k % 31 == 0, "N/A").when(k % 43 == 0, "Soils").when(k % 61 == 0, F.repeat(F.lit("Soil water "), 60)).otherwise(S.title(heading(F.col("text")))).alias("title"),
+        F.when(k % 7 == 0, none).when(k % 47 == 0, "None").otherwise(S.clean(F.col("text"))).alias("abstract"),
         F.when(k % 19 == 0, F.array().cast("array<string>")).when(k % 23 == 0, F.array(F.lit("Abebe Kebede"), F.lit("abebe kebede "))).when(k % 53 == 0, F.array(F.lit("Aster"), F.lit("  "))).otherwise(F.array(F.concat(F.lit("Author "), (k % 97).cast("string")))).alias("authors"),
         F.when(k % 13 == 0, F.array(F.lit("  Health  "), F.lit("Health"))).otherwise(F.array(F.lit("soil"), F.col("lang"))).alias("keywords"), F.when(k % 59 == 0, F.array(F.lit(" x"))).otherwise(F.array(F.col("lang"))).alias("subjects"),
         F.when(k % 29 == 0, 3020).when(k % 67 == 0, F.lit(None).cast("int")).otherwise((2000 + k % 25).cast("int")).alias("publication_year"), F.when(k % 3 == 0, F.make_date((2000 + k % 25).cast("int"), F.lit(5), F.lit(1))).alias("publication_date"),
@@ -62,7 +62,7 @@ round((linked::INT + urls_fine::INT + apart::INT + licensed::INT + apart::INT) *
 f AS (SELECT *, round(0.3::DOUBLE * completeness_score + 0.2::DOUBLE * validity_score + 0.15::DOUBLE * consistency_score + 0.15::DOUBLE * uniqueness_score + 0.1::DOUBLE * timeliness_score + 0.1::DOUBLE * accessibility_score, 2) AS final_score FROM s),
 q AS (SELECT *, CASE WHEN final_score >= 90 THEN 'A' WHEN final_score >= 80 THEN 'B' WHEN final_score >= 70 THEN 'C' WHEN final_score >= 60 THEN 'D' ELSE 'F' END AS grade FROM f)
 """
-).replace("TITLE", _TIDY.format("substr(text, 1, 80)")).replace("ABSTRACT", _TIDY.format("substr(text, 1, 600)"))
+).replace("TITLE", _TIDY.format(HEADING)).replace("ABSTRACT", _TIDY.format("text"))
 
 
 def _kinds(column: str):

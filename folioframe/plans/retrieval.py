@@ -9,7 +9,7 @@ from ..operators import answers as A
 from ..operators import ranking as W
 from ..operators import retrieval as R
 from .registry import SQL, query
-from .views import table
+from .views import heading, table
 
 
 @query("j8_vector_topk", """SELECT query_id, id, similarity, rank::INT AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity,
@@ -21,7 +21,8 @@ def vector_topk(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-_TERMS = """CREATE_TERMS AS (SELECT ID, term, count(*) AS tf FROM (SELECT ID, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'are', 'from', 'that', 'this', 'was', 'were', 'its', 'which'))) AS term FROM TABLE_) GROUP BY ID, term)"""
+_TERM_STOP = ", ".join(f"'{w}'" for w in R.TERM_STOP)
+_TERMS = f"""CREATE_TERMS AS (SELECT ID, term, count(*) AS tf FROM (SELECT ID, unnest(list_filter(regexp_extract_all(lower(text), '{R.TERM}'), lambda w: w NOT IN ({_TERM_STOP}))) AS term FROM TABLE_) GROUP BY ID, term)"""
 _D = _TERMS.replace("CREATE_TERMS", "d").replace("TABLE_", "documents").replace("ID", "doc_id")
 _Q = _TERMS.replace("CREATE_TERMS", "q").replace("TABLE_", "benchmark").replace("ID", "item_id")
 
@@ -36,11 +37,11 @@ def lexical_search(spark, sf):
 def _catalogue(spark, sf):
     """documents that have a vector, as publications (id, title, abstract, subjects, updated_at), and the vectors."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce(S.clean(F.substring("text", 1, 80)), F.lit("")).alias("title"), S.clean(F.col("text")).alias("abstract"), F.array("lang", "source").alias("subjects"), F.timestamp_seconds(F.col("doc_id")).alias("updated_at"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce(S.clean(heading(F.col("text"))), F.lit("")).alias("title"), S.clean(F.col("text")).alias("abstract"), F.array("lang", "source").alias("subjects"), F.timestamp_seconds(F.col("doc_id")).alias("updated_at"))
     return d.join(e.select("id"), "id", "left_semi"), e.join(d.select("id"), "id", "left_semi")
 
 
-@query("r4_hybrid_search", r"""WITH d AS (SELECT doc_id AS id, coalesce(trim(regexp_replace(substr(text, 1, 80), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')), '') AS abstract, lang, source, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
+@query("r4_hybrid_search", r"""WITH d AS (SELECT doc_id AS id, coalesce(trim(regexp_replace(regexp_extract(text, '^[^.!?\n]*'), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')), '') AS abstract, lang, source, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
 q AS (SELECT id AS query_id, e, trim(lower(array_to_string(string_split(title, ' ')[1:4], ' ')) || ' ' || lang) AS phrase FROM d WHERE id % 50 = 0),
 w AS (SELECT *, list_filter(string_split(phrase, ' '), lambda x: length(x) > 2) AS words FROM q),
 near AS (SELECT query_id, id, s FROM (SELECT query_id, id, list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q.e, d.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(d.e, d.e)) DESC, id) AS r FROM q JOIN d ON d.id <> query_id) WHERE r <= 50),
@@ -62,11 +63,11 @@ def hybrid_search(spark, sf):
 _STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
 
 
-@query("r6_keywords", f"""WITH w AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(concat_ws(' ', substr(text, 1, 80), substr(text, 1, 80), text, lang || ' ' || source)), '[a-z][a-z-]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS l FROM documents))
+@query("r6_keywords", f"""WITH w AS (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(concat_ws(' ', regexp_extract(text, '^[^.!?\n]*'), regexp_extract(text, '^[^.!?\n]*'), text, lang || ' ' || source)), '[a-z][a-z-]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS l FROM documents))
 SELECT doc_id, term, round_even(n / most, 4) AS score FROM (SELECT doc_id, term, count(*) AS n, max(count(*)) OVER (PARTITION BY doc_id) AS most, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r FROM w GROUP BY doc_id, term) WHERE r <= 10""")
 def keywords(spark, sf):
     """Of whole texts; their beginning stands for a title and weighs twice more."""
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("subjects"))
+    d = table(spark, sf, "documents").select("doc_id", heading(F.col("text")).alias("title"), F.col("text").alias("abstract"), F.array("lang", "source").alias("subjects"))
     return R.extracted_keywords(d, id_col="doc_id", title="title", abstract="abstract", subjects="subjects")
 
 
@@ -110,7 +111,7 @@ def structured_summary(spark, sf):
 
 def _candidates(spark, sf, most: int):
     """The benchmark's texts as questions, with the nearest documents as ranked chunks of their sources."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.coalesce(S.clean(F.substring("text", 1, 60)), F.lit("")).alias("title"), F.col("text").alias("content"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.coalesce(S.clean(heading(F.col("text"))), F.lit("")).alias("title"), F.col("text").alias("content"))
     b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
     found = R.lexical_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), most, doc_id="doc_id", query_id="item_id")
     ranked = found.select("item_id", F.col("doc_id").alias("chunk_id"), F.col("score").alias("similarity"), "rank")

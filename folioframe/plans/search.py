@@ -8,7 +8,7 @@ from ..operators import postings as X
 from ..operators import vectors as V
 from ..sources.folders import folder
 from .registry import query
-from .views import PUBLICATIONS, publications, table
+from .views import HEADING, PUBLICATIONS, heading, publications, table
 
 
 def _chunk_index(spark, sf):
@@ -44,12 +44,11 @@ def indexed_chunks(spark, sf):
     return _neighbours(spark, sf, F.lit(True))
 
 
-#: A document's title is what stands before the first sentence's end or line break.
-_TITLE = r"regexp_extract(coalesce(text, ''), '^[^.!?\n]*')"
+_TITLE = HEADING.replace("text", "coalesce(text, '')")
 
 
 def _titles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.!?\n]*", 0).alias("title"), "text")
+    return table(spark, sf, "documents").select("doc_id", heading(F.coalesce("text", F.lit(""))).alias("title"), "text")
 
 
 def _asked(spark, sf):

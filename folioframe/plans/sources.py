@@ -8,7 +8,7 @@ from ..sources import records as R
 from ..sources.folders import folder
 from ..streaming import ingest
 from .registry import query
-from .views import table
+from .views import heading, table
 
 
 def _escaped(c):
@@ -19,14 +19,14 @@ def _oai_pages(spark, sf):
     """Ten documents a page, as a repository lists them."""
     k = F.col("doc_id")
     head = F.concat(F.lit('<header status="'), F.when(k % 17 == 0, "deleted").otherwise("ok"), F.lit('"><identifier>oai:x:'), k.cast("string"), F.lit("</identifier><datestamp>2024-01-01T00:00:00Z</datestamp><setSpec>"), F.col("source"), F.lit("</setSpec></header>"))
-    body = F.concat(F.lit("<metadata><oai_dc:dc><dc:title>"), _escaped(F.substring("text", 1, 60)), F.lit("</dc:title><dc:creator>A "), (k % 9).cast("string"), F.lit("</dc:creator><dc:creator>B</dc:creator><dc:language>"), F.col("lang"), F.lit("</dc:language></oai_dc:dc></metadata>"))
+    body = F.concat(F.lit("<metadata><oai_dc:dc><dc:title>"), _escaped(heading(F.col("text"))), F.lit("</dc:title><dc:creator>A "), (k % 9).cast("string"), F.lit("</dc:creator><dc:creator>B</dc:creator><dc:language>"), F.col("lang"), F.lit("</dc:language></oai_dc:dc></metadata>"))
     record = F.concat(F.lit("<record>"), head, F.when(k % 17 == 0, "").otherwise(body), F.lit("</record>"))
     page = table(spark, sf, "documents").groupBy("source", F.floor(k / 200).alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", record.alias("r")))), lambda x: x["r"]), "").alias("rs"), F.count("*").alias("n"))
     token = F.concat(F.lit('<resumptionToken completeListSize="1" cursor="'), (F.col("page_no") * 10).cast("string"), F.lit('">T'), F.col("page_no").cast("string"), F.lit("</resumptionToken>"))
     return page.select("source", "page_no", F.concat(F.lit('<?xml version="1.0"?><OAI-PMH><ListRecords>'), "rs", token, F.lit("</ListRecords></OAI-PMH>")).alias("xml"))
 
 
-@query("s1_oai_records", r"SELECT 'oai:x:' || doc_id AS identifier, doc_id % 17 = 0 AS deleted, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 3 + (trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) <> '')::INT END::INT AS fields FROM documents")
+@query("s1_oai_records", r"SELECT 'oai:x:' || doc_id AS identifier, doc_id % 17 = 0 AS deleted, CASE WHEN doc_id % 17 = 0 THEN 0 ELSE 3 + (trim(regexp_replace(regexp_extract(text, '^[^.!?\n]*'), '\s+', ' ', 'g')) <> '')::INT END::INT AS fields FROM documents")
 def oai_records(spark, sf):
     return R.oai_records(_oai_pages(spark, sf)).select("identifier", "deleted", F.size("fields").alias("fields"))
 
@@ -43,7 +43,7 @@ def dspace_items(spark, sf):
 
 def _hal_pages(spark, sf):
     k = F.col("doc_id")
-    metadata = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 60).alias("value"))).alias("dc.title"), F.array(F.lit("X"), F.lit("Y")).alias("dc.contributor.author"), F.concat("lang", F.lit("_ET")).alias("dc.language.iso")))
+    metadata = F.to_json(F.struct(F.array(F.struct(heading(F.col("text")).alias("value"))).alias("dc.title"), F.array(F.lit("X"), F.lit("Y")).alias("dc.contributor.author"), F.concat("lang", F.lit("_ET")).alias("dc.language.iso")))
     item = F.struct(k.cast("string").alias("uuid"), F.when(k % 7 == 0, "collection").otherwise("item").alias("type"), (k % 11 != 0).alias("inArchive"), (k % 13 == 0).alias("withdrawn"), metadata.alias("metadata"))
     wrapped = F.struct(F.struct(item.alias("indexableObject")).alias("_embedded"))
     page = table(spark, sf, "documents").groupBy(F.floor(k / 100).alias("page_no"), "source").agg(F.collect_list(wrapped).alias("objects"))
@@ -58,7 +58,7 @@ def dspace_fields(spark, sf):
 @query("s12_json_import", "SELECT doc_id // 50 AS file, count(*) AS records, count(*) FILTER (WHERE doc_id % 10 = 0) AS errors FROM documents GROUP BY 1")
 def json_import(spark, sf):
     k = F.col("doc_id")
-    row = F.when(k % 10 == 0, F.lit("3")).otherwise(F.to_json(F.struct("doc_id", F.substring("text", 1, 40).alias("title"))))
+    row = F.when(k % 10 == 0, F.lit("3")).otherwise(F.to_json(F.struct("doc_id", heading(F.col("text")).alias("title"))))
     listed = F.array_join(F.collect_list(row), ",")
     files = table(spark, sf, "documents").groupBy(F.floor(k / 50).alias("file")).agg(listed.alias("l"))
     content = F.when(F.col("file") % 3 == 0, F.concat(F.lit("["), "l", F.lit("]"))).when(F.col("file") % 3 == 1, F.concat(F.lit('{"records":['), "l", F.lit("]}"))).otherwise(F.concat(F.lit('{"items":['), "l", F.lit("]}")))

@@ -20,9 +20,9 @@ def whitespace(spark, sf):
     return documents(spark, sf).select("doc_id", F.sha2(F.coalesce(S.clean(F.col("text")), F.lit("")), 256).alias("h"))
 
 
-@query("f2_title", rf"SELECT doc_id, nullif(regexp_replace({_CLEAN.format('substr(text, 1, 80)')}, '[ /:]+$', ''), '') AS title FROM documents")
+@query("f2_title", rf"SELECT doc_id, nullif(regexp_replace({_CLEAN.format('text')}, '[ /:]+$', ''), '') AS title FROM documents")
 def titles(spark, sf):
-    return documents(spark, sf).select("doc_id", S.title(F.substring("text", 1, 80)).alias("title"))
+    return documents(spark, sf).select("doc_id", S.title(F.col("text")).alias("title"))
 
 
 @query("f3_author_name", "SELECT c_custkey, split_part(c_name, '#', 1) || ' ' || c_mktsegment AS author FROM customer")
@@ -100,9 +100,9 @@ def tolerant_dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.tolerant_date(raw).cast("string").alias("day"))
 
 
-@query("f16_identity_title", r"SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^\p{L}\p{N}_\s]', '', 'g'), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS key FROM documents")
+@query("f16_identity_title", r"SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS key FROM documents")
 def identity_titles(spark, sf):
-    return documents(spark, sf).select("doc_id", S.identity_title(F.substring("text", 1, 200)).alias("key"))
+    return documents(spark, sf).select("doc_id", S.identity_title(F.col("text")).alias("key"))
 
 
 @query("f27_mojibake", "SELECT doc_id, sha256(replace(coalesce(text, ''), 'Â', '') || CASE doc_id % 3 WHEN 0 THEN ' it''s ' WHEN 1 THEN ' \"so' ELSE ' x' END) AS h FROM documents")

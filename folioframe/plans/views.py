@@ -6,7 +6,7 @@ supplier the connectors, nation the repositories, region the institutions; docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A document's title: its first sentence or line, whatever its length, without the sign that ends it.
+HEADING = r"regexp_extract(text, '^[^.!?\n]*')"
+
+
+def heading(text: Column) -> Column:
+    return F.regexp_extract(text, r"^[^.!?\n]*", 0)
+
+
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
