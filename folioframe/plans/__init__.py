@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields", "search")
+MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields", "search", "landed")
 
 
 def all_queries() -> tuple[dict, dict]:

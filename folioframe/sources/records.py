@@ -53,18 +53,54 @@ def oai_records(pages: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def oai_page_state(pages: DataFrame, xml: str = "xml") -> DataFrame:
-    """pages with error_code, error_class (empty, permanent, transient), token, complete_size, cursor, records."""
+    """pages with error_code, error_class (empty, permanent, transient), token, complete_size, cursor, expires, records."""
     x = F.col(xml)
     code = attribute(x, "error", "code")
     kind = F.when(code == "noRecordsMatch", "empty").when(code.isin(*PERMANENT), "permanent").when(code.isNotNull(), "transient")
     return pages.withColumns(
         {
             "error_code": code, "error_class": kind, "token": element(x, "resumptionToken"), "complete_size": attribute(x, "resumptionToken", "completeListSize").try_cast("long"),
-            "cursor": attribute(x, "resumptionToken", "cursor").try_cast("long"), "records": F.regexp_count(x, F.lit(r"<(?:\w+:)?record[\s>]")),
+            "cursor": attribute(x, "resumptionToken", "cursor").try_cast("long"), "expires": F.try_to_timestamp(attribute(x, "resumptionToken", "expirationDate")), "records": F.regexp_count(x, F.lit(r"<(?:\w+:)?record[\s>]")),
         }
     )
 
 
+def elements(xml: Column, name: str) -> Column:
+    """Texts of all elements of that local name, in order, each with what it holds."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>"), F.lit(1))
+
+
+#: What a repository says of itself, by element.
+DESCRIPTION = {"repositoryName": "name", "baseURL": "base_url", "protocolVersion": "protocol", "earliestDatestamp": "earliest", "deletedRecord": "deleted_record", "granularity": "granularity"}
+
+
+def repository_descriptions(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row an Identify answer: the page's columns but the text, the fields of DESCRIPTION, and admin_emails and compressions as lists."""
+    d = pages.where(F.col(xml).rlike(r"<(?:\w+:)?Identify[\s>]"))
+    lists = {n: F.filter(F.transform(elements(F.col(xml), e), lambda v: S.clean(unescaped(v))), lambda v: v.isNotNull()) for e, n in (("adminEmail", "admin_emails"), ("compression", "compressions"))}
+    return d.withColumns({**{n: element(F.col(xml), e) for e, n in DESCRIPTION.items()}, **lists}).drop(xml)
+
+
+def metadata_formats(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row a format of ListMetadataFormats answers: position, prefix, schema, namespace; those without a prefix go."""
+    f = pages.select(*[c for c in pages.columns if c != xml], F.posexplode(elements(F.col(xml), "metadataFormat")).alias("position", "_f"))
+    return f.withColumns({"prefix": element(F.col("_f"), "metadataPrefix"), "schema": element(F.col("_f"), "schema"), "namespace": element(F.col("_f"), "metadataNamespace")}).drop("_f").where("prefix is not null")
+
+
+def set_descriptions(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row a set of ListSets answers: position, spec, name; a set without a name goes by its spec, one without a spec goes."""
+    f = pages.select(*[c for c in pages.columns if c != xml], F.posexplode(elements(F.col(xml), "set")).alias("position", "_f"))
+    return f.withColumns({"spec": element(F.col("_f"), "setSpec"), "name": F.coalesce(element(F.col("_f"), "setName"), element(F.col("_f"), "setSpec"))}).drop("_f").where("spec is not null")
+
+
+def downloads(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """What a downloader takes of list pages: records that aren't deleted and have metadata, as (identifier, title, links), links without repeats in order."""
+    r = oai_records(pages, xml).where(~F.col("deleted") & (F.size("fields") > 0) & F.col("error").isNull())
+    values = lambda key: F.transform(F.filter("fields", lambda p: p["key"] == key), lambda p: p["value"])
+    links = F.array_distinct(F.filter(F.concat(values("identifier"), values("relation"), values("source")), lambda v: F.lower(v).rlike(r"^https?://[^/\s?#]+")))
+    return r.withColumns({"title": F.get(values("title"), F.lit(0)), "links": links}).drop("fields", "raw_xml", "sets", "error")
+
+
 def completeness(states: DataFrame, source: str = "source") -> DataFrame:
     """Per source: pages, records landed and promised, tokens seen twice."""
     g = states.groupBy(source).agg(F.count("*").alias("pages"), F.sum("records").cast("long").alias("records"), F.max("complete_size").alias("promised"), (F.count("token") - F.count_distinct("token")).alias("repeated_tokens"))
