@@ -57,10 +57,10 @@ def language(c: Column) -> Column:
 
 
 def url(c: Column) -> Column:
-    """Scheme and host in lower case, path and query as they are, no fragment; null without scheme or host."""
+    """Scheme and host in lower case, path and query as they are, no fragment and no parameters of the last part of the path; null without scheme or host."""
     pattern = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\s]+)([^?#]*)(\?[^#]*)?(#.*)?$"
     part = lambda k: F.regexp_extract(c, pattern, k)
-    return F.when(c.rlike(pattern), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.trim(part(3)), F.trim(part(4))))
+    return F.when(c.rlike(pattern), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.regexp_replace(F.trim(part(3)), ";[^/]*$", ""), F.trim(part(4))))
 
 
 def date(c: Column) -> Column:
@@ -73,13 +73,21 @@ def date(c: Column) -> Column:
     )
 
 
-#: The forms in which dates are given, tried in this order.
-DATE_FORMS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy-MM", "MMMM yyyy", "yyyy")
+#: The forms in which dates are given, tried in this order, and an ending that is no part of them.
+DATE_FORMS = ("yyyy-M-d", "yyyy-M", "yyyy", "M/d/yyyy", "M/d/yy", "MMMM, yyyy", "MMMM yyyy", "MMM, yyyy", "MMM yyyy")
+DATE_ENDING = "aau"
 
 
 def tolerant_date(c: Column, low: int = 1800, high: int = 2100) -> Column:
-    tried = F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in DATE_FORMS])
-    return F.when(F.year(tried).between(low, high), tried)
+    """The day of a date in one of DATE_FORMS or of an ISO date and time, as it stands there; a month's or year's first. Two digits of a year are 1969 to 2068."""
+    x = F.trim(F.regexp_replace(F.trim(c), f"(?i){DATE_ENDING}$", ""))
+    x = F.regexp_replace(x, r"^0(?=\d{4}-\d{2}-\d{2}$)", "")
+    short = x.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$")
+    day = lambda f: F.to_date(F.try_to_timestamp(x, F.lit(f)))
+    tried = F.coalesce(*[F.when(short, F.when(F.year(day(f)) > 2068, F.add_months(day(f), -1200)).otherwise(day(f))) if f == "M/d/yy" else F.when(~short, day(f)) for f in DATE_FORMS])
+    iso = F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & x.try_cast("timestamp").isNotNull(), F.try_to_date(F.left(x, F.lit(10)), "yyyy-MM-dd"))
+    found = F.coalesce(tried, iso)
+    return F.when(F.year(found).between(low, high), found)
 
 
 def year(c: Column) -> Column:
@@ -115,6 +123,11 @@ def bounded_title(c: Column, most: int = 1000) -> Column:
     return F.when(F.length(x) <= most, x)
 
 
+def metadata_hash(title: Column, publication_year: Column, doi_: Column, url_: Column, authors: Column) -> Column:
+    """One hash of what a citation shows; nulls, and lists of names, stay apart from their neighbours."""
+    return F.sha2(F.to_json(F.array(F.to_json(F.struct(title.alias("t"))), F.to_json(F.struct(publication_year.alias("y"))), F.to_json(F.struct(doi_.alias("d"))), F.to_json(F.struct(url_.alias("u"))), F.to_json(F.struct(authors.alias("a"))))), 256)
+
+
 def first_value(*columns: Column) -> Column:
     return F.coalesce(*[clean(c) for c in columns])
 

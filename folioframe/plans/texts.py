@@ -74,7 +74,9 @@ def languages(spark, sf):
 
 @query("f9_url", r"SELECT page_id, lower(regexp_extract(url, '^[^:]+://[^/?#]+')) || regexp_replace(regexp_replace(url, '^[^:]+://[^/?#]+', ''), '#.*$', '') AS url FROM pages")
 def urls(spark, sf):
-    return table(spark, sf, "pages").select("page_id", S.url(F.col("url")).alias("url"))
+    """Parameters put behind the path of every third address go again."""
+    given = F.when((F.col("page_id") % 3 == 0) & F.col("url").rlike("://[^/?#]+/"), F.regexp_replace("url", r"^([^?#]*)", "$1;session=4")).otherwise(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", S.url(given).alias("url"))
 
 
 @query("f10_date", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE WHEN 2 THEN date_trunc('year', o_orderdate)::DATE END::VARCHAR AS day FROM orders""")
@@ -94,9 +96,11 @@ def term_lists(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(S.terms(raw), "|").alias("terms"))
 
 
-@query("f13_tolerant_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate::DATE END::VARCHAR AS day FROM orders")
+@query("f13_tolerant_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 9 IN (0, 1, 2, 3, 4) THEN o_orderdate::DATE WHEN o_orderkey % 9 IN (5, 6) THEN date_trunc('month', o_orderdate)::DATE WHEN o_orderkey % 9 = 7 THEN date_trunc('year', o_orderdate)::DATE END::VARCHAR AS day FROM orders""")
 def tolerant_dates(spark, sf):
-    raw = F.expr("CASE o_orderkey % 5 WHEN 0 THEN date_format(o_orderdate, 'yyyy/MM/dd') WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 2 THEN date_format(o_orderdate, 'MMMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'd MMMM yyyy') ELSE '0001-01-01' END")
+    """Each form, the repaired ones and one out of range, by turns."""
+    raw = F.expr("""CASE o_orderkey % 9 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') || 'AAU' WHEN 1 THEN date_format(o_orderdate, 'M/d/yyyy') WHEN 2 THEN date_format(o_orderdate, 'M/d/yy') WHEN 3 THEN '0' || date_format(o_orderdate, 'yyyy-MM-dd')
+        WHEN 4 THEN date_format(o_orderdate, 'yyyy-MM-dd') || 'T23:30:00+03:00' WHEN 5 THEN date_format(o_orderdate, 'MMMM, yyyy') WHEN 6 THEN upper(date_format(o_orderdate, 'MMM yyyy')) WHEN 7 THEN date_format(o_orderdate, ' yyyy ') ELSE '0001-01-01' END""")
     return table(spark, sf, "orders").select("o_orderkey", S.tolerant_date(raw).cast("string").alias("day"))
 
 
