@@ -287,6 +287,7 @@ def first_pass_score(required: list[Column], optional: list[Column], doi_column:
     return F.least(F.lit(100), 12 * present(required) + 6 * present(optional) + 10 * present([doi_column]))
 
 
+#: The styles, and below the texts of each: words, signs and field names as these formats have them.
 CITATION_STYLES = ("apa7", "mla9", "chicago-author-date", "chicago-notes", "harvard", "ieee", "vancouver", "bibtex", "ris", "csl-json")
 
 

@@ -41,7 +41,7 @@ def checks(as_of: str) -> list[Check]:
     """35 checks over the columns of a publication at a given time.
 
     issue is one of missing, error and warning. Null is what a missing value is: rules that ask for one
-    fail without a further issue, others pass.
+    fail without a further issue, others pass. Names, messages and limits of the checks are fixed values.
     """
     now = F.lit(as_of).cast("timestamp")
     c = F.col

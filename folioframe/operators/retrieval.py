@@ -170,7 +170,7 @@ def extracted_keywords(docs: DataFrame, n: int = 10, *, id_col: str, title: str,
 
 
 def summary(title: Column, abstract: Column, kind: str = "short", most: int = 900) -> Column:
-    """Summary of an abstract by its first sentences: two if short or in plain language, else five; or structured."""
+    """Summary of an abstract by its first sentences: two if short or in plain language, else five; or structured. The texts around them are fixed values."""
     parts = F.filter(F.transform(F.split(abstract, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
     n = 2 if kind in ("short", "plain-language") else 5
     none = F.concat(F.lit("Abstract-only summary unavailable: "), title, F.lit(" has no abstract."))
@@ -312,6 +312,25 @@ def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
 LINK = r"""(?i)(?:href|src)\s*=\s*["']([^"'>\s]+)["']"""
 
 
+#: What an address of a document holds.
+DOCUMENT = r"(?i)^[^?#]*(?:\.pdf|/bitstreams?/[^?#]+/content)"
+
+
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page, position, link): the addresses in href and src attributes, in order."""
     return pages.select(id_col, F.posexplode(F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1))).alias("position", "link"))
+
+
+def document_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page, position, link): the first place of each address of a document in a page, joined to the page's own, on the page's host.
+
+    An address is taken as it is, below the page's scheme, host or folder, as it begins. Pages without a
+    web address have no host and give nothing.
+    """
+    found = pages.select(id_col, F.col(url_col).alias("_url"), F.posexplode(F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1))).alias("position", "_raw")).where(F.col("_raw").rlike(DOCUMENT))
+    part = lambda k: F.regexp_extract("_url", r"(?i)^\s*(https?):(//[^/?#\s]+)([^?#]*)", k)
+    below = F.concat(part(1), F.lit(":"), part(2), F.when(F.contains(part(3), F.lit("/")), F.regexp_extract(part(3), "^(.*/)", 1)).otherwise("/"), "_raw")
+    link = F.when(F.col("_raw").rlike(r"(?i)^https?://"), F.col("_raw")).when(F.startswith("_raw", F.lit("//")), F.concat(part(1), F.lit(":"), "_raw")).when(F.startswith("_raw", F.lit("/")), F.concat(part(1), F.lit(":"), part(2), "_raw")).when(~F.col("_raw").rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), below)
+    host = lambda c: F.lower(F.regexp_extract(c, r"(?i)^\s*https?://(?:[^@/?#]*@)?([^/?#:\s]+)", 1))
+    same = found.withColumn("link", link).where((host(F.col("link")) == host(F.col("_url"))) & (host(F.col("_url")) != ""))
+    return same.groupBy(id_col, "link").agg(F.min("position").alias("position")).select(id_col, "position", "link")

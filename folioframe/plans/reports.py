@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..operators import quality as Q
 from ..operators import ranking as W
 from ..operators import reports as X
+from ..operators import retrieval as R
 from .records import AS_OF, QUALITY, full_records
 from .registry import query
 from .views import PUBLICATIONS, heading, publications, table
@@ -97,3 +98,14 @@ def all_invalidations(spark, sf):
     as_text = lambda df: df.withColumns({c: F.to_json(c) for c in ("names", "keywords")})
     touched = W.changes(as_text(p), as_text(new), "publication_id", ["title", "abstract", "source_type", "names", "keywords"]).select("publication_id", F.lit(True).alias("t")).distinct()
     return p.join(touched, "publication_id", "left").select("publication_id", F.when(F.col("t").isNull(), F.sha2(F.concat("title", F.coalesce("abstract", F.lit(""))), 256)).alias("content_hash"))
+
+
+@query("r17_document_links", f"""WITH p AS (SELECT page_id, len(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["''][^"''>\\s]+["'']')) AS before, regexp_extract(url, '(?i)^(https?://[^/?#]+)', 1) AS root FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/?#]+')),
+own AS (SELECT page_id, before, root, i, CASE i WHEN 0 THEN root || '/files/' || page_id || '.PDF?x=1' WHEN 2 THEN root || '/bitstreams/' || page_id || '/content' END AS link FROM p, (SELECT unnest([0, 2]) AS i) WHERE i = 0 OR page_id % 3 = 0)
+SELECT page_id, (before + i)::INT AS position, link FROM own""".replace("\\\\", "\\"))
+def document_links(spark, sf):
+    """Links to documents on a page's host: to each page are added one of a file, one elsewhere, one of a bitstream in every third, and a repeat."""
+    k = F.col("page_id").cast("string")
+    third = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<a href="/bitstreams/'), k, F.lit('/content">b</a>'))).otherwise("")
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="/files/'), k, F.lit('.PDF?x=1">f</a><a href="https://elsewhere.example.net/x.pdf">e</a>'), third, F.lit('<iframe src=\'/files/'), k, F.lit(".PDF?x=1'></iframe><a href='/about?to=a.pdf'>n</a>"))
+    return R.document_links(table(spark, sf, "pages").select("page_id", "url", html.alias("html")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import scalars as S
 from folioframe.operators import identity as D
 from folioframe.operators import quality as Q
+from folioframe.operators import reports as P
 from folioframe.operators import retrieval as R
 from folioframe.sources import records as X
 
@@ -113,3 +114,32 @@ def test_chunks():
     assert bounds[0][0] == 0 and bounds[-1][1] == len(text) and all(b - a <= 3500 for a, b in bounds)
     assert all(y[0] < x[1] and text[x[1] - 1] in ". " for x, y in zip(bounds, bounds[1:]))
     assert R.chunk_bounds("", 10, 2) == []
+
+
+def test_addresses_and_dates_by_their_rules(spark):
+    assert one(spark, S.url, "http://a.b/x;y/z;s=1?q;r#f") == "http://a.b/x;y/z?q;r"
+    given = {"2018-06-14aau": "2018-06-14", "02023-12-06": "2023-12-06", "3/4/2022": "2022-03-04", "3/4/71": "1971-03-04", "12/31/68": "2068-12-31", "January, 2025": "2025-01-01", "jan 2025": "2025-01-01", "2023-06": "2023-06-01", "2023": "2023-01-01", " 2024-01-05T23:59:00-05:00 ": "2024-01-05", "1799": None, "2101-01-01": None, "15/06/2023": None, "soon": None, "": None}
+    frame = spark.createDataFrame([(k,) for k in given], "t string").select("t", S.tolerant_date(F.col("t")).cast("string").alias("d"))
+    assert {r.t: r.d for r in frame.collect()} == given
+
+
+def test_document_links(spark):
+    html = """<a href="a.pdf"><a href='/b/c.PDF?d=1'><img src="//h.org/e.pdf"><a href="http://H.org:80/f.pdf"><a href="https://x.org/g.pdf"><a href="/bitstream/1/2/content"><a href="/h?x=i.pdf"><a href="mailto:a.pdf"><a href="a.pdf">"""
+    rows = [(1, "http://h.org/d/page?x=/y", html), (2, "http://h.org", '<a href="a.pdf">'), (3, None, html), (4, "ftp://h.org/", html), (5, "http://h.org/", None)]
+    got = {}
+    for r in R.document_links(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id", "position").collect():
+        got.setdefault(r.page_id, []).append((r.position, r.link))
+    assert got == {1: [(0, "http://h.org/d/a.pdf"), (1, "http://h.org/b/c.PDF?d=1"), (2, "http://h.org/e.pdf"), (3, "http://H.org:80/f.pdf"), (5, "http://h.org/bitstream/1/2/content")], 2: [(0, "http://h.org/a.pdf")]}
+
+
+def test_import_report_and_changes(spark):
+    rows = [(None, k, k, f"t{k}", f"t{k}", k % 5 == 0, None if k % 2 else "bad") for k in range(50)] + [("r", 1, 7, "x", None, None, None)]
+    frame = spark.createDataFrame(rows, "run string, record_index int, record_id int, title string, key_title string, is_deleted boolean, error string")
+    stored = spark.createDataFrame([("t1",), (None,)], "key_title string")
+    got = {r.run: r for r in P.import_report(frame, stored, sample=3, most_errors=2).collect()}
+    assert (got[None].seen, got[None].valid, got[None].invalid, got[None].active, got[None].deleted, got[None].likely_creates) == (50, 25, 25, 20, 5, 19)
+    assert got[None].sample == [1, 3, 5] and [tuple(e) for e in got[None].errors] == [(0, "bad"), (2, "bad")] and got["r"].errors == [] and got["r"].sample == [7]
+    kinds = "id int, final_score double, grade string, missing_fields array<string>"
+    old, new = spark.createDataFrame([(1, 1.0, "A", ["x"]), (2, None, "B", [])], kinds), spark.createDataFrame([(1, 1.0, "B", ["x", "y"]), (2, None, "B", []), (3, 1.0, "A", [])], kinds)
+    changed = {r.id: r.changed for r in P.changed_reports(old, new, "id", ("final_score", "grade", "missing_fields")).collect()}
+    assert changed == {1: ["grade", "missing_fields"], 3: ["final_score", "grade", "missing_fields"]}
