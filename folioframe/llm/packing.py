@@ -30,6 +30,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import mapped, shared_dir
 
@@ -163,7 +164,7 @@ def write_packed(
     bits = width(max(vocabulary_size(tokenizer), end_id + 1))
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow_kind = pa.list_(pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string())
+    arrow_kind = pa.list_(to_arrow_type(docs.schema[id_col].dataType))
     frame = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     dealt = frame.repartitionByRange(shards or ranges(docs.sparkSession), "_id").sortWithinPartitions("_id", "_text")
     names = ["shard", "segment", "ids_before", "n_ids", "doc_ids", "doc_ends", "payload"]

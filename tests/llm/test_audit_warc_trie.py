@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import audit, trie, warc
+from folioframe.llm import audit, packing, trie, warc
 
 DOCS = "doc_id bigint, text string, source string, part string, bits int, mask int, n int"
 
@@ -189,3 +190,13 @@ def test_ends_over_many_ranges(spark):
     ids = [(b"x" * 16, i * 7 - 200) for i in range(300)] + [(b"y" * 16, 5)]
     got = {bytes(r[0]): r[1] for r in trie.ends(spark.createDataFrame(ids, "path binary, conv_id long").repartition(3)).collect()}
     assert got == {p: hashlib.sha256(",".join(str(c) for q, c in sorted(ids) if q == p).encode()).hexdigest() for p in (b"x" * 16, b"y" * 16)}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "date", "decimal(12,2)", "string"])
+def test_packed_ids_of_any_type(spark, kind):
+    """Ids come back as they were, whatever their type; nulls first."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(4).select(F.when(F.col("id") > 0, F.expr("date_add(date'2024-01-01', int(id))") if kind == "date" else F.col("id")).cast(kind).alias("doc_id"), F.concat(F.lit("soil "), F.col("id").cast("string")).alias("text"))
+    got = packing.packed_digest(docs, path).orderBy("start").collect()
+    want = [r.doc_id for r in docs.orderBy("doc_id").collect()]
+    assert [r.doc_id for r in got] == want and got[0].doc_id is None
