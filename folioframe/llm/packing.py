@@ -17,6 +17,8 @@ block takes bits k * bits to (k + 1) * bits - 1, the lowest bit first.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 import unicodedata
 import uuid
@@ -147,6 +149,13 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+def trimmed() -> None:
+    """Gives back to the system what earlier tasks of this worker have freed: a reused worker keeps it otherwise."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ranges(spark: SparkSession) -> int:
     """Shards of a corpus: as many as the session deals shuffled data to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -170,6 +179,7 @@ def write_packed(
     names = ["shard", "segment", "ids_before", "n_ids", "doc_ids", "doc_ends", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
         encode, shard = encoder(tokenizer).ids, TaskContext.get().partitionId()
         segment = before = n = 0
         ids: list[bytes] = []
