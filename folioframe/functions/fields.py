@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scalars as S
 
@@ -98,3 +99,31 @@ def labelled_text(parts: dict[str, Column], most: int = 30_000, twice: str | Non
 
 def import_key(external_id: Column, uuid: Column, handle_column: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (external_id, uuid, handle_column)])
+
+
+def json_safe(c: Column, kind: T.DataType) -> Column:
+    """A value of any type with dates and times in ISO form and decimals as text, at any depth; keys of maps become text. Nulls stay.
+
+    A time has six digits of fraction if it has any, and the session's offset unless it is without a zone.
+    """
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        zone = "xxx" if isinstance(kind, T.TimestampType) else ""
+        return F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss{zone}")).otherwise(F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS{zone}"))
+    if isinstance(kind, T.DecimalType):
+        return c.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), json_safe(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[json_safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def shares(given: dict[str, Column], default: dict[str, float]) -> dict[str, Column]:
+    """Weights by row that sum to one: nulls and names not given take the default, negatives count as none, nothing left means the defaults."""
+    raw = {k: F.greatest(F.coalesce(given[k].cast("double"), F.lit(v)), F.lit(0.0)) if k in given else F.lit(max(v, 0.0)) for k, v in default.items()}
+    total, whole = sum(raw.values(), F.lit(0.0)), sum(default.values())
+    return {k: F.when(total > 0, raw[k] / total).otherwise(F.lit(v / whole)) for k, v in default.items()}

@@ -246,10 +246,10 @@ def bounded(score: Column) -> Column:
 
 
 def weights(given: dict[str, float] | None, default: dict[str, float]) -> dict[str, float]:
-    """Shares that sum to one; negatives count as none, nothing left means the defaults."""
-    raw = {k: max(0.0, float((given or {}).get(k, 0.0 if given else v))) for k, v in default.items()}
+    """Shares that sum to one; names not given keep their default, negatives count as none, nothing left means the defaults."""
+    raw = {k: max(0.0, float((given or {}).get(k, v))) for k, v in default.items()}
     total = sum(raw.values())
-    return {k: v / total for k, v in (raw if total else default).items()} if total else weights(default, default)
+    return {k: v / total for k, v in raw.items()} if total else weights(None, default)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields", "search", "landed", "reports", "flows")
+MODULES = ("catalogue", "texts", "records", "retrieval", "sources", "more", "harvest", "fields", "search", "landed", "mapped", "reports", "flows")
 
 
 def all_queries() -> tuple[dict, dict]:

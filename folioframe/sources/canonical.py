@@ -53,7 +53,7 @@ def canonical(records: DataFrame, fields: str = "m") -> DataFrame:
 
 
 #: Names that a field goes by in import rows, in order.
-FIELD_NAMES = {"title": ("dc.title", "title", "name"), "external_id": ("external_id", "uuid", "handle", "id"), "doi": ("doi", "dc.identifier.doi"), "year": ("publication_year", "year", "publication_date", "dc.date.issued"), "language": ("language", "dc.language"), "abstract": ("abstract", "dc.description.abstract", "description")}
+FIELD_NAMES = {"title": ("title", "dc.title", "name"), "external_id": ("external_id", "uuid", "handle", "id"), "doi": ("doi", "dc.identifier.doi"), "year": ("publication_year", "year", "publication_date", "dc.date.issued"), "language": ("language", "dc.language"), "abstract": ("abstract", "dc.description.abstract", "description")}
 
 
 def imported(rows: DataFrame, raw: str = "raw") -> DataFrame:

@@ -34,7 +34,7 @@ def test_scalars(spark):
     assert [one(spark, S.language, x) for x in ("tir", "Tigrinya", "Afaan Oromo", "eng")] == ["ti", "ti", "afaan oromo", "en"]
     assert one(spark, S.clean_pages, "exam-\nple  x\n\n\n\ny") == "example x\n\ny"
     assert one(spark, S.document_title, "/a/12_My_report-one.pdf") == "My report one"
-    assert S.weights({"completeness": 10}, Q.WEIGHTS)["completeness"] == 1.0 and abs(sum(S.weights({"completeness": -1}, Q.WEIGHTS).values()) - 1) < 1e-9
+    assert abs(S.weights({"completeness": 1.3}, Q.WEIGHTS)["completeness"] - 0.65) < 1e-9 and S.weights({"timeliness": -1}, Q.WEIGHTS)["timeliness"] == 0.0 and S.weights(dict.fromkeys(Q.WEIGHTS, 0), Q.WEIGHTS) == S.weights(None, Q.WEIGHTS) and abs(sum(S.weights({"completeness": -1}, Q.WEIGHTS).values()) - 1) < 1e-9
 
 
 def test_citations(spark):
@@ -72,7 +72,8 @@ def test_quality(spark):
     assert c.missing_fields == ["title", "authors", "abstract", "publication_date", "repository_identifier", "external_id", "source_provenance", "raw_metadata", "harvested_at", "article_url"]
     assert c.validation_errors == [] and c.completeness_score == 0.0 and c.validity_score == 66.67 and c.grade == "F"
     only = Q.assessed(spark.createDataFrame([poor], RECORD), "2024-07-16", {"completeness": 10.0, "validity": -3.0}).first()
-    assert only.final_score == only.completeness_score
+    # by hand: 10, 0 and the defaults 0.15, 0.15, 0.1, 0.1 over 10.5
+    assert only.final_score == 74.48
     rows = Q.issues(spark.createDataFrame([(1, ["doi"], ["invalid_doi: DOI is bad."], [], ["Provide doi metadata."])], "publication_id int, missing_fields array<string>, validation_errors array<string>, warnings array<string>, recommendations array<string>"), "publication_id")
     assert {(r.category, r.issue_type) for r in rows.collect()} == {("missing_field", "missing_doi"), ("validation_error", "invalid_doi"), ("recommendation", "provide_doi_metadata")}
 
