@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import dropped, saved, scratch
+from folioframe.llm.common import dropped, parted, saved, scratch
 from folioframe.llm.decontamination import contamination
 from folioframe.llm.jaccard import near_copies
 from folioframe.llm.language import accepted_documents
@@ -33,11 +33,14 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     gone = saved(of.where("not stays").select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_gone")).distinct(), "gone")
     twice = of.where("stays").groupBy("doc_id", "_tid").count().where("count > 1")
     twice = saved(twice.select(F.col("doc_id").alias("_id"), F.col("_tid").alias("_twice")), "twice")
-    marked = docs.withColumn("_tid", F.xxhash64("text"))
-    left = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_gone")), "left_anti")
+    # Only rows that either list may name are shuffled with their texts.
+    lists = gone.unionByName(twice.withColumnRenamed("_twice", "_gone")).select(F.col("_id").alias("doc_id"), F.col("_gone").alias("_tid"))
+    listed, rest = parted(docs.withColumn("_tid", F.xxhash64("text")), lists, ["doc_id", "_tid"])
+    left = listed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_gone")), "left_anti")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tid") == F.col("_twice"))
     one = left.join(twice, same, "left_semi").groupBy("doc_id", "_tid").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_d"))
-    return left.join(twice, same, "left_anti").select(docs.columns).unionByName(one.select("doc_id", "_d.*"))
+    kept = left.join(twice, same, "left_anti").select(docs.columns)
+    return rest.select(docs.columns).unionByName(kept).unionByName(one.select("doc_id", "_d.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, mapped, saved, scratch, spread_join, strips, texts
+from .common import components, dropped, mapped, parted, saved, scratch, spread_join, strips, texts
 from .simhash import majority, near_links
 
 SHINGLE, LEAST = 5, 0.8
@@ -66,9 +66,10 @@ def _pairs(sid: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray, lea
 
 
 def _candidates(postings: DataFrame, least: float, large: str | None = None) -> DataFrame:
-    """(a, b) of postings (key, sid, n, at): all pairs of small groups and chains of large ones, whose keys stand as (key, null).
+    """(a, b, key, n, at) of postings (key, sid, n, at): all pairs of small groups and chains of large ones, as (a, b) and nulls, and
+    the postings of the large ones, with a as their sid and b null: they need no second shuffle of all postings.
 
-    large: of large groups only, by the further column root, in this mode.
+    large: of large groups only, by the further column root, in this mode, and (a, b) alone.
     """
 
     names = ["key", "sid", "n", "at"] + ["root"] * bool(large)
@@ -81,9 +82,12 @@ def _candidates(postings: DataFrame, least: float, large: str | None = None) ->
             cuts = np.nonzero(k[1:] != k[:-1])[0] + 1
             begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
             a, b, held_back = [], [], 0
-            if not large and (ends - begins > GROUP).any():
-                keys = k[begins[ends - begins > GROUP]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
+            if not large:
+                crowd = np.nonzero(np.repeat(ends - begins > GROUP, ends - begins))[0]
+                for i in range(0, len(crowd), 1 << 16):
+                    key, sid, n, at = (c[crowd[i : i + (1 << 16)]] for c in cols)
+                    row = pa.array(sid), pa.nulls(len(sid), pa.int64()), pa.array(key), pa.array(n, pa.int32()), pa.array(at, pa.int32())
+                    yield pa.RecordBatch.from_arrays([*row], ["a", "b", "key", "n", "at"])
             wanted = np.nonzero(ends - begins > (GROUP if large else 1))[0]
             for i, j in zip(begins[wanted].tolist(), ends[wanted].tolist()):
                 mode = large or ("chain" if j - i > GROUP else "all")
@@ -100,7 +104,11 @@ def _candidates(postings: DataFrame, least: float, large: str | None = None) ->
         def out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
             x, y = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0].copy()), pa.array(pairs[1].copy())], ["a", "b"])
+            a_b = [pa.array(pairs[0].copy()), pa.array(pairs[1].copy())]
+            if large:
+                return pa.RecordBatch.from_arrays(a_b, ["a", "b"])
+            none = [pa.nulls(pairs.shape[1], kind) for kind in (pa.int64(), pa.int32(), pa.int32())]
+            return pa.RecordBatch.from_arrays([*a_b, *none], ["a", "b", "key", "n", "at"])
 
         for strip in strips(batches):
             cols = [np.concatenate([h, c]) for h, c in zip(held, strip)]
@@ -113,7 +121,7 @@ def _candidates(postings: DataFrame, least: float, large: str | None = None) ->
 
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = postings.select(names).repartition(parts, "key").sortWithinPartitions("key")
-    return mapped(dealt, compare, "a bigint, b bigint").distinct()
+    return mapped(dealt, compare, "a bigint, b bigint" + ", key bigint, n int, at int" * (not large)).distinct()
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -145,7 +153,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    few = sketches.select("sid", "n", "sketch").join(ids, "sid", "left_semi")
+    few = parted(sketches.select("sid", "n", "sketch"), ids, ["sid"])[0].join(ids, "sid", "left_semi")
     side = lambda c: few.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
     return saved(mapped(both, check, "a bigint, b bigint"), "possible")
@@ -156,7 +164,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, own: DataFrame, least: float, word
     pairs = _possible(pairs, sets, least)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = saved(sets.select("sid", "_tid").join(ids, "sid"), "wanted")
-    found = saved(own.join(wanted, "_tid").select("sid", "_text").dropDuplicates(["sid"]), "found")
+    found = saved(parted(own, wanted, ["_tid"])[0].join(wanted, "_tid").select("sid", "_text").dropDuplicates(["sid"]), "found")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,9 +265,8 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, least: float, word
 
     postings = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
     first = saved(_candidates(postings, least), "first")
-    links = links.unionByName(alike(first.where("b is not null").join(links, ["a", "b"], "left_anti")))
-    crowded = first.where("b is null").select(F.col("a").alias("key"))
-    crowd = saved(postings.join(crowded, "key"), "crowd")
+    links = links.unionByName(alike(first.where("b is not null").select("a", "b").join(links, ["a", "b"], "left_anti")))
+    crowd = first.where("b is null").select("key", F.col("a").alias("sid"), "n", "at")
     for mode in ("dealt", "all"):
         roots = saved(components(links), "roots")
         apart = crowd.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -264,6 +264,44 @@ def test_pipeline_keeps_one_row_a_group(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_parted_loses_no_partner(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITS", 128)  # so full that keys share bits
+    big = spark.createDataFrame([(k if k % 7 else None, str(k % 3)) for k in range(300)], "k bigint, s string")
+    small = spark.createDataFrame([(5, "2"), (8, "2"), (None, "0"), (1000, "1")], "k int, s string")
+    may, rest = common.parted(big, small, ["k", "s"])
+    keys = {tuple(r) for r in small.collect()}
+    first, second = ([tuple(r) for r in d.collect()] for d in (may, rest))
+    assert sorted(first + second, key=repr) == sorted((tuple(r) for r in big.collect()), key=repr)
+    assert sum(r in keys for r in first) == 2 + 15 and not any(r in keys for r in second) and len(second) > 200
+    none = common.parted(big, small.limit(0), ["k", "s"])
+    assert [d.count() for d in none] == [0, 300]
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    doubles = sc._gateway.new_array(sc._gateway.jvm.double, 0)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pipeline_near_copies_move_few_texts(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(19)
+    texts = [" ".join("%016x" % x * 500 for x in rng.integers(0, 1 << 62, 4)) + rng.bytes(15000).hex() for _ in range(100)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([*texts, texts[3], texts[4]])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/d")
+    kept, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where no list is small
+    try:
+        got = pipeline.near_duplicate(spark, spark.read.parquet(f"{tmp_path}/d"), "").select("doc_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted(r.doc_id for r in got) == list(range(100))
+    assert shuffled(spark) - before < 15000 * 100 / 2
+
+
 def test_fuzzy_keys_miss_no_pair():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * 2 + rng.integers(0, 2, 3000).astype(np.uint64)
