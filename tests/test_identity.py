@@ -34,6 +34,39 @@ def test_match_reaches_all_rows_of_the_year(spark):
     assert got == want and len(want) > 150
 
 
+def test_match_of_numbered_titles_meets_few(spark, monkeypatch):
+    """Titles that differ in a number only: each record meets a few of its year's rows, and the best is exact; with and without its own row."""
+    rng = random.Random(7)
+    kinds = ["1urgent", "2high", "4not specified", "5low"]
+    numbers = rng.sample(range(10, 120000), 3000)
+    stored = [(i, None, None, None, f"study {n} of {kinds[n % 4]}", 2000, None, i % 3 == 0, i) for i, n in enumerate(numbers)]
+    stored += [(5000 + i, None, None, None, "", 2000, None, False, 0) for i in range(2)] + [(6000, None, None, None, "7" * 60, 2000, None, False, 0)]
+    records = [(i, None, None, None, stored[i][4] + "s", 2000, None) for i in range(0, 3000, 60)] + [(i, None, None, None, stored[i][4] + "s", 2000, None) for i in range(1, 3000, 300)]
+    records += [(7000, None, None, None, "", 2000, None), (7001, None, None, None, "7" * 58, 2000, None), (7002, None, None, None, "a title of other words", 2000, None), (7003, None, None, None, "study of 5low", 2000, None)]
+    want = {}
+    for r in records:
+        m, best = SequenceMatcher(None), None
+        m.set_seq2(r[4])
+        for s in stored:
+            m.set_seq1(s[4])
+            if not s[7] and m.real_quick_ratio() >= 0.92 and m.quick_ratio() >= 0.92:
+                score = SequenceMatcher(None, r[4], s[4]).ratio()
+                if score >= 0.92 and (best is None or (-score, s[0]) < best):
+                    best = (-score, s[0])
+        if best:
+            want[r[0]] = best[1]
+    met, scored = [], identity.scored_titles
+
+    def counted(pairs, least):
+        met.append(pairs.select("record_id", "publication_id").distinct().count())
+        return scored(pairs, least)
+
+    monkeypatch.setattr(identity, "scored_titles", counted)
+    got = {r.record_id: r.publication_id for r in identity.match(spark.createDataFrame(records, RECORD), spark.createDataFrame(stored, STORED)).collect()}
+    assert got == want and len(want) > 30
+    assert 50 * sum(met) < len(records) * len(stored)
+
+
 def test_duplicate_pairs_of_a_crowded_opening(spark):
     """Titles of six words with one opening of four, each twice with another last word."""
     rng = random.Random(4)
