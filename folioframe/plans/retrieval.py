@@ -8,6 +8,8 @@ from ..functions import scalars as S
 from ..operators import answers as A
 from ..operators import ranking as W
 from ..operators import retrieval as R
+from ..operators.postings import may_meet
+from ..sources.folders import folder
 from .registry import SQL, query
 from .views import heading, table
 
@@ -35,10 +37,13 @@ def lexical_search(spark, sf):
 
 
 def _catalogue(spark, sf):
-    """documents that have a vector, as publications (id, title, abstract, subjects, updated_at), and the vectors."""
+    """documents that have a vector, as publications (id, title, abstract, subjects, updated_at), and the vectors. The documents are written once; the texts of others aren't moved."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce(S.clean(heading(F.col("text"))), F.lit("")).alias("title"), S.clean(F.col("text")).alias("abstract"), F.array("lang", "source").alias("subjects"), F.timestamp_seconds(F.col("doc_id")).alias("updated_at"))
-    return d.join(e.select("id"), "id", "left_semi"), e.join(d.select("id"), "id", "left_semi")
+    ids = e.select("id").withColumn("_h", F.xxhash64("id"))
+    may_meet(d.withColumn("_h", F.xxhash64("id")), ids, "_h").drop("_h").join(e.select("id").distinct(), "id").write.parquet(path := folder(spark, "catalogue"))
+    d = spark.read.parquet(path)
+    return d, e.join(d.select("id"), "id", "left_semi")
 
 
 @query("r4_hybrid_search", r"""WITH d AS (SELECT doc_id AS id, coalesce(trim(regexp_replace(regexp_extract(text, '^[^.!?\n]*'), '[\s\x1c-\x1f]+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(text, '[\s\x1c-\x1f]+', ' ', 'g')), '') AS abstract, lang, source, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id),
